@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswerk.llm import bpe, lines, mixing, sharding, substrings
+from glosswerk.llm import bpe, langid, lines, mixing, neardup, quality, sharding, substrings, suffixes
 from glosswerk.llm.shared import read
 
 
@@ -18,6 +18,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
@@ -26,17 +30,31 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(read(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digests(read(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digests(read(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_sharding, op4_byte_bpe, op5_line_dedup, op9_mixing)
+    f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_minhash_near_dedup, op4_byte_bpe, op5_line_dedup, op6_language_id, op8_quality_rules, op9_mixing, op10_suffix_dedup)
 }
 
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substrings.ORACLE,
     "op2_sharding": sharding.ORACLE,
+    "op3_minhash_near_dedup": neardup.ORACLE,
     "op5_line_dedup": lines.ORACLE,
+    "op8_quality_rules": quality.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

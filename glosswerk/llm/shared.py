@@ -56,6 +56,14 @@ class Scratch:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(f"{self.path}/{table}")
 
+    def bucketed(self, df: DataFrame, table: str, buckets: int, column: str) -> DataFrame:
+        """A table whose rows lie in ``buckets`` files by ``column``, so that later
+        grouping by it moves no row."""
+        name = f"{table}_{uuid.uuid4().hex}"
+        writer = df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", f"{self.path}/{table}")
+        writer.option("compression", "zstd").saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, *tables: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for table in tables:
