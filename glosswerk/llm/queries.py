@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswerk.llm import bpe, langid, lines, mixing, neardup, quality, sharding, substrings, suffixes
+from glosswerk.llm import bpe, langid, lines, mixing, neardup, quality, sharding, substrings, suffixes, vectors
 from glosswerk.llm.shared import read
 
 
@@ -34,6 +34,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digests(read(spark, sf_dir, "documents"))
 
 
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.digests(read(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_minhash_near_dedup, op4_byte_bpe, op5_line_dedup, op6_language_id, op8_quality_rules, op9_mixing, op10_suffix_dedup)
+    f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_minhash_near_dedup, op4_byte_bpe, op5_line_dedup, op6_language_id, op7_multi_index_hashing, op8_quality_rules, op9_mixing, op10_suffix_dedup)
 }
 
 ORACLES: dict[str, str] = {
