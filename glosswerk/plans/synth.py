@@ -61,26 +61,34 @@ def views(d: Dialect) -> dict[str, str]:
             FROM (SELECT l_orderkey, l_linenumber, l_partkey, {sentence} AS sentence FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey) s GROUP BY l_orderkey""",
         "bib_entries": f"""SELECT 'p' || p_partkey AS id, {d.list_of(_NOUN + " || ', X.'", "'Other, Y.'")} AS authors, p_name AS title, CAST({_YEAR} AS INT) AS year,
             CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '10.1000/p.' || p_partkey END AS doi, CAST(p_partkey AS BIGINT) AS pos FROM {{part}} WHERE p_partkey % 7 = 0""",
-        "bib_raw": f"""SELECT 'P' || (p_partkey % 500) AS citation_key, {d.map_of("'author'", "'{{' || p_mfgr || ', A.}} and  B. ' || p_brand || ' AND '", "'title'", "'{{' || p_name || '}} '", "'year'", "CASE p_partkey % 4 WHEN 0 THEN '{{2010}}' WHEN 1 THEN '2010a' WHEN 2 THEN '' ELSE CAST(1970 + p_size AS VARCHAR(8)) END", "'journal'", "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_container END", "'booktitle'", "p_type", "'doi'", "CASE WHEN p_partkey % 3 = 0 THEN ' {{}} ' ELSE '{{10.1000/p.' || p_partkey || '}}' END", "'url'", "'http://arxiv.org/abs/1234.' || (10000 + p_size)")} AS tags,
+        "bib_raw": f"""SELECT 'P' || (p_partkey % 500) AS citation_key, {d.map_of("'author'", "'{{' || p_brand || ', A.}} and  B. ' || p_brand || ' AND '", "'title'", "'{{' || p_name || '}} '", "'year'", "CASE p_partkey % 4 WHEN 0 THEN '{{2010}}' WHEN 1 THEN '2010a' WHEN 2 THEN '' ELSE CAST(1970 + p_size AS VARCHAR(8)) END", "'journal'", "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type END", "'booktitle'", "p_type", "'doi'", "CASE WHEN p_partkey % 3 = 0 THEN ' {{}} ' ELSE '{{10.1000/p.' || p_partkey || '}}' END", "'url'", "'http://arxiv.org/abs/1234.' || (10000 + p_size)")} AS tags,
             CAST(p_partkey AS BIGINT) AS pos FROM {{part}}""",
         "ref_lines": f"""SELECT 'refs/s' || p_size || '.md' AS file, {d.join_up("line", NL, "p_partkey, line")} AS content
-            FROM (SELECT p_size, p_partkey, '- ' || p_name || ' (' || {_YEAR} || '). ' || p_type || '. *' || p_mfgr || '*, ' || p_size || '. doi:10.1000/p.' || p_partkey || ', https://doi.org/10.1000/(q' || p_partkey || ') arXiv: 2101.' || lpad(CAST(p_partkey % 100000 AS VARCHAR(5)), 5, '0') AS line FROM {{part}}) s GROUP BY p_size""",
+            FROM (SELECT p_size, p_partkey, '- ' || p_name || ' (' || {_YEAR} || '). ' || p_type || '. *' || p_brand || '*, ' || p_size || '. doi:10.1000/p.' || p_partkey || ', https://doi.org/10.1000/(q' || p_partkey || ') arXiv: 2101.' || lpad(CAST(p_partkey % 100000 AS VARCHAR(5)), 5, '0') AS line FROM {{part}}) s GROUP BY p_size""",
         "claim_prose": f"""SELECT 'docs/u' || user_id || '.md' AS file, {d.join_up("'Effect ' || event_type || ' [NB' || (user_id % 25) || ':K' || (event_id % 7 + 1) || ']'", NL, "event_id")} AS content FROM {{events}} GROUP BY user_id""",
         "aggregate_md": f"""SELECT 'catalog.md' AS file, {d.join_up("section", f"{NL} || {NL}", "n_nationkey")} AS content
             FROM (SELECT n_nationkey, '## NB' || n_nationkey || ': `' || n_name || '`' || {NL} || {NL} || {table} AS section FROM {{nation}} WHERE n_nationkey < 20) s""",
         "notebooks_json": f"""SELECT {number} || CASE WHEN n_nationkey % 3 = 1 THEN '_5_' ELSE '_' END || lower(replace(n_name, ' ', '_')) || '.ipynb' AS file,
-            CASE WHEN n_nationkey % 5 = 3 THEN '{{"cells": [' WHEN n_nationkey % 7 = 6 THEN '{{"cells": []}}' ELSE '{{"cells": [{{"cell_type": "code", "source": "## Key Claims"}}, {{"cell_type": "markdown", "source": ["intro"]}}, {{"cell_type": "markdown", "source": ' || {source} || '}}]}}' END AS json
+            CASE WHEN n_nationkey % 5 = 3 THEN '{{{{"cells": [' WHEN n_nationkey % 7 = 6 THEN '{{{{"cells": []}}}}' ELSE '{{{{"cells": [{{{{"cell_type": "code", "source": "## Key Claims"}}}}, {{{{"cell_type": "markdown", "source": ["intro"]}}}}, {{{{"cell_type": "markdown", "source": ' || {source} || '}}}}]}}}}' END AS json
             FROM (SELECT n_nationkey, n_name, {body} AS body FROM (SELECT n_nationkey, n_name, {table} AS claims FROM {{nation}}) c) b""",
         "notebook_prose": f"""SELECT 'docs/n' || r_regionkey || '.md' AS file, {d.join_up("'See [NB' || " + number + " || CASE WHEN n_nationkey % 3 = 1 THEN '.5' ELSE '' END || ':K1] and [NB77:K2].'", NL, "n_nationkey")} AS content FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey GROUP BY r_regionkey""",
         "stale_prose": f"""SELECT 'docs/v' || user_id || '.md' AS file, {d.join_up("'Value ' || event_id || ' was 0.' || (800 + event_id % 40) || ' in ' || (1990 + event_id % 10)", NL, "event_id")} AS content FROM {{events}} GROUP BY user_id""",
         "paper_html": f"""SELECT 's' || l_suppkey AS paper, '<html>References<ul>' || {d.join_up("item", "''", "l_orderkey, l_linenumber, l_partkey, item")} || '</ul>' AS html
             FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {item} AS item FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey) s GROUP BY l_suppkey""",
-        "works": f"""SELECT '10.1000/p.' || p_partkey AS doi, {_TITLE} AS title, {d.list_of("p_mfgr || ', A.'")} AS authors, p_container AS journal, CAST({_YEAR} AS INT) AS year FROM {{part}} WHERE p_partkey % 10 <> 0""",
+        "works": f"""SELECT '10.1000/p.' || p_partkey AS doi, {_TITLE} AS title, {d.list_of("p_brand || ', A.'")} AS authors, p_type AS journal, CAST({_YEAR} AS INT) AS year FROM {{part}} WHERE p_partkey % 10 <> 0""",
         "works2": f"""SELECT '10.1000/p.' || p_partkey AS doi, {_TITLE} AS title, {d.list_of("p_brand || ', B.'")} AS authors, p_type AS journal, CAST({_YEAR} AS INT) AS year FROM {{part}} WHERE p_partkey % 20 = 0""",
         "search_hits": f"""SELECT query, CAST(1 AS INT) AS rank, min(title) AS title, CAST(min(score) AS DOUBLE) AS score FROM (
             SELECT q.query, q.score, w.title FROM (SELECT {_TITLE} AS query, p_partkey % 60 + 20 AS score, CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE (p_partkey * 7) % 1000 + 1 END AS hit FROM {{part}} WHERE p_partkey % 4 = 0) q
             JOIN (SELECT p_partkey, {_TITLE} AS title FROM {{part}}) w ON w.p_partkey = q.hit) s GROUP BY query""",
-        "feed_xml": f"""SELECT 'f' || s_nationkey AS feed, '<feed>' || {d.join_up("'<entry><id>http://arxiv.org/abs/s' || s_suppkey || 'v' || (s_suppkey % 3 + 1) || '</id><title>' || chr(10) || ' ' || s_name || ' </title><author><name>' || s_name || '</name></author><author><name>B. ' || s_phone || '</name></author></entry>'", "''", "s_suppkey")} || '</feed>' AS xml FROM {{supplier}} GROUP BY s_nationkey""",
+        "feed_xml": f"""SELECT 'f' || s_nationkey AS feed, '<feed>' || {d.join_up("'<entry><id>http://arxiv.org/abs/s' || s_suppkey || 'v' || (s_suppkey % 3 + 1) || '</id><title>' || chr(10) || ' ' || s_name || ' </title><author><name>' || s_name || '</name></author><author><name>B. N' || s_nationkey || '</name></author></entry>'", "''", "s_suppkey")} || '</feed>' AS xml FROM {{supplier}} GROUP BY s_nationkey""",
+        "mechanism_prose": f"""SELECT 'docs/m' || p_size || '.md' AS file, {d.join_up("line", NL, "p_partkey")} AS content
+            FROM (SELECT p_size, p_partkey, CASE p_partkey % 4 WHEN 0 THEN {noun} || ' (' || {_YEAR} || ') shows that ' || {_ADJ} || ' causes ' || {_NOUN} || ' in 12.5% of cases'
+            WHEN 1 THEN {_NOUN} || ' modulates ' || {_ADJ} || ' by ' || (p_partkey % 97) || '%' ELSE 'a long passage without any finding, source or figure, that only fills the space between two claims of this text' END AS line FROM {{part}}) s GROUP BY p_size""",
+        "drift_prose": f"""SELECT 'docs/d' || user_id || '.md' AS file, {d.join_up("'Value ' || (event_id % 3) || ' at [NB' || (user_id % 25) || ':K' || (event_id % 7 + 1) || ']'", NL, "event_id")} AS content FROM {{events}} GROUP BY user_id""",
+        "checks": f"""SELECT p_partkey AS id, p_partkey % 10 <> 0 AS verified, CAST(p_partkey % 41 AS DOUBLE) / 40 AS similarity, {_YEAR} AS year, {_YEAR} + CASE WHEN p_partkey % 5 = 1 THEN 1 ELSE 0 END AS actual_year, p_partkey % 7 <> 0 AS authors_match FROM {{part}}""",
+        "evidence": """SELECT p_partkey AS id, p_partkey % 2 = 0 AS in_bibtex, p_partkey % 3 = 0 AS has_doi, p_partkey % 5 = 0 AS verified, p_partkey % 7 = 0 AS in_catalog FROM {part}""",
+        "index_old": """SELECT p_partkey AS id, p_name AS title, CAST(1 AS BIGINT) AS version FROM {part} WHERE p_partkey % 5 <> 0""",
+        "index_new": """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS title, CAST(2 AS BIGINT) AS version FROM {part} WHERE p_partkey % 7 <> 0""",
         "measured": """SELECT 'docs/u' || user_id || '.md' AS file, event_type AS param, 'NB' || (user_id % 25) AS citation, CAST(event_id % 3 AS VARCHAR(4)) AS value FROM {events}""",
     }
 
