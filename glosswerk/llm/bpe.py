@@ -113,16 +113,14 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", paths: tuple[str, str] | None = None, packed: bool = False, spans: bool = False) -> DataFrame:
-    """``docs`` with a column of token ids in place of none of its own columns.
+    """``docs`` with a column of token ids; it replaces a column of that name.
 
     ``ids``: array<int>, or with ``packed`` the ids as little-endian unsigned
     32-bit integers in a binary.  With ``spans`` also ``<ids>_starts`` and
     ``<ids>_ends``, the character offsets (end exclusive) of each id.
     """
     names = [ids, *([f"{ids}_starts", f"{ids}_ends"] if spans else [])]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    paths = paths or default_paths()
+    docs, paths = docs.drop(*names), paths or default_paths()
     schema = T.StructType([*docs.schema, T.StructField(ids, T.BinaryType() if packed else T.ArrayType(T.IntegerType())), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in names[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +143,11 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "decoded", paths: tu
 
     Bytes, not text: a character split between two ids is whole again once all
     ids are joined, and a list cut within a character still decodes.  Ids outside
-    the vocabulary raise.  ``keep`` names the columns that stay (default: all).
+    the vocabulary raise.  ``keep`` names the columns that stay (default: all); a column
+    called ``out`` is replaced.
     """
-    if out in encoded.columns:
-        raise ValueError(f"column already there: {out}")
     paths = paths or default_paths()
-    keep = [c for c in encoded.columns if keep is None or c in keep]
+    keep = [c for c in encoded.columns if c != out and (keep is None or c in keep)]
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -199,10 +199,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (calibrated probability of lang_pred).
 
     Reads the text alone.  The model has a fixed number of features for each
-    language and is broadcast.
+    language and is broadcast.  Columns named like the added ones are replaced.
     """
-    if clash := {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names = schema.names
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosswerk.llm.shared import WS, Scratch, shuffle_partitions, slices, text_bytes
+from glosswerk.llm.shared import WS, Scratch, aside, shuffle_partitions, slices, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -108,9 +108,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
 
     The table is dealt into ``batches`` by document, each added to the runs in
     turn, as arriving data would be; the result does not depend on their number.
+    Columns of ``docs`` named like the added ones are replaced, all others stay.
     """
-    if clash := {"n_lines", "n_dropped"} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    docs, back = aside(docs.drop("n_lines", "n_dropped"), doc_id, text)
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     _entries(docs, doc_id, text, min_chars, batches).write.partitionBy("batch").parquet(f"{scratch.path}/entries")
     entries = scratch.read("entries", "key binary, doc_id long, batch int")
@@ -144,7 +144,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
                 columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=out_names)
 
-    return joined.select(*docs.columns, "__keys").mapInArrow(run, schema)
+    return joined.select(*docs.columns, "__keys").mapInArrow(run, schema).withColumnsRenamed(back)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswerk.llm.shared import aside
+
 #: Target shares of the sources; sources not listed, and null, share OTHER.
 SHARES = {"src0": 10} | {f"src{k}": 5 for k in range(1, 20)}
 OTHER = 5
@@ -84,8 +86,9 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     Rows that repeat a doc_id all come at the first of their slots.
     """
     order = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
+    docs, back = aside(docs, doc_id)
     joined = docs.join(order, F.col(doc_id).eqNullSafe(F.col("__id")))
-    return joined.repartitionByRange("__at.slot", "__at.place").sortWithinPartitions("__at.slot", "__at.place", doc_id).select(*docs.columns)
+    return joined.repartitionByRange("__at.slot", "__at.place").sortWithinPartitions("__at.slot", "__at.place", doc_id).select(*docs.columns).withColumnsRenamed(back)
 
 
 _CLASS = "CASE " + " ".join(f"WHEN source = '{n}' THEN {i}" for i, n in enumerate(SHARES)) + f" ELSE {len(SHARES)} END"

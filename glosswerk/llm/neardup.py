@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswerk.llm.components import components
-from glosswerk.llm.shared import Scratch, slices, text_bytes
+from glosswerk.llm.shared import Scratch, aside, slices, text_bytes
 
 WORDS = 5
 #: A pair is linked where 100 * intersection >= PERCENT * union.
@@ -292,7 +292,8 @@ def with_label(rows: DataFrame, labels: DataFrame, node: str, label: str) -> Dat
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without those whose component has a smaller doc_id."""
     gone = classes(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
+    docs, back = aside(docs, doc_id, text)
+    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti").withColumnsRenamed(back)
 
 
 ORACLE = f"""

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosswerk.llm.shared import WS, WS_CLASS
+from glosswerk.llm.shared import WS, WS_CLASS, aside
 
 MIN_WORDS = 50
 #: Percent of words that may stand in repeated three-word windows.
@@ -65,11 +65,11 @@ def verdict(rules: tuple[Rule, ...]) -> Column:
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines,
-    n_repeat_words, n_stop_words and n_shouted (all long)."""
-    own = docs.columns
+    n_repeat_words, n_stop_words and n_shouted (all long); columns of these names are
+    replaced, all others stay."""
     made = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_shouted")
-    if clash := set(made) & set(own):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    docs, back = aside(docs.drop(*made), text)
+    own = docs.columns
     body = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(body, F.lit(WS))
     out = docs.withColumn("__words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{WS_CLASS}+")))
@@ -93,7 +93,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"),
         count("__words", lambda w: F.lower(w).isin(*STOP_WORDS)).alias("n_stop_words"),
         count("__words", lambda w: (F.length(w) > 1) & (w == F.upper(w)) & (w != F.lower(w))).alias("n_shouted"),
-    )
+    ).withColumnsRenamed(back)
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -64,7 +64,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", **options) -> None:
-    """Write ``docs`` as Parquet, one folder for each shard."""
+    """Write ``docs`` as Parquet, one folder for each shard; a column ``shard`` is replaced."""
+    docs = docs.drop("shard")
     shards = assign(docs, key, **options).groupBy(F.col(key).alias("__key")).agg(F.first("shard").alias("shard"))
     joined = docs.join(shards, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
     joined.repartition("shard").write.partitionBy("shard").parquet(path)

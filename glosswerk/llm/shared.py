@@ -7,7 +7,6 @@ folder named by ``spark.checkpoint.dir``, which every executor can read.  Only a
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,6 +95,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def identifier(name: str) -> str:
-    """A column name that clashes with none of a caller's columns."""
-    return f"__{re.sub(r'[^a-z0-9]+', '_', name.lower())}_{uuid.uuid4().hex[:8]}"
+def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``own`` renamed, and the way back for
+    ``withColumnsRenamed``: whatever they are called, they clash with nothing."""
+    names = {c: f"__extra{k}" for k, c in enumerate(docs.columns) if c not in own}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}

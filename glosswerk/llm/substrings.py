@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosswerk.llm.shared import Scratch, slices, text_bytes
+from glosswerk.llm.shared import Scratch, aside, slices, text_bytes
 
 #: Fewest words of a repeated stretch that is removed.
 MIN_WORDS = 20
@@ -59,10 +59,10 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     """``docs`` with repeated stretches taken out of ``text``.
 
     Adds n_units, n_removed (units) and spans, the removed stretches as code point
-    offsets (end exclusive) into the original text.
+    offsets (end exclusive) into the original text.  Columns of ``docs`` named like
+    these are replaced, all others stay.
     """
-    if clash := {"n_units", "n_removed", "spans"} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    docs, back = aside(docs.drop("n_units", "n_removed", "spans"), doc_id, text)
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     entries = scratch.write(_entries(source), "entries")
@@ -96,7 +96,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)], names=out_names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema).withColumnsRenamed(back)
 
 
 def cut(text: bytes, repeats: set[int], min_words: int) -> tuple[bytes, int, int, list[tuple[int, int]]]:

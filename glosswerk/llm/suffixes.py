@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswerk.llm.shared import Scratch
+from glosswerk.llm.shared import Scratch, aside
 
 WINDOW = 400
 #: A prime q gives a perfect difference cover of q + 1 residues modulo q * q + q + 1.
@@ -268,11 +268,11 @@ def cut_texts(docs: DataFrame, text: str = "text", scratch: Scratch | None = Non
 
 
 def dedup(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with n_bytes, spans (byte offsets removed) and kept (binary)."""
-    if clash := {"n_bytes", "spans", "kept", "h1", "h2"} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    """``docs`` with n_bytes, spans (byte offsets removed) and kept (binary); columns of
+    these names are replaced, all others stay."""
+    docs, back = aside(docs.drop("n_bytes", "spans", "kept"), text)
     ids = docs.withColumns({"h1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "h2": F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit("")))})
-    return ids.join(cut_texts(docs, text, scratch), ["h1", "h2"]).drop("h1", "h2")
+    return ids.join(cut_texts(docs, text, scratch), ["h1", "h2"]).drop("h1", "h2").withColumnsRenamed(back)
 
 
 def digests(docs: DataFrame) -> DataFrame:
