@@ -4,20 +4,21 @@
    ``[^\\x20\\x09-\\x0D]+``).  Documents of one and the same set are grouped by its
    fingerprint, and only the smallest ``doc_id`` of each goes on.
 2. Of the minima of ``HASHES`` hash functions, ``ROWS`` at a time are hashed to
-   band keys; of each minimum only ``BITS`` bits are kept, packed into longs.
+   ``BANDS`` band keys; of each minimum only ``BITS`` bits are kept, packed into longs.
 3. Documents that share a band key are candidates.  A bit count over two packed
    signatures gives the share of equal minima, and corrected for chance collisions
-   the estimated similarity; pairs below ``FLOOR`` (five standard errors under the
-   threshold) go no further.
+   the estimated similarity; pairs below ``FLOOR`` (four standard errors under the
+   threshold) or whose set sizes rule the threshold out go no further.
 4. Candidates are confirmed on the full sets and joined to components.
 
 A band's bucket never emits all its pairs.  First each document is tested against
 one document of its buckets (the smallest, or the largest, of each bucket), and
-components are formed.  Only pairs that lie in different components are then
-enumerated, in blocks of at most ``BLOCK`` documents on a side whatever a bucket's
-size, and only those estimated above the floor leave the task; the best of them
-for each document and component are confirmed first, what is left after merging
-last.  So every candidate pair is either within one component or was confirmed.
+components are formed.  Then pairs that lie in different components are compared
+inside the tasks, in blocks of at most ``BLOCK`` documents on a side whatever a
+bucket's size; a pair belongs to the first band it shares, and each component sends
+only its nearest pair of each block to be confirmed.  Once these have merged their
+components, all pairs above the floor that still lie in different ones are confirmed.
+So every candidate pair is either within one component or was confirmed.
 
 Odd input: null, empty or blank texts have no set and are linked with nothing; a
 text of one to four words has its whole sequence as one shingle; of rows that repeat
@@ -42,13 +43,12 @@ from glosswerk.llm.shared import Scratch, aside, slices, text_bytes
 WORDS = 5
 #: A pair is linked where 100 * intersection >= PERCENT * union.
 PERCENT = 75
-BANDS, ROWS, BITS = 48, 6, 2
-HASHES = BANDS * ROWS
-FLOOR = 0.60
+HASHES, BANDS, ROWS, BITS = 512, 48, 6, 4
+FLOOR = 0.67
 #: Estimates from here on count as clearly near when a pivot is chosen.
 CLEAR = 0.85
 BLOCK = 2048
-_LANES = 0x5555555555555555
+_LANES = 0x1111111111111111
 
 
 class WordHashes(dict):
@@ -72,8 +72,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def multipliers() -> tuple[np.ndarray, np.ndarray]:
     """Odd multipliers of the hash functions, and of the rows of a band."""
     r = np.random.default_rng(20240229)
-    odd = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd(HASHES), odd(ROWS)
+    odd = lambda n, bits: r.integers(0, 1 << (bits - 1), n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd(HASHES, 32).astype(np.uint32), odd(ROWS, 64)
 
 
 def shingles(text: bytes, cache: WordHashes) -> np.ndarray:
@@ -93,13 +93,14 @@ def shingles(text: bytes, cache: WordHashes) -> np.ndarray:
 def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed low bits of the minima and band keys of a non-empty set."""
     a, q = multipliers()
-    least, rows = np.empty(HASHES, np.uint64), max(1, 65_536 // len(found))
+    found = (found >> np.uint64(32)).astype(np.uint32)
+    least, rows = np.empty(HASHES, np.uint32), max(1, 131_072 // len(found))
     for k in range(0, HASHES, rows):
         least[k : k + rows] = (a[k : k + rows, None] * found[None, :]).min(axis=1)
-    least >>= np.uint64(32)
-    low = (least & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
+    spread = mixed(least + (np.arange(HASHES, dtype=np.uint64) << np.uint64(32)))
+    low = (spread & np.uint64((1 << BITS) - 1)).reshape(-1, 64 // BITS)
     packed = (low << np.arange(0, 64, BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    bands = mixed(mixed(least.reshape(BANDS, ROWS) * q).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    bands = mixed((spread[: BANDS * ROWS].reshape(BANDS, ROWS) * q).sum(axis=1, dtype=np.uint64))
     return packed, bands
 
 
@@ -111,7 +112,12 @@ def estimate(equal_share):
 
 def estimated(a: Column, b: Column) -> Column:
     """``estimate`` of two packed signatures (array<long>), inside Spark."""
-    unequal = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count((x.bitwiseXOR(y)).bitwiseOR(F.shiftrightunsigned(x.bitwiseXOR(y), 1)).bitwiseAND(F.lit(_LANES)))), F.lit(0), lambda s, x: s + x)
+    def lanes(x: Column) -> Column:
+        """Lowest bit of each lane that has any bit set."""
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LANES))
+
+    unequal = F.aggregate(F.transform(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), lambda x: F.bit_count(lanes(x))), F.lit(0), lambda s, x: s + x)
     return estimate(F.lit(1.0) - unequal / F.lit(float(HASHES)))
 
 
@@ -171,42 +177,54 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(two, "b").join(one, "a").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs of different components within a cell, estimated above the floor.
+def across(members: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b) of different components within a cell, estimated above the floor.
 
-    ``members``: cell (string), side (0 or 1), node, component, packed.  In a cell
-    with two sides only pairs between them are made, else pairs within it.  A cell
-    has at most ``BLOCK`` rows or so on a side; rows of a cell come together.
+    ``members``: cell (string), side (0 or 1), place (of the cell's band), node,
+    component, size, packed, bands.  In a cell with two sides only pairs between
+    them are made, else pairs within it, and only those that share no earlier band.
+    With ``nearest`` each component sends its nearest pair alone.  A cell has at most
+    ``BLOCK`` rows or so on a side; rows of a cell come together.
     """
 
-    def pairs_of(side, node, comp, packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = ([], [], [])
+    def pairs_of(side, place, node, comp, size, packed, bands) -> tuple[np.ndarray, np.ndarray]:
         two = bool(side.any()) and not bool(side.all())
+        right, left, found = np.flatnonzero(side == 1), [], []
+        score: list[np.ndarray] = []
         for k in range(len(node)):
-            others = np.flatnonzero(side == 1) if two else np.arange(k + 1, len(node))
             if two and side[k] == 1:
                 continue
-            others = others[comp[others] != comp[k]]
-            if not len(others):
-                continue
+            others = right if two else np.arange(k + 1, len(node))
+            others = others[(comp[others] != comp[k]) & (100 * np.minimum(size[others], size[k]) >= PERCENT * np.maximum(size[others], size[k]))]
             x = packed[others] ^ packed[k]
-            unequal = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(_LANES)).sum(axis=1, dtype=np.int64)
-            est = estimate(1 - unequal / HASHES)
-            hit = est >= FLOOR
-            found[0].append(np.full(int(hit.sum()), node[k]))
-            found[1].append(node[others[hit]])
-            found[2].append(est[hit])
-        return tuple(np.concatenate(f) if f else np.empty(0, t) for f, t in zip(found, (np.int64, np.int64, np.float64), strict=True))
+            x |= x >> np.uint64(2)
+            x = (x | (x >> np.uint64(1))) & np.uint64(_LANES)
+            est = estimate(1 - np.bitwise_count(x).sum(axis=1, dtype=np.int64) / HASHES)
+            others, est = others[est >= FLOOR], est[est >= FLOOR]
+            new = ~(bands[others, : place[k]] == bands[k, : place[k]]).any(axis=1)
+            left.append(np.full(int(new.sum()), k))
+            found.append(others[new])
+            score.append(est[new])
+        if not left:
+            return node[:0], node[:0]
+        a, b, est = np.concatenate(left), np.concatenate(found), np.concatenate(score)
+        if nearest:
+            groups, pair = np.concatenate([comp[a], comp[b]]), np.tile(np.arange(len(a)), 2)
+            order = np.lexsort((node[b[pair]], node[a[pair]], -est[pair], groups))
+            first = np.unique(groups[order], return_index=True)[1]
+            pick = np.unique(pair[order[first]])
+            a, b = a[pick], b[pick]
+        return np.minimum(node[a], node[b]), np.maximum(node[a], node[b])
 
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
         cells = table.column("cell").to_numpy()
         edges = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
-        side, node, comp = (table.column(c).to_numpy() for c in ("side", "node", "component"))
-        packed = np.array(table.column("packed").combine_chunks().flatten(), dtype=np.int64).view(np.uint64).reshape(len(node), -1)
-        out = [pairs_of(side[s:e], node[s:e], comp[s:e], packed[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1]
+        columns = [table.column(c).to_numpy() for c in ("side", "place", "node", "component", "size")]
+        wide = [np.array(table.column(c).combine_chunks().flatten()).reshape(table.num_rows, -1) for c in ("packed", "near")]
+        columns += [wide[0].view(np.uint64), wide[1]]
+        out = [pairs_of(*(c[s:e] for c in columns)) for s, e in zip(edges[:-1], edges[1:], strict=True) if e - s > 1]
         if out:
-            a, b, est = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(est, pa.float64())], names=["a", "b", "est"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of a cell that may go on in the next batch
@@ -223,7 +241,7 @@ def across(members: DataFrame) -> DataFrame:
         if held:
             yield from emit(pa.Table.from_batches(held))
 
-    return members.mapInArrow(run, "a long, b long, est double").distinct()
+    return members.mapInArrow(run, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -233,10 +251,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch
     signed = scratch.write(signatures(source), "signatures")
     one = signed.where("doc_id IS NOT NULL AND set_id IS NOT NULL").groupBy("doc_id").agg(F.min("set_id").alias("set_id"))
     nodes = scratch.write(one.groupBy("set_id").agg(F.min("doc_id").alias("node")), "nodes")
-    sets = scratch.write(signed.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "packed", "bands"), "sets")
+    sets = scratch.write(signed.join(nodes.withColumnRenamed("node", "doc_id"), ["doc_id", "set_id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "packed", "bands"), "sets")
     signs = sets.select("node", "packed")
 
-    banded = scratch.write(sets.select("node", F.explode("bands").alias("band")), "bands")
+    banded = scratch.write(sets.select("node", F.posexplode("bands").alias("place", "band")), "bands")
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("n > 1")
     shared = scratch.write(banded.join(buckets, "band"), "shared")
     scratch.drop("bands")
@@ -254,28 +272,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch
     links = scratch.write(confirm(tested, full), "links1")
     labels = scratch.write(components(links, scratch, "first"), "labels1")
 
-    # Round 2: all pairs across components, in blocks; the best of each document and component first.
-    labelled = with_label(shared.select("band", "node", "n"), labels, "node", "component")
-    several = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    rest = labelled.join(several, "band", "left_semi").join(signs, "node")
-    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rest = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = F.concat_ws("/", "band", F.least("mine", "j"), F.greatest("mine", "j"))
-    cells = rest.select(cell.alias("cell"), (F.col("mine") > F.col("j")).cast("int").alias("side"), "node", "component", "packed")
-    near = scratch.write(across(cells.repartition("cell").sortWithinPartitions("cell")).join(tested, ["a", "b"], "left_anti"), "near")
-    both = with_label(with_label(near, labels, "a", "ca"), labels, "b", "cb")
-    towards = F.array(F.struct(F.col("a").alias("x"), F.col("cb").alias("y")), F.struct(F.col("b").alias("x"), F.col("ca").alias("y")))
-    best = both.select("a", "b", "est", F.explode(towards).alias("s")).groupBy("s").agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("p"))
-    best = scratch.write(best.select("p.*").distinct(), "tested2")
-    links = scratch.write(links.unionAll(confirm(best, full)), "links2")
-    labels = scratch.write(components(links, scratch, "second"), "labels2")
-
-    # Round 3: what still lies across components.
-    both = with_label(with_label(near.join(best, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb")
-    last = scratch.write(both.where("ca != cb").select("a", "b"), "tested3")
-    links = scratch.write(links.unionAll(confirm(last, full)), "links3")
-    labels = scratch.write(components(links, scratch, "third"), "labels3")
-    scratch.drop("sets", "shared", "full", "near", "tested1", "tested2", "tested3", "links1", "links2", "links3", "labels1", "labels2")
+    # Round 2: the nearest pairs across components.  Round 3: all that are left.
+    for k, nearest in ((2, True), (3, False)):
+        pairs = across(cells(shared, sets, labels), nearest).join(tested, ["a", "b"], "left_anti")
+        new = scratch.write(pairs, f"tested{k}")
+        links = scratch.write(links.unionAll(confirm(new, full)), f"links{k}")
+        labels = scratch.write(components(links, scratch, f"round{k}_"), f"labels{k}")
+        tested = tested.unionAll(new)
+    scratch.drop("sets", "shared", "full", "tested1", "tested2", "tested3", "links1", "links2", "links3", "labels1", "labels2")
 
     classed = with_label(one.join(nodes, "set_id"), labels, "node", "component").select(F.col("doc_id").alias("id"), "component")
     out = signed.select("doc_id", "n_shingles").join(classed, signed["doc_id"] == classed["id"], "left")
@@ -283,6 +287,20 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def cells(shared: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of all buckets that hold several components, dealt into cells of
+    one block, or of two blocks as their sides; rows of a cell come together."""
+    labelled = with_label(shared.select("band", "place", "node", "n"), labels, "node", "component")
+    several = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    near = F.transform("bands", lambda b: F.shiftright(b, 32).cast("int"))
+    rest = labelled.join(several, "band", "left_semi").join(sets.select("node", "size", "packed", near.alias("near")), "node")
+    rest = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.concat_ws("/", "band", F.least("mine", "j"), F.greatest("mine", "j"))
+    dealt = rest.select(cell.alias("cell"), (F.col("mine") > F.col("j")).cast("int").alias("side"), "place", "node", "component", "size", "packed", "near")
+    return dealt.repartition("cell").sortWithinPartitions("cell")
+
+
 def with_label(rows: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
     """``rows`` with the component of ``node``, which is its own until it is linked."""
     found = labels.select(F.col("node").alias(node), F.col("component").alias("__found"))
