@@ -112,16 +112,17 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.astype(kind.to_pandas_dtype()), kind))
 
 
-def encode(docs: DataFrame, text: str = "text", ids: str = "ids", paths: tuple[str, str] | None = None, packed: bool = False, spans: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", ids: str = "ids", paths: tuple[str, str] | None = None, packed: bool = False, spans: bool = False, decoded: str | None = None) -> DataFrame:
     """``docs`` with a column of token ids; it replaces a column of that name.
 
     ``ids``: array<int>, or with ``packed`` the ids as little-endian unsigned
     32-bit integers in a binary.  With ``spans`` also ``<ids>_starts`` and
-    ``<ids>_ends``, the character offsets (end exclusive) of each id.
+    ``<ids>_ends``, the character offsets (end exclusive) of each id.  ``decoded``
+    names a binary column for the bytes that the ids decode to, in the same pass.
     """
-    names = [ids, *([f"{ids}_starts", f"{ids}_ends"] if spans else [])]
+    names = [ids, *([f"{ids}_starts", f"{ids}_ends"] if spans else []), *([decoded] if decoded else [])]
     docs, paths = docs.drop(*names), paths or default_paths()
-    schema = T.StructType([*docs.schema, T.StructField(ids, T.BinaryType() if packed else T.ArrayType(T.IntegerType())), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in names[1:])])
+    schema = T.StructType([*docs.schema, T.StructField(ids, T.BinaryType() if packed else T.ArrayType(T.IntegerType())), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in names[1:] if n != decoded), *([T.StructField(decoded, T.BinaryType())] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*paths)
@@ -133,6 +134,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", paths: tuple[s
                 if spans:
                     pairs = [c.offsets(t, x) for t, x in zip(texts, found, strict=True)]
                     added += [_lists([p[k] for p in pairs], pa.int32()) for k in (0, 1)]
+                if decoded:
+                    added.append(pa.array([c.decode(x) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)

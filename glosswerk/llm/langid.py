@@ -169,21 +169,28 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     vectors = taught.select("text").mapInArrow(frequencies, "v binary").repartition(64).mapInArrow(added, "v binary")
     df = sum((np.frombuffer(r.v, np.int64) for r in vectors.toLocalIterator()), start=np.zeros(DIMS + 1, np.int64))
-    langs = sorted(r.lang for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect())
+    sizes = {r.lang: r["count"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()}
+    langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros(DIMS), np.zeros((DIMS, 0)), np.zeros(0))
+    # Only hashes below a bound that about three times the quota reach are ranked at all.
+    quota = max(1, max_rows // len(langs))
+    bounds = docs.sparkSession.createDataFrame([(k, (min(1.0, (3 * quota + 30) / n) * 2 - 1) * 2.0**63) for k, n in sizes.items()], "lang string, bound double")
+    small = taught.select("id", "lang").join(F.broadcast(bounds), "lang").where(F.xxhash64("id") <= F.col("bound"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = taught.select("id", "lang").withColumn("nth", nth).where(F.col("nth") <= max(1, max_rows // len(langs))).select("id").distinct()
+    chosen = small.withColumn("nth", nth).where(F.col("nth") <= quota).select("id").distinct()
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [counts(t) for t in part.column("text").to_pylist()]
-                index = [None if f is None else np.flatnonzero(f).astype(np.uint32) for f in found]
-                packed = [[None if i is None else i.tobytes() for i in index], [None if i is None else f[i].astype(np.uint32).tobytes() for i, f in zip(index, found, strict=True)]]
+                packed: tuple[list, list] = ([], [])
+                for found in map(counts, part.column("text").to_pylist()):
+                    index = None if found is None else np.flatnonzero(found)
+                    packed[0].append(None if found is None else index.astype(np.uint32).tobytes())
+                    packed[1].append(None if found is None else found[index].astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), *(pa.array(p, pa.binary()) for p in packed)], names=["id", "lang", "features", "found"])
 
-    sample = taught.join(chosen, "id", "left_semi").mapInArrow(featured, "id string, lang string, features binary, found binary").where("features IS NOT NULL").limit(max_rows)
+    sample = taught.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(featured, "id string, lang string, features binary, found binary").where("features IS NOT NULL").limit(max_rows)
     model = Model(langs, np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 1, np.zeros((DIMS, len(langs))), np.zeros(len(langs)))
     rows = []
     for r in sorted(sample.collect(), key=lambda r: (r.id, r.lang)):

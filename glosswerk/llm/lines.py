@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosswerk.llm.shared import WS, Scratch, aside, shuffle_partitions, slices, text_bytes
+from glosswerk.llm.shared import WS, Scratch, aside, join_hot, shuffle_partitions, slices, text_bytes
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -117,8 +117,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
     runs = LineRuns(scratch, min_docs, fanout)
     for k in range(batches):
         runs.add(entries.where(F.col("batch") == k).groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last")))
-    common = runs.table().where(F.col("docs") >= min_docs).select("key", "last")
-    doomed = entries.join(common, "key").where(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set("key").alias("__keys"))
+    common = scratch.write(runs.table().where(F.col("docs") >= min_docs), "common")
+    doomed = join_hot(entries, common, "key", "docs", entries.count()).where(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set("key").alias("__keys"))
     doomed = doomed.withColumnRenamed("doc_id", "__id")
     joined = docs.join(doomed, docs[doc_id].cast("long") == doomed["__id"], "left").drop("__id")
     schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

@@ -55,7 +55,7 @@ class WordHashes(dict):
     """64-bit hashes of words, emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

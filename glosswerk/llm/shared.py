@@ -7,6 +7,7 @@ folder named by ``spark.checkpoint.dir``, which every executor can read.  Only a
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,15 +15,28 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of every contract here: space and U+0009 to U+000D.
 WS = "\x20\x09\x0a\x0b\x0c\x0d"
 WS_CLASS = r"[\x20\x09-\x0D]"
 #: Rows of an Arrow batch are handled in slices of about this many text bytes.
 SLICE_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
+#: Most keys that ``join_hot`` broadcasts.
+HOT_KEYS = 1000
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Bounds Spark's Arrow batches by bytes, so that long texts come a few at a time;
+    a session that set a smaller bound keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    limit_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -70,6 +84,18 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` (``total`` of them) with ``table``, one row for each key,
+    whose ``count`` is at most the number of rows with that key.
+
+    Keys with a ``HOT_KEYS``-th of all rows or more, of which there can be ``HOT_KEYS``
+    at most, are broadcast, so their rows stay where they are; the others are shuffled.
+    """
+    most = max(1.0, total / HOT_KEYS)
+    hot, rest = F.broadcast(table.where(F.col(count) >= most)), table.where(F.col(count) < most)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
