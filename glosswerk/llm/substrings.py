@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glosswerk.llm.shared import Scratch, aside, slices, text_bytes
+from glosswerk.llm.shared import Scratch, aside, join_hot, slices, text_bytes
 
 #: Fewest words of a repeated stretch that is removed.
 MIN_WORDS = 20
@@ -67,7 +67,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     entries = scratch.write(_entries(source), "entries")
     first = entries.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeats = entries.join(first, "key").where("doc_id != first.doc_id OR place != first.place")
+    repeats = join_hot(entries, scratch.write(first, "first"), "key", "n", entries.count()).where("doc_id != first.doc_id OR place != first.place")
     places = repeats.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("place").alias("__places"))
     joined = docs.join(places, docs[doc_id].cast("long") == places["__id"], "left").select(*docs.columns, "__places")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
