@@ -7,7 +7,11 @@ original offsets stay known.  A unit is normalised (A-Z in lower case, white spa
 grouped over the whole corpus.  Occurrences rank by (doc_id, place in the text);
 the first stays and all others are repeats.  Consecutive repeats form a stretch, and
 a stretch of ``min_words`` words or more is removed: chance repeats of short
-sentences and single common lines stay.
+sentences stay.  With ``min_chars`` whole lines are hashed too, normalised alike, and
+every later occurrence of a line of that many characters or more is removed, however
+few its words.  A line's first occurrence holds its units, so no unit loses its first
+one.  Without it, as in ``op1_substring_dedup``, whose ``ORACLE`` knows stretches
+alone, single common lines stay.
 
 Odd input: null or empty texts have no units; units without a word have no digest
 and never repeat; a null ``doc_id`` takes no part; rows that repeat a ``doc_id``
@@ -30,7 +34,12 @@ from glosswerk.llm.shared import Scratch, aside, join_hot, slices, text_bytes
 
 #: Fewest words of a repeated stretch that is removed.
 MIN_WORDS = 20
+#: Fewest characters of a normalised line that is removed where it is repeated.
+MIN_CHARS = 20
+#: Places from here on count lines, those below it units.
+LINE = 1 << 30
 UNIT = re.compile(rb"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+LINES = re.compile(rb"[^\n]*\n|[^\n]+")
 
 
 def units(text: bytes) -> Iterator[tuple[bytes, int, int, int]]:
@@ -40,13 +49,25 @@ def units(text: bytes) -> Iterator[tuple[bytes, int, int, int]]:
         yield (xxhash.xxh3_128_digest(b" ".join(words)) if words else b""), len(words), m.start(), m.end()
 
 
-def _entries(docs: DataFrame) -> DataFrame:
+def lines(text: bytes, min_chars: int) -> Iterator[tuple[bytes, int, int]]:
+    """Digest (b'' if shorter than ``min_chars``), first byte and end of each line;
+    no digest is that of a unit, as no unit starts with a line end when normalised."""
+    at = 0
+    for line in LINES.findall(text):
+        key = b" ".join(line.lower().split())
+        yield (xxhash.xxh3_128_digest(b"\n" + key) if key and len(key.decode()) >= min_chars else b""), at, at + len(line)
+        at += len(line)
+
+
+def _entries(docs: DataFrame, min_chars: int | None) -> DataFrame:
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in arrow:
             for part in slices(whole, "text"):
                 owners, keys, places = [], [], []
                 for k, text in enumerate(text_bytes(part.column("text"))):
                     found = [(u[0], n) for n, u in enumerate(units(text)) if u[0]]
+                    if min_chars is not None:
+                        found += [(x[0], LINE + n) for n, x in enumerate(lines(text, min_chars)) if x[0]]
                     owners += [k] * len(found)
                     keys += [x for x, _ in found]
                     places += [n for _, n in found]
@@ -55,17 +76,18 @@ def _entries(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key binary, doc_id long, place int")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with repeated stretches taken out of ``text``.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_chars: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with repeated stretches taken out of ``text``, and with ``min_chars``
+    (such as ``MIN_CHARS``) repeated lines too.
 
-    Adds n_units, n_removed (units) and spans, the removed stretches as code point
+    Adds n_units, n_removed (whole units) and spans, what was removed as code point
     offsets (end exclusive) into the original text.  Columns of ``docs`` named like
     these are replaced, all others stay.
     """
     docs, back = aside(docs.drop("n_units", "n_removed", "spans"), doc_id, text)
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    entries = scratch.write(_entries(source), "entries")
+    entries = scratch.write(_entries(source, min_chars), "entries")
     first = entries.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeats = join_hot(entries, scratch.write(first, "first"), "key", "n", entries.count()).where("doc_id != first.doc_id OR place != first.place")
     places = repeats.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("place").alias("__places"))
@@ -86,7 +108,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
                         removed.append(0)
                         spans.append([])
                         continue
-                    kept, n, gone, cuts = cut(raw, set(places), min_words)
+                    kept, n, gone, cuts = cut(raw, set(places), min_words, min_chars)
                     texts.append(kept)
                     counts.append(n)
                     removed.append(gone)
@@ -99,30 +121,40 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     return joined.mapInArrow(run, schema).withColumnsRenamed(back)
 
 
-def cut(text: bytes, repeats: set[int], min_words: int) -> tuple[bytes, int, int, list[tuple[int, int]]]:
+def cut(text: bytes, repeats: set[int], min_words: int, min_chars: int | None = None) -> tuple[bytes, int, int, list[tuple[int, int]]]:
     """Kept bytes, number of units, of removed units, and removed code point spans."""
     found = list(units(text))
-    stretches, k = [], 0
+    parts, k = [], 0
     while k < len(found):
         end = k
         while end < len(found) and end in repeats:
             end += 1
         if sum(u[1] for u in found[k:end]) >= min_words:
-            stretches.append((k, end))
+            parts.append((found[k][2], found[end - 1][3]))
         k = end + 1
-    kept, spans, at, chars = [], [], 0, 0
-    for k, end in stretches:
-        a, b = found[k][2], found[end - 1][3]
+    if min_chars is not None:
+        parts += [(a, b) for n, (_, a, b) in enumerate(lines(text, min_chars)) if LINE + n in repeats]
+    gone: list[list[int]] = []
+    for a, b in sorted(parts):
+        if gone and a <= gone[-1][1]:
+            gone[-1][1] = max(b, gone[-1][1])
+        else:
+            gone.append([a, b])
+    kept, spans, at, chars, n, k = [], [], 0, 0, 0, 0
+    for a, b in gone:
         kept.append(text[at:a])
         start = chars + len(kept[-1].decode())
         chars = start + len(text[a:b].decode())
         spans.append((start, chars))
         at = b
-    return b"".join(kept) + text[at:], len(found), sum(b - a for a, b in stretches), spans
+        while k < len(found) and found[k][2] < b:
+            n += found[k][2] >= a and found[k][3] <= b
+            k += 1
+    return b"".join(kept) + text[at:], len(found), n, spans
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    out = dedup(docs.select("doc_id", "text"))
+def digests(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
+    out = dedup(docs.select("doc_id", "text"), min_chars=min_chars)
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.select("doc_id", "n_units", "n_removed", F.size("spans").cast("long").alias("n_spans"), spans.alias("spans"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 

@@ -67,6 +67,30 @@ def test_substrings(docs, rows, empty):
     assert [by_id[30 + k].n_removed > 0 for k in range(5)] == [False, True, True, True, True]
 
 
+def test_repeated_lines_go_however_short(spark):
+    """Against a loop over all lines: a line of MIN_CHARS or more stays once in all,
+    also before a line that starts with an end mark and as a text of its own."""
+    line, other = "Nine words that many of the texts do share.", "Ünïcode line número one"
+    texts = [f"alpha one\n{line}\nbeta two", f"gamma three\n  {line.upper()}\t\n... delta\n{line}", line, other, f"{other}\nthe.\nepsilon four", f"the.\n{other}\n{other}"]
+    rows = list(enumerate(texts))
+    key = lambda x: " ".join(x.encode().lower().decode().split())
+    seen, want = set(), {}
+    for k, t in rows:
+        kept = []
+        for x in re.findall(r"[^\n]*\n|[^\n]+", t):
+            if len(key(x)) < substrings.MIN_CHARS or key(x) not in seen:
+                kept.append(x)
+            seen.add(key(x))
+        want[k] = "".join(kept)
+    out = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=substrings.MIN_CHARS).collect()
+    assert {r.doc_id: r.text for r in out} == want
+    assert want[2] == "" and want[1] == "gamma three\n... delta\n" and want[5] == "the.\n"
+    for r in out:
+        gone = {i for s in r.spans for i in range(s.start, s.end)}
+        assert "".join(c for i, c in enumerate(texts[r.doc_id]) if i not in gone) == r.text
+    assert {r.doc_id: (r.n_units, r.n_removed) for r in out}[5] == (3, 2)
+
+
 def brute_classes(rows):
     def grams(text):
         w = [x for x in re.split(f"[{WS}]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if x]
