@@ -2,7 +2,8 @@
 reread as the input of the next.
 
 Every stage works on all that its predecessor kept and returns the columns of
-``documents``; the last adds the token ids.  Extra columns pass through unchanged,
+``documents``; the last adds the token ids and each row's turn in the mixture (slot,
+place), by which its rows are sorted.  Extra columns pass through unchanged,
 except that the last stage's own ones replace columns of the same names.  Empty
 tables give empty results.
 """
@@ -53,8 +54,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids, n_tokens and round_trip (do the decoded bytes equal the text?)."""
-    docs, back = aside(docs.drop("ids", "n_tokens", "round_trip"), *OWN)
+    """Adds slot, place, ids, n_tokens and round_trip (do the decoded bytes equal the
+    text?), in the order of (slot, place).
+
+    Spark reads files in an order of its own, so the turns are worked out from the
+    documents again; they are those that ``mix_sources`` wrote by, as it drops none.
+    """
+    docs = mixing.placed(docs.drop("ids", "n_tokens", "round_trip"))
+    docs, back = aside(docs, *OWN, "slot", "place")
     coded = bpe.encode(docs, decoded="decoded")
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip")).withColumnsRenamed(back)

@@ -85,10 +85,22 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
 
     Rows that repeat a doc_id all come at the first of their slots.
     """
+    joined, columns, back = _sorted(docs, doc_id, **options)
+    return joined.select(*columns).withColumnsRenamed(back)
+
+
+def placed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """As ``in_order``, with the columns slot and place that give each row's turn;
+    columns of ``docs`` with these names are replaced."""
+    joined, columns, back = _sorted(docs.drop("slot", "place"), doc_id, **options)
+    return joined.select(*columns, "__at.slot", "__at.place").withColumnsRenamed(back)
+
+
+def _sorted(docs: DataFrame, doc_id: str, **options) -> tuple[DataFrame, list[str], dict[str, str]]:
     order = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
     docs, back = aside(docs, doc_id)
     joined = docs.join(order, F.col(doc_id).eqNullSafe(F.col("__id")))
-    return joined.repartitionByRange("__at.slot", "__at.place").sortWithinPartitions("__at.slot", "__at.place", doc_id).select(*docs.columns).withColumnsRenamed(back)
+    return joined.repartitionByRange("__at.slot", "__at.place").sortWithinPartitions("__at.slot", "__at.place", doc_id), docs.columns, back
 
 
 _CLASS = "CASE " + " ".join(f"WHEN source = '{n}' THEN {i}" for i, n in enumerate(SHARES)) + f" ELSE {len(SHARES)} END"

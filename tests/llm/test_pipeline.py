@@ -1,5 +1,7 @@
 """The pipeline against plain Python over its stages' inputs."""
 
+import hashlib
+
 import corpus_pipeline as P
 from glosswerk.llm import langid, mixing
 
@@ -36,6 +38,25 @@ def test_run_against_brute_force(spark):
     got = P.run(spark, sf).collect()
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
     assert all(r.round_trip and r.n_tokens == len(r.ids) and r.n_chars == len(r.text) for r in got)
+    turns = brute_turns([(d, s) for d, _, s in cut if d in want])
+    assert [(r.slot, r.place, r.doc_id) for r in got] == sorted((*turns[d], d) for d in want)
+
+
+def brute_turns(rows):
+    """(slot, place) of each doc_id: earliest deadline first over blocks, slot by slot."""
+    names = list(mixing.SHARES)
+    parts = [*mixing.SHARES.values(), mixing.OTHER]
+    waiting = [[] for _ in parts]
+    for d, s in rows:
+        waiting[names.index(s) if s in names else len(names)].append((hashlib.md5(str(d).encode()).hexdigest(), d))
+    total, size, done, turns, slot = sum(parts), mixing.BLOCK_DOCS, [0] * len(parts), {}, 0
+    waiting = [[d for _, d in sorted(w)] for w in waiting]
+    while len(turns) < len(rows):
+        c = min((c for c, a in enumerate(parts) if done[c] * total // a <= slot), key=lambda c: (-(-(done[c] + 1) * total // parts[c]), c))
+        turns |= {d: (slot, n) for n, d in enumerate(waiting[c][done[c] * size : (done[c] + 1) * size])}
+        done[c] += 1
+        slot += 1
+    return turns
 
 
 def test_mixing_order_is_that_of_the_schedule(spark):
