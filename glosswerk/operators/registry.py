@@ -20,6 +20,8 @@ MISMATCH_BELOW = 0.5
 NOT_FOUND_BELOW = 0.3
 LEAST_SCORE = 50
 HITS = 3
+#: Similarity from which hits are looked for by rare words alone.
+FIRST_PASS = 0.5
 
 
 def papers(feeds: DataFrame) -> DataFrame:
@@ -124,24 +126,54 @@ def verify(dois: DataFrame, works: DataFrame, *fallbacks: DataFrame) -> DataFram
     return joined.select("doi", source.isNotNull().alias("verified"), source.alias("snapshot"), record["title"].alias("title"), record["authors"].alias("authors"), record["journal"].alias("journal"), record["year"].alias("year"), F.when(source.isNull(), "not in the snapshot").alias("error"))
 
 
-def search(queries: DataFrame, works: DataFrame, hits: int = HITS, threshold: float = 0.5) -> DataFrame:
-    """Up to ``hits`` works per query title, with rank, score (0 to 100), doi and title.
+def matches(queries: DataFrame, works: DataFrame, hits: int = HITS, threshold: float = 0.0) -> DataFrame:
+    """The ``hits`` works most similar to each query title among those that share a word
+    with it and reach ``threshold``: query, rank, doi, title, similarity.
 
-    Word sets are joined on their rarest words only: two sets of Jaccard similarity t
-    or more must share one of the first n - ceil(t n) + 1 words in order of rarity,
-    so common words never meet and no list of all pairs arises.
+    Word sets are joined on their rarest words first: two sets of Jaccard similarity t
+    or more must share one of the first n - ceil(t n) + 1 words in order of rarity.
+    A query that has all its hits at ``FIRST_PASS`` is done; only the others meet
+    every work they share any word with, however common.
     """
     ask = queries.select(F.col("title").alias("query")).where("query IS NOT NULL").distinct().withColumn("ws", X.words(F.col("query")))
     have = works.select("doi", "title").withColumn("ws", X.words(F.coalesce("title", F.lit(""))))
-    common = have.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    common = _frequencies(have)
 
-    def prefixes(sets: DataFrame, key: str) -> DataFrame:
+    def prefixes(sets: DataFrame, key: str, least: float) -> DataFrame:
         spread = sets.select(key, F.explode("ws").alias("w"), F.size("ws").alias("n")).join(common, "w", "left")
         nth = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "w"))
-        return spread.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select(key, "w")
-
-    pairs = prefixes(ask, "query").join(prefixes(have, "doi"), "w").select("query", "doi").distinct()
-    scored = pairs.join(ask, "query").join(have.withColumnRenamed("ws", "other"), "doi").withColumn("score", X.word_similarity(F.col("ws"), F.col("other")))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doi"))
-    ranked = scored.where(F.col("score") >= threshold).withColumn("rank", rank).where(F.col("rank") <= hits)
-    return ranked.select("query", F.col("rank").cast("int").alias("rank"), "doi", "title", (F.col("score") * 100).alias("score"))
+        return spread.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(key, "w")
+
+    def best(asked: DataFrame, least: float) -> DataFrame:
+        pairs = prefixes(asked, "query", least).join(prefixes(have, "doi", least), "w").select("query", "doi").distinct()
+        scored = pairs.join(asked, "query").join(have.withColumnRenamed("ws", "other"), "doi").withColumn("similarity", X.word_similarity(F.col("ws"), F.col("other")))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "doi"))
+        ranked = scored.where(F.col("similarity") >= least).withColumn("rank", rank).where(F.col("rank") <= hits)
+        return ranked.select("query", F.col("rank").cast("int").alias("rank"), "doi", "title", "similarity")
+
+    if threshold >= FIRST_PASS:
+        return best(ask, threshold)
+    first = best(ask, FIRST_PASS)
+    full = first.where(F.col("rank") == hits).select("query")
+    return first.join(full, "query", "left_semi").unionByName(best(ask.join(full, "query", "left_anti"), threshold))
+
+
+def search(queries: DataFrame, works: DataFrame, hits: int = HITS) -> DataFrame:
+    """``matches`` without a threshold, and score (0 to 100): how much of the query the
+    work holds, by rarity.  Words weigh ln(1 + works / works with the word); those of the
+    query that no work has weigh nothing.  Unlike the similarity it does not fall
+    with what else the titles say, so a high score and a low similarity can meet.
+    """
+    found = matches(queries, works, hits)
+    words = works.select("doi", X.words(F.coalesce("title", F.lit(""))).alias("ws"))
+    weight = F.log1p(F.col("total") / F.col("df")).alias("weight")
+    weights = _frequencies(words).join(F.broadcast(words.agg(F.count("*").alias("total"))), F.lit(True)).select("w", weight)
+    asked = found.select("query").distinct().select("query", F.explode(X.words(F.col("query"))).alias("w"))
+    known = asked.join(weights, "w").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("w", "weight"))).alias("known"))
+    total = lambda ks: F.aggregate(ks, F.lit(0.0), lambda s, k: s + k["weight"])
+    shared = F.filter("known", lambda k: F.array_contains(X.words(F.col("title")), k["w"]))
+    return found.join(known, "query").select("query", "rank", "doi", "title", (100 * total(shared) / total(F.col("known"))).alias("score"), "similarity")
+
+
+def _frequencies(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))

@@ -69,8 +69,9 @@ def verify_dois(spark, sf_dir):
 
 
 def title_search_top3(spark, sf_dir):
-    found = R.search(view(spark, sf_dir, "works2"), view(spark, sf_dir, "works"))
-    return found.withColumn("score", F.round("score", 6))
+    """Hits of similarity 0.5 or more, as the query's SQL has them; ``R.search`` has no floor."""
+    found = R.matches(view(spark, sf_dir, "works2"), view(spark, sf_dir, "works"), threshold=0.5)
+    return found.select("query", "rank", "doi", "title", F.round(F.col("similarity") * 100, 6).alias("score"))
 
 
 def _neighbours(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Hand-made cases: citations, BibTeX, notebooks, stale values, files, streams, commands."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,29 @@ def test_reference_pages(spark):
     assert {(r.paper, r.kind, r["count"]) for r in kinds} == {("p", "doi", 15), ("p", "title", 5)}
 
 
+def test_search_has_no_floor_and_titles_can_be_missed(spark, tmp_path, capsys):
+    """The best three by brute force, also where no or few works are similar."""
+    titles = ["common alpha beta", "common gamma delta epsilon zeta", "common alpha", "theta iota kappa", "common eta", None, "Zygomorphic petals: flower development under many different conditions everywhere", "common alpha beta gamma"]
+    works = spark.createDataFrame([(f"10.1/{k}", t, ["A"], "J", 2000) for k, t in enumerate(titles)], "doi string, title string, authors array<string>, journal string, year int")
+    asked = ["common alpha beta", "common unseen words", "gamma iota", "nothing shared here", "zygomorphic petals unheard", "to be"]
+    sets = {k: set(re.findall("[a-z]{3,}", (t or "").lower())) for k, t in enumerate(titles)}
+    want = set()
+    for q in asked:
+        a = set(re.findall("[a-z]{3,}", q))
+        best = sorted((-len(a & b) / len(a | b), f"10.1/{k}") for k, b in sets.items() if a & b)[:3]
+        want |= {(q, n, doi, round(-s, 9)) for n, (s, doi) in enumerate(best, 1)}
+    found = registry.search(spark.createDataFrame([(q,) for q in asked], "title string"), works).collect()
+    assert {(r.query, r.rank, r.doi, round(r.similarity, 9)) for r in found} == want
+    assert all(0 < r.score <= 100 + 1e-9 for r in found)
+    items = "".join(f'<li id="bib.{k}">B (2002). {t}. Venue.</li>' for k, t in enumerate(["Zygomorphic petals unheard", "Common alpha beta gamma"]))
+    works.write.parquet(f"{tmp_path}/works")
+    spark.createDataFrame([("p", f"<html>References{items}")], "paper string, html string").write.parquet(f"{tmp_path}/pages")
+    spark.createDataFrame([("f", "<entry><id>http://arxiv.org/abs/p</id><title>T</title></entry>")], "feed string, xml string").write.parquet(f"{tmp_path}/feeds")
+    assert cli.main(["arxiv", f"--snapshot={tmp_path}", "--json"], spark) == 0
+    issues = json.loads(capsys.readouterr().out)["issues"]
+    assert [(i["issue"], i["claimed"], i["best_match"]) for i in issues] == [("Title not found in CrossRef", "Zygomorphic petals unheard", titles[6])]
+
+
 @pytest.fixture
 def tree(tmp_path):
     for name, text in {".x.md": "Smith (2010)", "_x.md": "Lee (2011)", "a/b c.md": "Roe (1999) [NB01:K1] [NB01:K7]", "dist/no.md": "No (2000)", "a/no.txt": "No (2000)"}.items():
