@@ -26,7 +26,8 @@ FIRST_PASS = 0.5
 
 def papers(feeds: DataFrame) -> DataFrame:
     """id, title, authors of every entry in (feed, xml) that has an id and a title."""
-    entry = feeds.select(F.explode(F.slice(F.split("xml", "<entry>", -1), 2, 1_000_000)).alias("e"))
+    parts = F.split("xml", "<entry>", -1)
+    entry = feeds.select(F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("e"))
     found = entry.select(
         F.regexp_replace(F.regexp_extract("e", P.ENTRY_ID, 1), r"v\d+\z", "").alias("id"),
         X.strip(F.regexp_extract("e", P.ENTRY_TITLE, 1)).alias("title"),

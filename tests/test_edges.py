@@ -102,6 +102,11 @@ def test_reference_pages(spark):
     assert {(r.paper, r.kind, r["count"]) for r in kinds} == {("p", "doi", 15), ("p", "title", 5)}
 
 
+def test_a_feed_of_over_a_million_entries_is_whole(spark):
+    feed = spark.range(1).selectExpr("'f' AS feed", "repeat('<entry>', 1000000) || '<entry><id>http://arxiv.org/abs/last</id><title>T</title></entry>' AS xml")
+    assert [(r.id, r.title) for r in registry.papers(feed).collect()] == [("last", "T")]
+
+
 def test_search_has_no_floor_and_titles_can_be_missed(spark, tmp_path, capsys):
     """The best three by brute force, also where no or few works are similar."""
     titles = ["common alpha beta", "common gamma delta epsilon zeta", "common alpha", "theta iota kappa", "common eta", None, "Zygomorphic petals: flower development under many different conditions everywhere", "common alpha beta gamma"]
