@@ -1,22 +1,24 @@
-"""Substring dedup by hashing sentence-like units of lines.
+"""Substring dedup by hashing lines, and the sentence-like units within them.
 
-A unit runs up to and including the next ``.``, ``!``, ``?`` or line end (and any
-of these right after it), so the units of a text joined give the text back and
-original offsets stay known.  A unit is normalised (A-Z in lower case, white space
+Lines (up to and with their ``\\n``) are normalised (A-Z in lower case, white space
 ``[\\x20\\x09-\\x0D]`` collapsed and stripped) and hashed to 128 bits; digests are
-grouped over the whole corpus.  Occurrences rank by (doc_id, place in the text);
-the first stays and all others are repeats.  Consecutive repeats form a stretch, and
-a stretch of ``min_words`` words or more is removed: chance repeats of short
-sentences stay.  With ``min_chars`` whole lines are hashed too, normalised alike, and
-every later occurrence of a line of that many characters or more is removed, however
-few its words.  A line's first occurrence holds its units, so no unit loses its first
-one.  Without it, as in ``op1_substring_dedup``, whose ``ORACLE`` knows stretches
-alone, single common lines stay.
-
-Odd input: null or empty texts have no units; units without a word have no digest
-and never repeat; a null ``doc_id`` takes no part; rows that repeat a ``doc_id``
-are told apart by their text alone, and two rows equal in both are handled alike.
-An empty table gives an empty result.
+grouped over the whole corpus.  Occurrences rank by (doc_id, digest of the text, place
+in the text): the first stays, and every later one of a line of ``min_chars``
+characters or more is removed, however few its words.
+
+Passages that many documents share seldom begin and end with a line, so finer units
+are hashed alike: a unit runs up to and including the next ``.``, ``!``, ``?`` or line
+end (and any of these right after it), so the units of a text joined give the text
+back.  Consecutive repeated units form a stretch, and one of ``min_words`` words or
+more is removed; chance repeats of short sentences within a line stay.  With
+``min_words=None`` lines alone count, with ``min_chars=None`` stretches alone.  A line's
+first occurrence holds its units, so no text loses its first occurrence by either.
+
+Odd input: null or empty texts have no units; units and lines without a word have no
+digest and never repeat; a null ``doc_id`` takes no part; rows that repeat a ``doc_id``
+are documents of their own, ranked by a digest of their texts, and rows equal in both
+are one document, handled alike.  Very long texts are hashed whole, one at a time.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from glosswerk.llm.shared import Scratch, aside, join_hot, slices, text_bytes
 
-#: Fewest words of a repeated stretch that is removed.
+#: Fewest words of a repeated stretch of units that is removed.
 MIN_WORDS = 20
 #: Fewest characters of a normalised line that is removed where it is repeated.
 MIN_CHARS = 20
@@ -51,7 +53,7 @@ def units(text: bytes) -> Iterator[tuple[bytes, int, int, int]]:
 
 def lines(text: bytes, min_chars: int) -> Iterator[tuple[bytes, int, int]]:
     """Digest (b'' if shorter than ``min_chars``), first byte and end of each line;
-    no digest is that of a unit, as no unit starts with a line end when normalised."""
+    the digest is never a unit's, as no unit begins with a line end when normalised."""
     at = 0
     for line in LINES.findall(text):
         key = b" ".join(line.lower().split())
@@ -59,127 +61,141 @@ def lines(text: bytes, min_chars: int) -> Iterator[tuple[bytes, int, int]]:
         at += len(line)
 
 
-def _entries(docs: DataFrame, min_chars: int | None) -> DataFrame:
+def _entries(docs: DataFrame, min_words: int | None, min_chars: int | None) -> DataFrame:
+    """key, doc_id, digest, place of the units and lines of (doc_id, digest, text)."""
+
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in arrow:
             for part in slices(whole, "text"):
                 owners, keys, places = [], [], []
                 for k, text in enumerate(text_bytes(part.column("text"))):
-                    found = [(u[0], n) for n, u in enumerate(units(text)) if u[0]]
+                    found = [(u[0], n) for n, u in enumerate(units(text)) if u[0]] if min_words is not None else []
                     if min_chars is not None:
                         found += [(x[0], LINE + n) for n, x in enumerate(lines(text, min_chars)) if x[0]]
                     owners += [k] * len(found)
                     keys += [x for x, _ in found]
                     places += [n for _, n in found]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column("doc_id").take(pa.array(owners, pa.int32())), pa.array(places, pa.int32())], names=["key", "doc_id", "place"])
+                rows = pa.array(owners, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column("doc_id").take(rows), part.column("digest").take(rows), pa.array(places, pa.int32())], names=["key", "doc_id", "digest", "place"])
 
-    return docs.mapInArrow(run, "key binary, doc_id long, place int")
+    return docs.mapInArrow(run, "key binary, doc_id long, digest long, place int")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_chars: int | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with repeated stretches taken out of ``text``, and with ``min_chars``
-    (such as ``MIN_CHARS``) repeated lines too.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int | None = MIN_WORDS, min_chars: int | None = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
+    """``docs`` with repeated lines and stretches taken out of ``text``.
 
-    Adds n_units, n_removed (whole units) and spans, what was removed as code point
-    offsets (end exclusive) into the original text.  Columns of ``docs`` named like
-    these are replaced, all others stay.
+    Adds n_units, n_removed (units in removed stretches), n_lines_removed and spans,
+    what was removed as code point offsets (end exclusive) into the original text.
+    Columns of ``docs`` named like these are replaced, all others stay.
     """
-    docs, back = aside(docs.drop("n_units", "n_removed", "spans"), doc_id, text)
+    docs, back = aside(docs.drop("n_units", "n_removed", "n_lines_removed", "spans"), doc_id, text)
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
-    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    entries = scratch.write(_entries(source, min_chars), "entries")
-    first = entries.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeats = join_hot(entries, scratch.write(first, "first"), "key", "n", entries.count()).where("doc_id != first.doc_id OR place != first.place")
-    places = repeats.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("place").alias("__places"))
-    joined = docs.join(places, docs[doc_id].cast("long") == places["__id"], "left").select(*docs.columns, "__places")
+    digest = F.xxhash64(text).alias("digest")
+    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), digest, F.col(text).alias("text"))
+    entries = scratch.write(_entries(source, min_words, min_chars), "entries")
+    order = F.struct("doc_id", "digest", "place")
+    first = entries.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    repeats = join_hot(entries, scratch.write(first, "first"), "key", "n", entries.count()).where(order != F.col("first"))
+    places = repeats.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_set("place").alias("__places"))
+    mine = (docs[doc_id].cast("long") == places["__id"]) & (F.xxhash64(docs[text]) == places["__digest"])
+    joined = docs.join(places, mine, "left").select(*docs.columns, "__places")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([*docs.schema, T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
+    counts = ("n_units", "n_removed", "n_lines_removed")
+    schema = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in counts), T.StructField("spans", span)])
     names, out_names = docs.columns, schema.names
     at = names.index(text)
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in arrow:
             for part in slices(whole, text):
-                texts, counts, removed, spans = [], [], [], []
+                texts, numbers, spans = [], [], []
                 for raw, places in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column("__places").to_pylist(), strict=True):
-                    if not places:
-                        texts.append(raw)
-                        counts.append(sum(1 for _ in UNIT.finditer(raw or b"")))
-                        removed.append(0)
-                        spans.append([])
-                        continue
-                    kept, n, gone, cuts = cut(raw, set(places), min_words, min_chars)
-                    texts.append(kept)
-                    counts.append(n)
-                    removed.append(gone)
+                    if places:
+                        raw, *found, cuts = cut(raw, set(places), min_words, min_chars)
+                    else:
+                        found, cuts = (sum(1 for _ in UNIT.finditer(raw or b"")), 0, 0), []
+                    texts.append(raw)
+                    numbers.append(found)
                     spans.append([{"start": a, "end": b} for a, b in cuts])
                 columns = [part.column(c) for c in names]
                 columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)], names=out_names)
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([n[k] for n in numbers], pa.int64()) for k in range(3)), pa.array(spans, kind)], names=out_names)
 
     return joined.mapInArrow(run, schema).withColumnsRenamed(back)
 
 
-def cut(text: bytes, repeats: set[int], min_words: int, min_chars: int | None = None) -> tuple[bytes, int, int, list[tuple[int, int]]]:
-    """Kept bytes, number of units, of removed units, and removed code point spans."""
-    found = list(units(text))
-    parts, k = [], 0
-    while k < len(found):
+def cut(text: bytes, repeats: set[int], min_words: int | None, min_chars: int | None) -> tuple[bytes, int, int, int, list[tuple[int, int]]]:
+    """Kept bytes, number of units, of units in removed stretches, of removed lines, and
+    removed code point spans."""
+    found, parts, gone, k = list(units(text)), [], 0, 0
+    while min_words is not None and k < len(found):
         end = k
         while end < len(found) and end in repeats:
             end += 1
-        if sum(u[1] for u in found[k:end]) >= min_words:
+        if end > k and sum(u[1] for u in found[k:end]) >= min_words:
             parts.append((found[k][2], found[end - 1][3]))
+            gone += end - k
         k = end + 1
-    if min_chars is not None:
-        parts += [(a, b) for n, (_, a, b) in enumerate(lines(text, min_chars)) if LINE + n in repeats]
-    gone: list[list[int]] = []
-    for a, b in sorted(parts):
-        if gone and a <= gone[-1][1]:
-            gone[-1][1] = max(b, gone[-1][1])
+    doomed = [(a, b) for n, (_, a, b) in enumerate(lines(text, min_chars)) if LINE + n in repeats] if min_chars is not None else []
+    merged: list[list[int]] = []
+    for a, b in sorted(parts + doomed):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
         else:
-            gone.append([a, b])
-    kept, spans, at, chars, n, k = [], [], 0, 0, 0, 0
-    for a, b in gone:
+            merged.append([a, b])
+    kept, spans, at, chars = [], [], 0, 0
+    for a, b in merged:
         kept.append(text[at:a])
         start = chars + len(kept[-1].decode())
         chars = start + len(text[a:b].decode())
         spans.append((start, chars))
         at = b
-        while k < len(found) and found[k][2] < b:
-            n += found[k][2] >= a and found[k][3] <= b
-            k += 1
-    return b"".join(kept) + text[at:], len(found), n, spans
+    return b"".join(kept) + text[at:], len(found), gone, len(doomed), spans
 
 
-def digests(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
-    out = dedup(docs.select("doc_id", "text"), min_chars=min_chars)
+def digests(docs: DataFrame) -> DataFrame:
+    out = dedup(docs.select("doc_id", "text"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return out.select("doc_id", "n_units", "n_removed", F.size("spans").cast("long").alias("n_spans"), spans.alias("spans"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_units", "n_removed", "n_lines_removed", F.size("spans").cast("long").alias("n_spans"), spans.alias("spans"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
+
+
+def _units_sql(name: str, pattern: str, key: str) -> str:
+    """SQL of ``name``: doc_id, u, place, key, pos (code points before) and nth of each unit."""
+    return f"""
+{name}_split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS us FROM documents),
+{name}_raw AS (SELECT doc_id, unnest(us) AS u, unnest(range(len(us))) AS place FROM {name}_split),
+{name}_norm AS (
+  SELECT *, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS key FROM {name}_raw),
+{name} AS (
+  SELECT *, coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+         CASE WHEN {key} THEN row_number() OVER (PARTITION BY key ORDER BY doc_id, place) ELSE 1 END AS nth
+  FROM {name}_norm)"""
 
 
-_SPACE = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13) || chr(10)"
 ORACLE = f"""
-WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+[.!?\\n]*|[.!?\\n]+') AS us FROM documents),
-raw AS (SELECT doc_id, unnest(us) AS u, unnest(range(len(us))) AS place FROM split),
-norm AS (
-  SELECT *, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS key FROM raw),
-sized AS (
-  SELECT doc_id, u, place, key, CASE WHEN key = '' THEN 0 ELSE len(string_split(key, ' ')) END AS words,
-         coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
-         CASE WHEN key = '' THEN 1 ELSE row_number() OVER (PARTITION BY key ORDER BY doc_id, place) END AS nth
-  FROM norm),
-islands AS (SELECT *, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS island FROM sized),
+WITH {_units_sql("units", "[^.!?\\n]+[.!?\\n]*|[.!?\\n]+", "key <> ''")},
+{_units_sql("lines", "[^\\n]*\\n|[^\\n]+", f"key <> '' AND length(key) >= {MIN_CHARS}")},
+islands AS (
+  SELECT *, CASE WHEN key = '' THEN 0 ELSE len(string_split(key, ' ')) END AS words,
+         sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS island FROM units),
 stretches AS (
-  SELECT doc_id, island, min(pos) AS a, max(pos + length(u)) AS b, count(*) AS n
+  SELECT doc_id, min(pos) AS a, max(pos + length(u)) AS b, count(*) AS n
   FROM islands WHERE nth > 1 GROUP BY doc_id, island HAVING sum(words) >= {MIN_WORDS}),
-kept AS (
-  SELECT i.doc_id, string_agg(u, '' ORDER BY place) FILTER (s.doc_id IS NULL OR nth = 1) AS text, count(*) AS n_units
-  FROM islands i LEFT JOIN stretches s ON i.doc_id = s.doc_id AND i.island = s.island GROUP BY i.doc_id),
-gone AS (
-  SELECT doc_id, sum(n) AS n_removed, count(*) AS n_spans, string_agg(a::BIGINT || '-' || b::BIGINT, ',' ORDER BY a) AS spans FROM stretches GROUP BY doc_id)
-SELECT d.doc_id, coalesce(k.n_units, 0)::BIGINT AS n_units, coalesce(g.n_removed, 0)::BIGINT AS n_removed, coalesce(g.n_spans, 0)::BIGINT AS n_spans,
-       coalesce(g.spans, '') AS spans, sha256(coalesce(k.text, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN gone g USING (doc_id)
+doomed AS (SELECT doc_id, pos AS a, pos + length(u) AS b FROM lines WHERE nth > 1),
+parts AS (SELECT doc_id, a, b FROM stretches UNION ALL SELECT doc_id, a, b FROM doomed),
+reach AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM parts),
+spread AS (SELECT *, sum(CASE WHEN a <= far THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS span FROM reach),
+gone AS (SELECT doc_id, min(a)::BIGINT AS a, max(b)::BIGINT AS b FROM spread GROUP BY doc_id, span),
+pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM gone),
+cuts AS (
+  SELECT p.doc_id, count(*) AS n_spans, string_agg(a || '-' || b, ',' ORDER BY a) AS spans,
+         string_agg(substr(text, since + 1, a - since), '' ORDER BY a) || substr(any_value(text), max(b) + 1) AS kept
+  FROM pieces p JOIN documents d USING (doc_id) GROUP BY p.doc_id),
+many AS (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id),
+stretched AS (SELECT doc_id, sum(n) AS n FROM stretches GROUP BY doc_id),
+lined AS (SELECT doc_id, count(*) AS n FROM doomed GROUP BY doc_id)
+SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_units, coalesce(s.n, 0)::BIGINT AS n_removed, coalesce(l.n, 0)::BIGINT AS n_lines_removed,
+       coalesce(c.n_spans, 0)::BIGINT AS n_spans, coalesce(c.spans, '') AS spans, sha256(coalesce(c.kept, d.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN many m USING (doc_id) LEFT JOIN stretched s USING (doc_id) LEFT JOIN lined l USING (doc_id) LEFT JOIN cuts c USING (doc_id)
 """

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from glosswerk.llm import lines, neardup, substrings, suffixes
 
 WS = " \t\n\x0b\x0c\r"
@@ -39,56 +41,76 @@ def test_lines_do_not_depend_on_batches(docs):
     assert one == seven
 
 
-def test_substrings(docs, rows, empty):
-    """Against a loop over all units in order."""
-    texts = {(r[0], r[1]) for r in rows if r[0] is not None}
+def brute_substrings(rows, min_words=20, min_chars=20):
+    """(kept text, n_removed, n_lines_removed) of each row, by dictionaries of first places."""
+    key = lambda x: b" ".join(x.encode().lower().split()).decode()
+    unit = lambda t: [(m[0], *m.span()) for m in re.finditer(r"[^.!?\n]+[.!?\n]*|[.!?\n]+", t or "")]
+    line = lambda t: [(m[0], *m.span()) for m in re.finditer(r"[^\n]*\n|[^\n]+", t or "")]
+    texts = sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1]}, key=lambda r: (r[0], DIGESTS[r[1]]))
     first = {}
     for doc_id, text in texts:
-        for n, (h, *_) in enumerate(substrings.units((text or "").encode())):
-            if h:
-                first[h] = min(first.get(h, (doc_id, n)), (doc_id, n))
-    out = substrings.dedup(docs).collect()
-    assert len(out) == len(rows) and substrings.dedup(empty).count() == 0
-    originals = defaultdict(list)
+        for kind, found in ((0, unit(text)), (1, line(text))):
+            for n, (x, _, _) in enumerate(found):
+                first.setdefault((kind, key(x)), (doc_id, text, n))
+    out = []
     for r in rows:
-        originals[r[0]].append(r[1])
-    assert any(r.spans for r in out)
+        doc_id, text, gone = r[0], r[1] or "", set()
+        again = lambda kind, n, x: bool(key(x)) and doc_id is not None and first[kind, key(x)] != (doc_id, text, n)  # noqa: E731, B023
+        n_removed, n_lines, held = 0, 0, []
+        for n, u in [*enumerate(unit(text)), (-1, None)]:
+            if u and again(0, n, u[0]):
+                held.append(u)
+                continue
+            if sum(len(key(x).split(" ")) for x, _, _ in held) >= min_words:
+                n_removed += len(held)
+                gone |= {i for _, a, b in held for i in range(a, b)}
+            held = []
+        for n, (x, a, b) in enumerate(line(text)):
+            if len(key(x)) >= min_chars and again(1, n, x):
+                n_lines += 1
+                gone |= set(range(a, b))
+        out.append((doc_id, "".join(c for i, c in enumerate(text) if i not in gone), n_removed, n_lines))
+    return out
+
+
+DIGESTS: dict[str, int] = {}
+
+
+def digest_texts(spark, rows):
+    texts = sorted({r[1] for r in rows if r[1]})
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text")).collect()
+    DIGESTS.update(map(tuple, found))
+
+
+def test_substrings(spark, docs, rows, empty):
+    """Against loops over all lines and units with their first places."""
+    digest_texts(spark, rows)
+    want = brute_substrings(rows)
+    out = substrings.dedup(docs).collect()
+    assert sorted((repr((r.doc_id, r.text or "", r.n_removed, r.n_lines_removed)) for r in out)) == sorted(map(repr, want))
+    assert substrings.dedup(empty).count() == 0
+    assert any(w[2] for w in want) and any(w[3] for w in want)
+    texts = {(r[0], r[1]) for r in rows}
     for r in out:
-        fits = []
-        for original in originals[r.doc_id]:
-            kept, at = "", 0
-            for s in r.spans:
-                kept, at = kept + (original or "")[at : s.start], s.end
-            fits.append(kept + (original or "")[at:] == (r.text or ""))
-        assert any(fits)
-    by_id = {r.doc_id: r for r in out if r.doc_id is not None and r.doc_id not in (60, 61)}
-    assert all(not by_id[k].spans for k in range(12))
+        assert any(d == r.doc_id and "".join(c for i, c in enumerate(t or "") if not any(s.start <= i < s.end for s in r.spans)) == (r.text or "") for d, t in texts)
+    by_id = {r.doc_id: r for r in out}
     assert by_id[20].n_removed == 0 and by_id[21].text == "" and by_id[23].text == ""
-    assert [by_id[30 + k].n_removed > 0 for k in range(5)] == [False, True, True, True, True]
+
+
+def test_rows_that_repeat_a_doc_id_lose_only_what_stays_elsewhere(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(2, a), (2, b), (3, a), (2, c), (2, c), (1, f"{c}\nshort"), (9, b)]
+    digest_texts(spark, rows)
+    out = sorted((r.doc_id, r.text) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert out == sorted((w[0], w[1]) for w in brute_substrings(rows)) == sorted([(2, a), (2, b), (3, ""), (2, ""), (2, ""), (1, f"{c}\nshort"), (9, "")])
 
 
 def test_repeated_lines_go_however_short(spark):
-    """Against a loop over all lines: a line of MIN_CHARS or more stays once in all,
-    also before a line that starts with an end mark and as a text of its own."""
     line, other = "Nine words that many of the texts do share.", "Ünïcode line número one"
     texts = [f"alpha one\n{line}\nbeta two", f"gamma three\n  {line.upper()}\t\n... delta\n{line}", line, other, f"{other}\nthe.\nepsilon four", f"the.\n{other}\n{other}"]
-    rows = list(enumerate(texts))
-    key = lambda x: " ".join(x.encode().lower().decode().split())
-    seen, want = set(), {}
-    for k, t in rows:
-        kept = []
-        for x in re.findall(r"[^\n]*\n|[^\n]+", t):
-            if len(key(x)) < substrings.MIN_CHARS or key(x) not in seen:
-                kept.append(x)
-            seen.add(key(x))
-        want[k] = "".join(kept)
-    out = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_chars=substrings.MIN_CHARS).collect()
-    assert {r.doc_id: r.text for r in out} == want
-    assert want[2] == "" and want[1] == "gamma three\n... delta\n" and want[5] == "the.\n"
-    for r in out:
-        gone = {i for s in r.spans for i in range(s.start, s.end)}
-        assert "".join(c for i, c in enumerate(texts[r.doc_id]) if i not in gone) == r.text
-    assert {r.doc_id: (r.n_units, r.n_removed) for r in out}[5] == (3, 2)
+    out = {r.doc_id: r for r in substrings.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=None).collect()}
+    assert out[2].text == "" and out[1].text == "gamma three\n... delta\n" and out[5].text == "the.\n" and out[0].text == texts[0]
+    assert [out[k].n_lines_removed for k in range(6)] == [0, 2, 1, 0, 1, 2]
 
 
 def brute_classes(rows):
