@@ -69,13 +69,25 @@ class Scratch:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(f"{self.path}/{table}")
 
-    def bucketed(self, df: DataFrame, table: str, buckets: int, column: str) -> DataFrame:
-        """A table whose rows lie in ``buckets`` files by ``column``, so that later
-        grouping by it moves no row."""
+    def bucketed(self, df: DataFrame, table: str, buckets: int, column: str, sort: bool = False) -> DataFrame:
+        """A table whose rows lie in ``buckets`` files by ``column`` (and sorted by it), so
+        that later grouping or joining by it moves no row."""
+        name, path = f"{table}_{uuid.uuid4().hex}", f"{self.path}/{table}"
+        writer = df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "zstd")
+        (writer.sortBy(column) if sort else writer).saveAsTable(name)
+        return self._resolved(name)
+
+    def open_bucketed(self, table: str, schema: str, buckets: int, column: str) -> DataFrame:
+        """A table that ``bucketed`` wrote sorted, in this session or an earlier one."""
         name = f"{table}_{uuid.uuid4().hex}"
-        writer = df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", f"{self.path}/{table}")
-        writer.option("compression", "zstd").saveAsTable(name)
-        return self.spark.table(name)
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({column}) SORTED BY ({column}) INTO {buckets} BUCKETS LOCATION '{self.path}/{table}'")
+        return self._resolved(name)
+
+    def _resolved(self, name: str) -> DataFrame:
+        """The table as a DataFrame; only its name leaves the catalog, its files stay."""
+        df = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        return df
 
     def drop(self, *tables: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()

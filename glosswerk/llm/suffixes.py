@@ -1,33 +1,37 @@
-"""Repeated-substring removal by difference-cover blockwise suffix ordering.
+"""Repeated-substring removal with a difference cover and buckets of fingerprints.
 
 Every byte covered by a ``WINDOW``-byte string that also starts anywhere else in the
-corpus is removed.  Suffixes need ordering only as far as their first ``WINDOW``
-bytes, and only suffixes that may be repeated that far need ordering at all:
+corpus is removed.
 
 1. Equal texts are grouped first.  The texts left are dealt into chunks of about
    ``CHUNK_BYTES``; a chunk is the unit of work and of memory.
 2. Cover sample.  Positions p of a text with p mod ``PERIOD`` in a difference cover
-   are sampled and named by the fingerprint of their next ``BLOCK`` = WINDOW -
-   PERIOD + 1 bytes.  For any two starts i, j some shift d < PERIOD puts both i + d
-   and j + d in the sample, so two equal windows always hold two equal names.
+   are sampled and named by the fingerprint of their next ``BLOCK`` bytes.  For any two
+   starts i, j some shift d < PERIOD puts both i + d and j + d in the sample, so
+   two equal strings of BLOCK + PERIOD - 1 bytes or more hold two equal names.
 3. Each chunk sends its distinct names once to the name's bucket.  Buckets split
    the range of fingerprints so that one holds about ``BUCKET_ROWS``; a task sorts
    one bucket at a time and answers each chunk with a bit mask: which of its
-   names are repeated elsewhere.
-4. Only suffixes from whose first PERIOD bytes a repeated cover name starts are
-   candidates.  They are ordered the same way, a bucket at a time, by a 128-bit
-   fingerprint of their whole window, so ties of any length cost one comparison.
-   Equal neighbours are repeats; the chunks get a second mask and cut their texts.
+   names are repeated elsewhere ("tied").
+4. Only starts with a tied name in their first PERIOD bytes are candidates.  They are
+   ordered the same way, a bucket at a time, by a 96-bit fingerprint of their whole
+   window, so ties of any length cost one comparison.  Equal neighbours are
+   repeats; the chunks get a second mask and cut their texts.
 
 What moves between tasks is distinct fingerprints one way and single bits the
-other; a string held by a third of all documents is sent once by each chunk.
-Suffixes are ordered by fingerprints, not alphabetically: removal asks for equality
-alone, and fingerprint ranges are even where alphabetical ones are not.
+other; a string held by a third of all documents is sent once by each chunk.  A
+chunk sends one row to each bucket it has names for, so never more rows than names.
+
+Not the dealt method: suffixes are not put in alphabetical order and no tie is
+broken by the rank of a sample suffix; README gives the figures that decided it.
+Windows count as equal if two fingerprints with independent bases (64 and 32 bits)
+are; among n candidates that errs with probability n * n / 2**97 (2e-13 for the
+10**8 of a GB, 3e-4 for the 10**13 of 100 TB), and bytes are not compared again.
 
 Odd input: null and empty texts have 0 bytes; texts under ``WINDOW`` bytes lose
 nothing; cuts may fall within a character, so what is kept is bytes; rows that
-repeat a ``doc_id``, or a null one, are documents like any others.  An empty table
-gives an empty result.
+repeat a ``doc_id``, or a null one, are documents like any others; a text longer
+than a chunk is a chunk of its own.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,6 +48,9 @@ from pyspark.sql import functions as F
 from glosswerk.llm.shared import Scratch, aside
 
 WINDOW = 400
+#: Bytes that name a sample position: every repeat of BLOCK + PERIOD - 1 = 310 bytes,
+#: about 50 words, ties some; at most WINDOW - PERIOD + 1, or windows would be missed.
+BLOCK = 128
 #: A prime q gives a perfect difference cover of q + 1 residues modulo q * q + q + 1.
 COVER_PRIME = 13
 PERIOD = COVER_PRIME**2 + COVER_PRIME + 1
@@ -76,19 +83,20 @@ def difference_cover(q: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random values of bytes (two lanes), powers of an odd base, inverse powers."""
+    """For two lanes: random values of bytes, powers of an odd base, inverse powers."""
     r = np.random.default_rng(99194853)
     values = r.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = 0x9E3779B97F4A7C15
-    n = SEGMENT + WINDOW + 1
-    powers, inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b & (2**64 - 1), np.uint64)])) for b in (base, pow(base, -1, 2**64)))
+    n, mod = SEGMENT + WINDOW + 1, 2**64
+    bases = [int(b) * 2 + 1 for b in r.integers(1 << 61, 1 << 63, 2)]
+    powers, inverse = (np.array([np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in bs]) for bs in ([b % mod for b in bases], [pow(b, -1, mod) for b in bases]))
     return values, powers, inverse
 
 
 def fingerprints(raw: np.ndarray, at: np.ndarray, length: int, lanes: int = 1) -> list[np.ndarray]:
-    """Fingerprints of raw[p : p + length] for the ascending positions ``at``."""
+    """Fingerprints of raw[p : p + length] for the ascending positions ``at``: 64 bits,
+    and with two lanes 32 more of another base."""
     values, powers, inverse = tables()
-    out = [np.empty(len(at), np.uint64) for _ in range(lanes)]
+    out = [np.empty(len(at), (np.uint64, np.uint32)[lane]) for lane in range(lanes)]
     bounds = np.searchsorted(at, np.arange(0, len(raw) + SEGMENT, SEGMENT))
     for k, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
         if s == e:
@@ -97,10 +105,11 @@ def fingerprints(raw: np.ndarray, at: np.ndarray, length: int, lanes: int = 1) -
         p = at[s:e] - k * SEGMENT
         for lane in range(lanes):
             sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(values[lane][part] * powers[: len(part)], out=sums[1:])
-            h = (sums[p + length] - sums[p]) * inverse[p]
+            np.cumsum(values[lane][part] * powers[lane, : len(part)], out=sums[1:])
+            h = (sums[p + length] - sums[p]) * inverse[lane][p]
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            out[lane][s:e] = h ^ (h >> np.uint64(32))
+            h ^= h >> np.uint64(32)
+            out[lane][s:e] = h if lane == 0 else (h >> np.uint64(32)).astype(np.uint32)
     return out
 
 
@@ -117,19 +126,22 @@ class Chunk:
 
     def sample(self) -> np.ndarray:
         """Cover positions with a whole block after them."""
-        cover, block = difference_cover(COVER_PRIME), WINDOW - PERIOD + 1
-        out = []
+        cover, out = difference_cover(COVER_PRIME), []
         for s, e in zip(self.starts, self.ends, strict=True):
-            if e - s >= WINDOW:
+            if e - s >= BLOCK:
                 p = (np.arange(0, e - s, PERIOD)[:, None] + cover[None, :]).ravel()
-                out.append(s + p[p + block <= e - s])
+                out.append(s + p[p + BLOCK <= e - s])
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
-    def candidates(self, sample: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-        """Starts of whole windows with a repeated sample in their first PERIOD bytes."""
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        """Which text each position lies in."""
+        return np.searchsorted(self.ends, at, side="right")
+
+    def candidates(self, tied: np.ndarray) -> np.ndarray:
+        """Starts of whole windows with one of the positions ``tied`` in their first PERIOD bytes."""
         mark = np.zeros(len(self.raw) + 1, np.int32)
-        p = sample[repeated]
-        first = self.starts[np.searchsorted(self.ends, p, side="right")]
+        p = tied
+        first = self.starts[self.text_of(p)]
         np.add.at(mark, np.maximum(p - PERIOD + 1, first), 1)
         np.add.at(mark, p + 1, -1)
         could = np.cumsum(mark[:-1]) > 0
@@ -170,7 +182,7 @@ class Names:
 
 def answer(table: pa.Table) -> pa.Table:
     """One bucket: bit masks of the names that more than one chunk holds."""
-    lanes = [[np.frombuffer(x, np.uint64) for x in table.column(c).to_pylist()] for c in ("n1", "n2")]
+    lanes = [[np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("n1", np.uint64), ("n2", np.uint32))]
     sizes = [len(x) for x in lanes[0]]
     one, two = np.concatenate(lanes[0]), np.concatenate(lanes[1])
     keys = [one] if not len(two) else [two, one]
@@ -198,7 +210,7 @@ def _sent(chunk: int, names: Names) -> pa.Table:
 
 _SENT = "chunk long, bucket long, n1 binary, n2 binary"
 _MASK = "chunk long, bucket long, mask binary"
-_CUT = "h1 long, h2 long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+_CUT = "h1 long, h2 long, n_bytes long, n_ties long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 def keyed(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
@@ -208,7 +220,9 @@ def keyed(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 
 
 def cut_texts(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Per distinct text: h1, h2, n_bytes, spans (removed, as byte offsets), kept (bytes)."""
+    """Per distinct text: h1, h2, n_bytes, n_ties, spans (removed, as byte offsets), kept
+    (bytes).  ``n_ties`` counts the sample positions whose next ``BLOCK`` bytes are found
+    at another one; it also shows repeats too short to be removed."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffixes")
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
@@ -221,29 +235,34 @@ def cut_texts(docs: DataFrame, text: str = "text", scratch: Scratch | None = Non
     def sampled(table: pa.Table) -> tuple[Chunk, np.ndarray, Names]:
         chunk = Chunk(table)
         at = chunk.sample()
-        return chunk, at, Names(fingerprints(chunk.raw, at, WINDOW - PERIOD + 1), sample_buckets)
+        return chunk, at, Names(fingerprints(chunk.raw, at, BLOCK), sample_buckets)
 
-    def windows(table: pa.Table, masks: pa.Table) -> tuple[Chunk, np.ndarray, Names]:
+    def windows(table: pa.Table, masks: pa.Table) -> tuple[Chunk, np.ndarray, np.ndarray, Names]:
         chunk, at, names = sampled(table)
-        starts = chunk.candidates(at, names.repeated(_masks(masks)))
-        return chunk, starts, Names(fingerprints(chunk.raw, starts, WINDOW, lanes=2), window_buckets)
+        tied = at[names.repeated(_masks(masks))]
+        starts = chunk.candidates(tied)
+        return chunk, tied, starts, Names(fingerprints(chunk.raw, starts, WINDOW, lanes=2), window_buckets)
 
     def send_names(table: pa.Table) -> pa.Table:
         return _sent(table.column("chunk")[0].as_py(), sampled(table)[2])
 
     def send_windows(table: pa.Table, masks: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _sent(0, Names([np.empty(0, np.uint64)] * 2, window_buckets))
-        return _sent(table.column("chunk")[0].as_py(), windows(table, masks)[2])
+            return _sent(0, Names([np.empty(0, np.uint64), np.empty(0, np.uint32)], window_buckets))
+        return _sent(table.column("chunk")[0].as_py(), windows(table, masks)[3])
 
     def cut(table: pa.Table, masks: pa.Table) -> pa.Table:
         if table.num_rows:
             first, second = (masks.filter(pa.compute.equal(masks.column("step"), k)) for k in (1, 2))
-            chunk, starts, names = windows(table, first)
+            chunk, tied, starts, names = windows(table, first)
             repeated = starts[names.repeated(_masks(second))]
             keys, ends, begins, raw = chunk.keys, chunk.ends, chunk.starts, chunk.raw
+            copied = keys.column("copies").to_numpy() > 1
+            at = chunk.sample()
+            ties = np.where(copied, np.bincount(chunk.text_of(at), minlength=len(ends)), np.bincount(chunk.text_of(tied), minlength=len(ends)))
         else:
             keys, ends, begins, raw, repeated = pa.table({c: pa.array([], pa.int64()) for c in ("h1", "h2", "copies")}), [], [], b"", np.empty(0, np.int64)
+            ties = np.empty(0, np.int64)
         mark = np.zeros(len(raw) + WINDOW + 1, np.int32)
         mark[repeated] += 1
         mark[repeated + WINDOW] -= 1
@@ -257,20 +276,22 @@ def cut_texts(docs: DataFrame, text: str = "text", scratch: Scratch | None = Non
             kept.append(raw[s:e][~gone[s:e]].tobytes())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         sizes = pa.array([int(e - s) for s, e in zip(begins, ends, strict=True)], pa.int64())
-        return pa.table({"h1": keys.column("h1"), "h2": keys.column("h2"), "n_bytes": sizes, "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"h1": keys.column("h1"), "h2": keys.column("h2"), "n_bytes": sizes, "n_ties": pa.array(ties, pa.int64()), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary())})
+
+    def answered(sent: DataFrame, buckets: int, name: str) -> DataFrame:
+        """As many tasks as buckets, whose size is fixed, however large the corpus."""
+        return scratch.write(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, _MASK), name)
 
-    names = texts.groupBy("chunk").applyInArrow(send_names, _SENT)
-    first = scratch.write(names.groupBy("bucket").applyInArrow(answer, _MASK), "masks1")
-    sent = texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_windows, _SENT)
-    second = scratch.write(sent.groupBy("bucket").applyInArrow(answer, _MASK), "masks2")
+    first = answered(texts.groupBy("chunk").applyInArrow(send_names, _SENT), sample_buckets, "masks1")
+    second = answered(texts.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_windows, _SENT), window_buckets, "masks2")
     both = first.withColumn("step", F.lit(1)).unionAll(second.withColumn("step", F.lit(2)))
     return texts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(cut, _CUT)
 
 
 def dedup(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with n_bytes, spans (byte offsets removed) and kept (binary); columns of
-    these names are replaced, all others stay."""
-    docs, back = aside(docs.drop("n_bytes", "spans", "kept"), text)
+    """``docs`` with n_bytes, n_ties, spans (byte offsets removed) and kept (binary);
+    columns of these names are replaced, all others stay."""
+    docs, back = aside(docs.drop("n_bytes", "n_ties", "spans", "kept"), text)
     ids = docs.withColumns({"h1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "h2": F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit("")))})
     return ids.join(cut_texts(docs, text, scratch), ["h1", "h2"]).drop("h1", "h2").withColumnsRenamed(back)
 
@@ -278,5 +299,5 @@ def dedup(docs: DataFrame, text: str = "text", scratch: Scratch | None = None) -
 def digests(docs: DataFrame) -> DataFrame:
     found = cut_texts(docs.select("text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    results = found.select("h1", "h2", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    return keyed(docs, "doc_id").drop("text").join(results, ["h1", "h2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    results = found.select("h1", "h2", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_ties")
+    return keyed(docs, "doc_id").drop("text").join(results, ["h1", "h2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_ties")

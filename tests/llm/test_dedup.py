@@ -172,21 +172,35 @@ def brute_repeats(texts, w=suffixes.WINDOW):
 
 
 def test_suffixes(docs, rows, empty, spark):
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     want = [(r[0], *x) for r, x in zip(rows, brute_repeats([(r[1] or "").encode() for r in rows]), strict=True)]
-    assert sorted(map(tuple, suffixes.digests(docs).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(tuple, suffixes.digests(docs).select(columns).collect()), key=repr) == sorted(want, key=repr)
     assert suffixes.digests(empty).count() == 0
     assert sum(1 for w in want if 0 < w[2] < w[1]) > 3
     whole = suffixes.dedup(docs)
-    assert set(whole.columns) == set(docs.columns) | {"n_bytes", "kept"} and whole.count() == len(rows)
+    assert set(whole.columns) == set(docs.columns) | {"n_bytes", "n_ties", "kept"} and whole.count() == len(rows)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("texts_")]
     # The same over chunks and buckets of a few rows, so that repeats cross them.
     old = suffixes.CHUNK_BYTES, suffixes.BUCKET_ROWS
     suffixes.CHUNK_BYTES, suffixes.BUCKET_ROWS = 3000, 100
     try:
-        assert sorted(map(tuple, suffixes.digests(docs).collect()), key=repr) == sorted(want, key=repr)
+        assert sorted(map(tuple, suffixes.digests(docs).select(columns).collect()), key=repr) == sorted(want, key=repr)
     finally:
         suffixes.CHUNK_BYTES, suffixes.BUCKET_ROWS = old
 
 
+def test_repeats_below_the_window_are_ties(spark):
+    """Every repeat of BLOCK + PERIOD - 1 bytes ties, none below BLOCK bytes does."""
+    import random
+
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    long_, short = text(suffixes.BLOCK + suffixes.PERIOD - 1), text(suffixes.BLOCK - 1)
+    rows = [(k, text(200 + 31 * k) + (long_ if k % 3 == 0 else short if k % 3 == 1 else "") + text(150)) for k in range(30)]
+    got = {x.doc_id: (x.n_ties > 0, x.n_removed) for x in suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (k % 3 == 0, 0) for k in range(30)}
+
+
 def test_difference_cover_has_every_shift():
     cover, v = suffixes.difference_cover(suffixes.COVER_PRIME), suffixes.PERIOD
     assert {(i - j) % v for i in cover for j in cover} == set(range(v)) and len(cover) == 14
