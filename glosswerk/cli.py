@@ -76,12 +76,13 @@ def aggregate(spark, a) -> int:
 
 def arxiv(spark, a) -> int:
     feeds, pages, works = (spark.read.parquet(f"{a.snapshot}/{t}") for t in ("feeds", "pages", "works"))
-    papers, refs = registry.papers(feeds), registry.references(pages)
+    papers, items = registry.papers(feeds), registry.items(pages)
+    refs = registry.references(pages)
     works = works.dropDuplicates(["doi"])
-    checks = registry.check_dois(refs, works)
-    asked = registry.budget(refs).where("kind = 'title'").select("title")
+    checks = registry.check_dois(items, works)
+    asked = registry.titles_in_budget(items).select("title")
     hits = registry.search(asked, works)
-    issues = registry.issues(checks, registry.check_titles(refs, hits)).cache()
+    issues = registry.issues(checks, registry.check_titles(items, hits)).cache()
     result = {"stats": _rows(registry.stats(registry.paper_stats(papers, refs, issues)))[0], "issues": _rows(issues.orderBy("paper"))}
     _show(result, a.json)
     return int(not a.json and bool(result["issues"]))

@@ -15,7 +15,7 @@ from glosswerk.functions import patterns as P
 
 def strip(x: Column) -> Column:
     """Without white space (any of ``patterns.SPACE``) at either end."""
-    return F.regexp_replace(x, f"^{P.SPACE}+|{P.SPACE}+\\z", "")
+    return F.btrim(x, F.lit(P.SPACES))
 
 
 def some(x: Column) -> Column:
@@ -61,6 +61,11 @@ def inline_surname(authors: Column) -> Column:
     return F.lower(strip(F.get(F.split(authors, P.AUTHOR_BREAK, -1), F.lit(0))))
 
 
+def first_three(names: Column, sep: str) -> Column:
+    """Up to three names, and whether there are more."""
+    return F.concat(F.array_join(F.slice(names, 1, 3), sep), F.when(F.size(names) > 3, " et al.").otherwise(""))
+
+
 def surname(authors: Column) -> Column:
     """Of a bibliography entry: its first author up to the comma."""
     return F.lower(strip(F.get(F.split(F.get(authors, F.lit(0)), ",", -1), F.lit(0))))

@@ -6,6 +6,7 @@ per-paper budgets are ``row_number() <= k``, which Spark limits before its shuff
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
+from glosswerk.operators.settle import settled
 
 DOI_BUDGET = 15
 TITLE_BUDGET = 5
@@ -20,45 +22,69 @@ MISMATCH_BELOW = 0.5
 NOT_FOUND_BELOW = 0.3
 LEAST_SCORE = 50
 HITS = 3
-#: Similarity from which hits are looked for by rare words alone.
-FIRST_PASS = 0.5
+#: Similarities from which hits are looked for, one after the other, by pairs of rare
+#: words; multiples of 1/16, so that their products with set sizes are exact.
+PASSES = (0.6875, 0.5)
 
 
 def papers(feeds: DataFrame) -> DataFrame:
-    """id, title, authors of every entry in (feed, xml) that has an id and a title."""
+    """id, title, authors, published, categories of every entry in (feed, xml) that has an
+    id and a title."""
     parts = F.split("xml", "<entry>", -1)
     entry = feeds.select(F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("e"))
     found = entry.select(
         F.regexp_replace(F.regexp_extract("e", P.ENTRY_ID, 1), r"v\d+\z", "").alias("id"),
         X.strip(F.regexp_extract("e", P.ENTRY_TITLE, 1)).alias("title"),
         F.regexp_extract_all("e", F.lit(P.ENTRY_NAME), F.lit(1)).alias("authors"),
+        X.first(F.col("e"), P.ENTRY_PUBLISHED).alias("published"),
+        F.regexp_extract_all("e", F.lit(P.ENTRY_CATEGORY), F.lit(1)).alias("categories"),
     )
     return found.where("id != '' AND title != ''")
 
 
-def references(pages: DataFrame) -> DataFrame:
-    """paper, pos (from 0), doi, title, year, raw of the reference items of (paper, html).
+def newest(papers_: DataFrame, count: int, category: str | None = None) -> DataFrame:
+    """The ``count`` papers submitted last, of one category or all; undated ones come
+    last, ties by id.  ISO dates sort as text."""
+    chosen = papers_ if category is None else papers_.where(F.array_contains("categories", F.lit(category)))
+    return chosen.orderBy(F.col("published").desc_nulls_last(), "id").limit(count)
+
+
+def items(pages: DataFrame) -> DataFrame:
+    """paper, pos (from 0), item, doi of the reference items of (paper, html).
 
     Only what follows the last ``References`` counts; without it there are none.
     """
     section = F.when(F.contains("html", F.lit("References")), F.substring_index("html", "References", -1))
-    items = pages.select("paper", F.posexplode(F.regexp_extract_all(section, F.lit(P.REFERENCE_ITEM), F.lit(1))).alias("pos", "item"))
+    found = pages.select("paper", F.posexplode(F.regexp_extract_all(section, F.lit(P.REFERENCE_ITEM), F.lit(1))).alias("pos", "item"))
+    doi = X.some(F.regexp_replace(F.regexp_extract("item", P.REFERENCE_DOI, 1), "['\"]+\\z", ""))
+    return found.select("paper", "pos", "item", doi.alias("doi"))
+
+
+def parsed(found: DataFrame) -> DataFrame:
+    """``items`` with title, year and raw in the place of the item."""
     item, clean = F.col("item"), F.col("clean")
-    items = items.withColumn("clean", X.strip(F.regexp_replace(F.regexp_replace(item, "<[^>]+>", " "), f"{P.SPACE}+", " ")))
+    found = found.withColumn("clean", X.strip(F.regexp_replace(F.regexp_replace(item, "<[^>]+>", " "), f"{P.SPACE}+", " ")))
     title = F.coalesce(X.first(item, P.REFERENCE_CITE), X.some(X.strip(F.regexp_extract(clean, P.REFERENCE_TITLE, 1))), X.some(X.strip(F.regexp_extract(item, P.REFERENCE_ITALIC, 1))))
-    return items.select(
-        "paper",
-        "pos",
-        X.some(F.regexp_replace(F.regexp_extract(item, P.REFERENCE_DOI, 1), "['\"]+\\z", "")).alias("doi"),
-        title.alias("title"),
-        X.first(clean, P.REFERENCE_YEAR).try_cast("int").alias("year"),
-        F.left(clean, F.lit(200)).alias("raw"),
-    )
+    found = found.withColumns({"title": title, "year": X.first(clean, P.REFERENCE_YEAR).try_cast("int"), "raw": F.left(clean, F.lit(200))})
+    return found.drop("item", "clean")
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """paper, pos (from 0), doi, title, year, raw of the reference items of (paper, html)."""
+    return parsed(items(pages)).select("paper", "pos", "doi", "title", "year", "raw")
+
+
+def _journal():
+    return F.col("doi").isNotNull() & ~F.startswith("doi", F.lit(P.PREPRINT_DOI))
 
 
 def _kind():
-    journal = F.col("doi").isNotNull() & ~F.startswith("doi", F.lit(P.PREPRINT_DOI))
-    return F.when(journal, "doi").when(F.col("doi").isNull() & F.col("title").isNotNull(), "title")
+    return F.when(_journal(), "doi").when(F.col("doi").isNull() & F.col("title").isNotNull(), "title")
+
+
+def _first_of(rows: DataFrame, most: int) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("paper").orderBy("pos"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= most)
 
 
 def budget(refs: DataFrame) -> DataFrame:
@@ -68,24 +94,35 @@ def budget(refs: DataFrame) -> DataFrame:
     return ranked.where(F.col("nth") <= F.when(F.col("kind") == "doi", DOI_BUDGET).otherwise(TITLE_BUDGET))
 
 
-def check_dois(refs: DataFrame, works: DataFrame) -> DataFrame:
-    """Outcome of each DOI in budget: ``ok``, ``DOI not found`` or ``DOI-title mismatch``.
+def dois_in_budget(found: DataFrame) -> DataFrame:
+    """The ``DOI_BUDGET`` first items with a DOI to look up, of each paper; titles, years
+    and texts are parsed for these alone."""
+    return parsed(_first_of(found.where(_journal()), DOI_BUDGET))
+
 
-    The similarity is kept unrounded; it is what thresholds look at.
+def titles_in_budget(found: DataFrame) -> DataFrame:
+    """The ``TITLE_BUDGET`` first items with a title alone, of each paper."""
+    return _first_of(parsed(found.where("doi IS NULL")).where("title IS NOT NULL"), TITLE_BUDGET)
+
+
+def check_dois(found: DataFrame, works: DataFrame) -> DataFrame:
+    """Outcome of each DOI in budget of ``items``: ``ok``, ``DOI not found`` or ``DOI-title
+    mismatch``.  The similarity is kept unrounded; it is what thresholds look at.
     """
     known = works.select("doi", F.col("title").alias("actual"), F.lit(True).alias("verified"))
-    found = budget(refs).where("kind = 'doi'").join(known, "doi", "left").withColumn("similarity", X.title_similarity(F.col("title"), F.col("actual")))
+    checked = dois_in_budget(found).join(known, "doi", "left").withColumn("similarity", X.title_similarity(F.col("title"), F.col("actual")))
     mismatch = F.col("title").isNotNull() & (F.col("similarity") < MISMATCH_BELOW) & ~X.title_contains_all(F.col("title"), F.col("actual"))
     outcome = F.when(F.col("verified").isNull(), "DOI not found").when(mismatch, "DOI-title mismatch").otherwise("ok")
-    return found.select("paper", "pos", "doi", "title", "raw", "actual", "similarity", outcome.alias("outcome"))
+    return checked.select("paper", "pos", "doi", "title", "raw", "actual", "similarity", outcome.alias("outcome"))
 
 
-def check_titles(refs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Outcome of each title in budget against its best hit (query, rank, title, score)."""
+def check_titles(found: DataFrame, hits: DataFrame) -> DataFrame:
+    """Outcome of each title in budget of ``items`` against its best hit (query, rank,
+    title, score)."""
     best = hits.where("rank = 1").select(F.col("query").alias("title"), F.col("title").alias("best_match"), "score")
-    found = budget(refs).where("kind = 'title'").join(best, "title", "left").withColumn("similarity", X.title_similarity(F.col("title"), F.col("best_match")))
+    checked = titles_in_budget(found).join(best, "title", "left").withColumn("similarity", X.title_similarity(F.col("title"), F.col("best_match")))
     bad = (F.coalesce("score", F.lit(0.0)) > LEAST_SCORE) & (F.col("similarity") < NOT_FOUND_BELOW)
-    return found.select("paper", "pos", "title", "raw", "best_match", "score", "similarity", F.when(bad, "Title not found in CrossRef").otherwise("ok").alias("outcome"))
+    return checked.select("paper", "pos", "title", "raw", "best_match", "score", "similarity", F.when(bad, "Title not found in CrossRef").otherwise("ok").alias("outcome"))
 
 
 def issues(doi_checks: DataFrame, title_checks: DataFrame) -> DataFrame:
@@ -131,41 +168,68 @@ def matches(queries: DataFrame, works: DataFrame, hits: int = HITS, threshold: f
     """The ``hits`` works most similar to each query title among those that share a word
     with it and reach ``threshold``: query, rank, doi, title, similarity.
 
-    Word sets are joined on their rarest words first: two sets of Jaccard similarity t
-    or more must share one of the first n - ceil(t n) + 1 words in order of rarity.
-    A query that has all its hits at ``FIRST_PASS`` is done; only the others meet
-    every work they share any word with, however common.
+    Works of great similarity are looked for first (``PASSES``), as they must share rare
+    words; a query that has all its hits is done, and only the others go on to the
+    next pass.  The last one, below all passes, meets every work that shares any word.
     """
     ask = queries.select(F.col("title").alias("query")).where("query IS NOT NULL").distinct().withColumn("ws", X.words(F.col("query")))
     have = works.select("doi", "title").withColumn("ws", X.words(F.coalesce("title", F.lit(""))))
-    common = _frequencies(have)
-
-    def prefixes(sets: DataFrame, key: str, least: float) -> DataFrame:
-        spread = sets.select(key, F.explode("ws").alias("w"), F.size("ws").alias("n")).join(common, "w", "left")
-        nth = F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), "w"))
-        return spread.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(key, "w")
-
-    def best(asked: DataFrame, least: float) -> DataFrame:
-        pairs = prefixes(asked, "query", least).join(prefixes(have, "doi", least), "w").select("query", "doi").distinct()
-        scored = pairs.join(asked, "query").join(have.withColumnRenamed("ws", "other"), "doi").withColumn("similarity", X.word_similarity(F.col("ws"), F.col("other")))
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "doi"))
-        ranked = scored.where(F.col("similarity") >= least).withColumn("rank", rank).where(F.col("rank") <= hits)
-        return ranked.select("query", F.col("rank").cast("int").alias("rank"), "doi", "title", "similarity")
-
-    if threshold >= FIRST_PASS:
-        return best(ask, threshold)
-    first = best(ask, FIRST_PASS)
-    full = first.where(F.col("rank") == hits).select("query")
-    return first.join(full, "query", "left_semi").unionByName(best(ask.join(full, "query", "left_anti"), threshold))
+    common = settled(_frequencies(have))
+    ask, have = settled(_by_rarity(ask, common)), settled(_by_rarity(have, common))
+    levels = [t for t in PASSES if t > threshold] + [threshold]
+    found = []
+    for level in levels[:-1]:
+        best = settled(_best(ask, have, level, hits))
+        full = best.where(F.col("rank") == hits).select("query")
+        found.append(best.join(full, "query", "left_semi"))
+        ask = settled(ask.join(full, "query", "left_anti"))
+    return reduce(DataFrame.unionByName, [*found, _best(ask, have, levels[-1], hits)])
+
+
+def _by_rarity(sets: DataFrame, common: DataFrame) -> DataFrame:
+    """``ws`` in order of rarity among the works; words of no work come first."""
+    others = [c for c in sets.columns if c != "ws"]
+    spread = sets.select(*others, F.explode("ws").alias("w")).join(common, "w", "left")
+    pairs = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")))
+    return spread.groupBy(*others).agg(F.transform(pairs, lambda p: p["w"]).alias("ws"))
+
+
+def _keys(ws, level: float):
+    """Keys of which two word sets of similarity ``level`` or more share one.
+
+    A set of n words shares at least o = ceil(level n) of them, so both hold two common
+    ones among their n - o + 2 rarest: the pairs of these are keys.  Where o may be 1 (a
+    set, or the smaller of two, of 1 / level words at most) single words are keys too.
+    """
+    n = F.size(ws)
+    o = F.ceil(n * F.lit(level)).cast("int")
+    rare = F.slice(ws, F.lit(1), n - o + 2)
+    pairs = F.flatten(F.transform(rare, lambda a, i: F.transform(F.slice(rare, i + 2, F.size(rare)), lambda b: F.concat_ws(" ", a, b))))
+    pairs = F.when(o >= 2, pairs).otherwise(F.array().cast("array<string>"))
+    small = math.floor(math.floor(1 / level) / level) if level else None
+    singles = F.slice(ws, F.lit(1), F.greatest(n - o + 1, F.lit(0)))
+    return singles if small is None else F.concat(pairs, F.when(n <= small, singles).otherwise(F.array().cast("array<string>")))
+
+
+def _best(asked: DataFrame, have: DataFrame, level: float, hits: int) -> DataFrame:
+    """The ``hits`` best of similarity ``level`` or more; sets travel with their keys, so
+    a candidate is judged where it is met and only true matches go further."""
+    left = asked.select("query", F.col("ws").alias("mine"), F.explode(_keys(F.col("ws"), level)).alias("key"))
+    right = have.select("doi", "title", F.col("ws").alias("other"), F.explode(_keys(F.col("ws"), level)).alias("key"))
+    scored = left.join(right, "key").withColumn("similarity", X.word_similarity(F.col("mine"), F.col("other")))
+    scored = scored.where((F.col("similarity") >= level) & (F.col("similarity") > 0)).groupBy("query", "doi").agg(F.first("title").alias("title"), F.first("similarity").alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "doi"))
+    ranked = scored.withColumn("rank", rank).where(F.col("rank") <= hits)
+    return ranked.select("query", F.col("rank").cast("int").alias("rank"), "doi", "title", "similarity")
 
 
 def search(queries: DataFrame, works: DataFrame, hits: int = HITS) -> DataFrame:
-    """``matches`` without a threshold, and score (0 to 100): how much of the query the
-    work holds, by rarity.  Words weigh ln(1 + works / works with the word); those of the
+    """``matches`` without a threshold, with authors, journal and year of the work and
+    score (0 to 100): how much of the query the work holds, by rarity.  Words weigh ln(1 + works / works with the word); those of the
     query that no work has weigh nothing.  Unlike the similarity it does not fall
     with what else the titles say, so a high score and a low similarity can meet.
     """
-    found = matches(queries, works, hits)
+    found = settled(matches(queries, works, hits))
     words = works.select("doi", X.words(F.coalesce("title", F.lit(""))).alias("ws"))
     weight = F.log1p(F.col("total") / F.col("df")).alias("weight")
     weights = _frequencies(words).join(F.broadcast(words.agg(F.count("*").alias("total"))), F.lit(True)).select("w", weight)
@@ -173,8 +237,43 @@ def search(queries: DataFrame, works: DataFrame, hits: int = HITS) -> DataFrame:
     known = asked.join(weights, "w").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("w", "weight"))).alias("known"))
     total = lambda ks: F.aggregate(ks, F.lit(0.0), lambda s, k: s + k["weight"])
     shared = F.filter("known", lambda k: F.array_contains(X.words(F.col("title")), k["w"]))
-    return found.join(known, "query").select("query", "rank", "doi", "title", (100 * total(shared) / total(F.col("known"))).alias("score"), "similarity")
+    scored = found.join(known, "query").select("query", "rank", "doi", "title", (100 * total(shared) / total(F.col("known"))).alias("score"), "similarity")
+    about = works.groupBy("doi").agg(F.min(F.struct("authors", "journal", "year")).alias("about"))
+    return scored.join(about, "doi").select("query", "rank", "doi", "title", "about.authors", "about.journal", "about.year", "score", "similarity")
 
 
 def _frequencies(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+
+
+# Where a registry's answer keeps what is needed of a work.
+_WORK = "struct<DOI:string,score:double,author:array<struct<family:string,given:string>>,title:array<string>,`container-title`:array<string>,published:struct<`date-parts`:array<array<int>>>>"
+
+
+def _projected(work):
+    """title, authors (``family, given``), journal, year of a registry record; a missing
+    name reads ``undefined``, as such records are printed elsewhere."""
+    name = lambda x: F.coalesce(x, F.lit("undefined"))
+    first = lambda x: F.coalesce(F.get(x, F.lit(0)), F.lit(""))
+    year = F.nullif(F.get(F.get(work["published"]["date-parts"], F.lit(0)), F.lit(0)), F.lit(0))
+    authors = F.transform(F.coalesce(work["author"], F.array().cast("array<struct<family:string,given:string>>")), lambda a: F.concat_ws(", ", name(a["family"]), name(a["given"])))
+    return {"title": first(work["title"]), "authors": authors, "journal": first(work["container-title"]), "year": year}
+
+
+def records(answers: DataFrame) -> DataFrame:
+    """doi, verified, title, authors, journal, year, error of a registry's raw answers
+    (doi, status, body); a ``works`` snapshot is the verified ones of them."""
+    body = F.from_json("body", f"struct<message:{_WORK}>")["message"]
+    error = F.when(F.coalesce(F.col("status") != 200, F.lit(True)), F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("none")))).when(body.isNull(), "parse error")
+    found = answers.select("doi", error.alias("error"), body.alias("work"))
+    kept = {n: F.when(F.col("error").isNull(), c) for n, c in _projected(F.col("work")).items()}
+    return found.select("doi", F.col("error").isNull().alias("verified"), *(c.alias(n) for n, c in kept.items()), "error")
+
+
+def hit_records(answers: DataFrame) -> DataFrame:
+    """query, rank, doi, title, authors, year, score of a registry's raw search answers
+    (query, status, body); failed or broken answers have no hits."""
+    body = F.from_json("body", f"struct<message:struct<items:array<{_WORK}>>>")["message"]["items"]
+    found = answers.where("status = 200").select("query", F.posexplode(body).alias("pos", "work"))
+    p = _projected(F.col("work"))
+    return found.select("query", (F.col("pos") + 1).alias("rank"), F.col("work.DOI").alias("doi"), p["title"].alias("title"), p["authors"].alias("authors"), p["year"].alias("year"), F.coalesce("work.score", F.lit(0.0)).alias("score"))

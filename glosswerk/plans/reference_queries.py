@@ -12,7 +12,14 @@ from glosswerk.plans.synth import table, view, with_views
 
 
 def atom_entries(spark, sf_dir):
-    return R.papers(view(spark, sf_dir, "feed_xml")).withColumn("authors", F.array_join("authors", "|"))
+    found = R.papers(view(spark, sf_dir, "feed_xml"))
+    return found.select("id", "title", F.array_join("authors", "|").alias("authors"), "published", F.array_join("categories", "|").alias("categories"))
+
+
+def arxiv_listing(spark, sf_dir):
+    """The ten papers of one category that were submitted last: a top-k report."""
+    found = R.newest(R.papers(view(spark, sf_dir, "feed_xml")), 10, "cs.AI")
+    return found.select("id", F.left("title", F.lit(70)).alias("title"), X.first_three(F.col("authors"), ", ").alias("authors"), "published")
 
 
 def html_refs(spark, sf_dir):
@@ -23,12 +30,16 @@ def ref_budget(spark, sf_dir):
     return R.budget(html_refs(spark, sf_dir)).select("paper", "pos", "kind", "nth")
 
 
+def _items(spark, sf_dir):
+    return R.items(view(spark, sf_dir, "paper_html"))
+
+
 def _doi_checks(spark, sf_dir):
-    return R.check_dois(html_refs(spark, sf_dir), view(spark, sf_dir, "works"))
+    return R.check_dois(_items(spark, sf_dir), view(spark, sf_dir, "works"))
 
 
 def _title_checks(spark, sf_dir):
-    return R.check_titles(html_refs(spark, sf_dir), view(spark, sf_dir, "search_hits"))
+    return R.check_titles(_items(spark, sf_dir), view(spark, sf_dir, "search_hits"))
 
 
 def doi_checks(spark, sf_dir):
@@ -63,7 +74,7 @@ def arxiv_stats(spark, sf_dir):
 
 def verify_dois(spark, sf_dir):
     """Every DOI cited anywhere, looked up in a first and then a second snapshot."""
-    dois = html_refs(spark, sf_dir).where("doi IS NOT NULL").select("doi").distinct()
+    dois = _items(spark, sf_dir).where("doi IS NOT NULL").select("doi").distinct()
     found = R.verify(dois, view(spark, sf_dir, "works"), view(spark, sf_dir, "works2"))
     return found.withColumn("authors", F.array_join("authors", "|"))
 
@@ -74,6 +85,20 @@ def title_search_top3(spark, sf_dir):
     return found.select("query", "rank", "doi", "title", F.round(F.col("similarity") * 100, 6).alias("score"))
 
 
+def registry_search(spark, sf_dir):
+    """Hits without a floor, scored by rarity, with what is known of each work."""
+    found = R.search(view(spark, sf_dir, "asked_titles"), view(spark, sf_dir, "works"))
+    return found.withColumns({"authors": X.first_three(F.col("authors"), "; "), "score": F.round("score", 6), "similarity": F.round("similarity", 9)})
+
+
+def registry_records(spark, sf_dir):
+    return R.records(view(spark, sf_dir, "registry_json")).withColumn("authors", F.array_join("authors", "; "))
+
+
+def registry_hit_records(spark, sf_dir):
+    return R.hit_records(view(spark, sf_dir, "search_json")).withColumn("authors", X.first_three(F.col("authors"), "; "))
+
+
 def _neighbours(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     mine = docs.select("doc_id", X.words(F.coalesce("text", F.lit(""))).alias("a"))
@@ -114,7 +139,8 @@ issues AS (
     CASE WHEN bad THEN round(similarity, 2) END AS similarity, doi, NULL::VARCHAR AS best_match FROM (SELECT *, outcome = 'DOI-title mismatch' AS bad FROM doi_checks WHERE outcome <> 'ok') d
   UNION ALL SELECT paper, left(raw, 150), outcome, left(title, 100), NULL, round(similarity, 2), NULL, left(best_match, 100) FROM title_checks WHERE outcome <> 'ok')"""
 _ENTRIES = f"""entries AS (
-  SELECT regexp_replace(regexp_extract(e, '{P.ENTRY_ID}', 1), 'v\\d+\\z', '') AS id, {S.strip(f"regexp_extract(e, '{P.ENTRY_TITLE}', 1)")} AS title, array_to_string({S.found("e", P.ENTRY_NAME, 1)}, '|') AS authors
+  SELECT regexp_replace(regexp_extract(e, '{P.ENTRY_ID}', 1), 'v\\d+\\z', '') AS id, {S.strip(f"regexp_extract(e, '{P.ENTRY_TITLE}', 1)")} AS title, {S.found("e", P.ENTRY_NAME, 1)} AS names,
+    nullif(regexp_extract(e, '{P.ENTRY_PUBLISHED}', 1), '') AS published, {S.found("e", P.ENTRY_CATEGORY, 1)} AS tags
   FROM (SELECT unnest(string_split(xml, '<entry>')[2:]) AS e FROM feed_xml) x),
 papers AS (SELECT * FROM entries WHERE id <> '' AND title <> '')"""
 _PAPERS = f"""{_ISSUES}, {_ENTRIES},
@@ -125,10 +151,15 @@ bad AS (SELECT paper, count(*) AS issues FROM issues GROUP BY paper),
 paper_stats AS (
   SELECT id, coalesce(refs, 0)::BIGINT AS refs, coalesce(verified, 0)::BIGINT AS verified, coalesce(issues, 0)::BIGINT AS issues, coalesce(skipped_arxiv, 0)::BIGINT AS skipped_arxiv, CASE WHEN refs IS NULL THEN 'no HTML' END AS skipped
   FROM papers LEFT JOIN per ON per.paper = id LEFT JOIN bad ON bad.paper = id)"""
+_WORK_SQL = """CASE WHEN error IS NULL THEN coalesce(json_extract_string(work, '$.title[0]'), '') END AS title,
+        CASE WHEN error IS NULL THEN array_to_string(list_transform(json_extract(work, '$.author[*]'), lambda a: coalesce(json_extract_string(a, '$.family'), 'undefined') || ', ' || coalesce(json_extract_string(a, '$.given'), 'undefined')), '; ') END AS authors,
+        CASE WHEN error IS NULL THEN nullif(json_extract(work, '$.published."date-parts"[0][0]')::INT, 0) END AS year"""
 _ALL = "paper_html works search_hits feed_xml"
 
 _QUERIES = {
-    atom_entries: with_views("feed_xml", f"WITH {_ENTRIES} SELECT * FROM papers"),
+    atom_entries: with_views("feed_xml", f"WITH {_ENTRIES} SELECT id, title, array_to_string(names, '|') AS authors, published, array_to_string(tags, '|') AS categories FROM papers"),
+    arxiv_listing: with_views("feed_xml", f"""WITH {_ENTRIES} SELECT id, left(title, 70) AS title, array_to_string(names[:3], ', ') || CASE WHEN len(names) > 3 THEN ' et al.' ELSE '' END AS authors, published
+        FROM papers WHERE list_contains(tags, 'cs.AI') ORDER BY published DESC NULLS LAST, id LIMIT 10"""),
     html_refs: with_views("paper_html", f"WITH {_REFS} SELECT * FROM refs"),
     ref_budget: with_views("paper_html", f"WITH {_REFS} SELECT paper, pos, kind, nth FROM budget"),
     doi_checks: with_views("paper_html works", f"{_CHECKS} SELECT paper, pos, doi, round(similarity, 9) AS similarity, outcome FROM doi_checks"),
@@ -146,6 +177,20 @@ _QUERIES = {
     title_search_top3: with_views("works works2", f"""WITH ask AS (SELECT DISTINCT title AS query, {S.words("title")} AS x FROM works2), have AS (SELECT doi, title, {S.words("title")} AS y FROM works),
         scored AS (SELECT query, doi, title, {S.similarity("x", "y")} AS s FROM ask, have), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doi)::INT AS rank FROM scored WHERE s >= 0.5)
         SELECT query, rank, doi, title, round(s * 100, 6) AS score FROM ranked WHERE rank <= {R.HITS}"""),
+    registry_search: with_views("asked_titles works", f"""WITH ask AS (SELECT DISTINCT title AS query, {S.words("title")} AS x FROM asked_titles), have AS (SELECT *, {S.words("title")} AS y FROM works),
+        df AS (SELECT w, ln(1 + (SELECT count(*) FROM works) / count(*)) AS weight FROM (SELECT unnest(y) AS w FROM have) u GROUP BY w),
+        scored AS (SELECT query, x, doi, title, authors, journal, year, y, {S.similarity("x", "y")} AS s FROM ask, have WHERE len(list_intersect(x, y)) > 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doi)::INT AS rank FROM scored),
+        weighed AS (SELECT *, unnest(x) AS w FROM ranked WHERE rank <= {R.HITS})
+        SELECT query, rank, doi, any_value(title) AS title, array_to_string(any_value(authors)[:3], '; ') || CASE WHEN len(any_value(authors)) > 3 THEN ' et al.' ELSE '' END AS authors, any_value(journal) AS journal, any_value(year) AS year,
+        round(100 * sum(CASE WHEN list_contains(y, w) THEN weight ELSE 0 END) / sum(weight), 6) AS score, round(any_value(s), 9) AS similarity FROM weighed JOIN df USING (w) GROUP BY query, rank, doi"""),
+    registry_records: with_views("registry_json", f"""WITH b AS (SELECT *, CASE WHEN status IS DISTINCT FROM 200 THEN 'HTTP ' || coalesce(status::VARCHAR, 'none') WHEN NOT json_valid(body) OR json_extract(body, '$.message') IS NULL THEN 'parse error' END AS error FROM registry_json),
+        w AS (SELECT doi, error, CASE WHEN error IS NULL THEN json_extract(body, '$.message') END AS work FROM b)
+        SELECT doi, error IS NULL AS verified, {_WORK_SQL}, CASE WHEN error IS NULL THEN coalesce(json_extract_string(work, '$."container-title"[0]'), '') END AS journal, error FROM w"""),
+    registry_hit_records: with_views("search_json", f"""WITH w AS (SELECT query, unnest(json_extract(body, '$.message.items[*]')) AS work, generate_subscripts(json_extract(body, '$.message.items[*]'), 1)::INT AS rank, NULL AS error
+          FROM search_json WHERE status = 200 AND json_valid(body))
+        SELECT query, rank, json_extract_string(work, '$.DOI') AS doi, title, CASE WHEN len(string_split(authors, '; ')) > 3 THEN array_to_string(string_split(authors, '; ')[:3], '; ') || ' et al.' ELSE authors END AS authors, year, score
+        FROM (SELECT query, rank, work, {_WORK_SQL}, coalesce(json_extract(work, '$.score')::DOUBLE, 0) AS score FROM w) x"""),
     title_similarity: f"""WITH w AS (SELECT doc_id, {S.words("coalesce(text, '')")} AS ws FROM documents)
         SELECT a.doc_id, len(list_intersect(a.ws, b.ws))::BIGINT AS shared, round({S.similarity("a.ws", "b.ws")}, 9) AS similarity FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""",
     title_contains_all: with_views("works bib_entries", f"""WITH p AS (SELECT id, {S.words("b.title")} AS c, {S.words("w.title")} AS a FROM bib_entries b JOIN works w ON w.doi = b.doi)

@@ -42,6 +42,11 @@ def _json(text: str) -> str:
     return f"""'"' || replace({text}, {NL}, {_BS} || 'n') || '"'"""
 
 
+_AUTHOR = """'{{"family": "' || p_brand || '"' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ', "given": "A. B."' END || '}}'"""
+_work = f"""'{{{{"DOI": "10.1000/p.' || p_partkey || '"' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ', "score": ' || (p_size + 0.5) END || ', "title": ["' || p_name || '"], "author": [' || CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 4 = 0 THEN {_AUTHOR} || ', ' || {_AUTHOR} || ', ' || {_AUTHOR} || ', ' || {_AUTHOR} ELSE {_AUTHOR} END ||
+        ']' || CASE WHEN p_partkey % 6 = 0 THEN '' ELSE ', "container-title": ["' || p_type || '"]' END || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE ', "published": {{{{"date-parts": [[' || {_YEAR} || ', 1]]}}}}' END || '}}}}'"""
+
+
 def views(d: Dialect) -> dict[str, str]:
     noun, adj = _UPPER(_NOUN), _UPPER(_ADJ)
     sentence = f"""CASE l_partkey % 5 WHEN 0 THEN {noun} || ' (' || {_YEAR} || ')' WHEN 1 THEN {noun} || ' et al. (' || {_YEAR} || ')'
@@ -56,6 +61,7 @@ def views(d: Dialect) -> dict[str, str]:
     body = f"{head} || {NL} || '<!-- Verified: 2026-04-' || lpad(CAST(n_nationkey + 1 AS VARCHAR(2)), 2, '0') || ' -->' || {NL} || claims || {NL} || '## Notes' || {NL} || '| K9 | not counted | 1 |'"
     source = f"CASE WHEN n_nationkey % 2 = 0 THEN '[' || {_json('body')} || ']' ELSE {_json('body')} END"
     number = "lpad(CAST(n_nationkey AS VARCHAR(2)), 2, '0')"
+    entry = """'<entry><id>http://arxiv.org/abs/s' || s_suppkey || 'v' || (s_suppkey % 3 + 1) || '</id>' || CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE '<published>2024-0' || (s_suppkey % 9 + 1) || '-1' || (s_suppkey % 7) || 'T00:00:00Z</published>' END || '<category term="cs.' || CASE WHEN s_suppkey % 2 = 0 THEN 'AI' ELSE 'CL' END || '"/><title>' || chr(10) || ' ' || s_name || ' </title><author><name>' || s_name || '</name></author><author><name>B. N' || s_nationkey || '</name></author>' || CASE WHEN s_suppkey % 4 = 0 THEN '<author><name>C. C</name></author><author><name>D. D</name></author>' ELSE '' END || '</entry>'"""
     return {
         "prose_files": f"""SELECT 'docs/o' || l_orderkey || '.md' AS file, {d.join_up("sentence", "'. '", "l_linenumber, l_partkey, sentence")} AS content
             FROM (SELECT l_orderkey, l_linenumber, l_partkey, {sentence} AS sentence FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey) s GROUP BY l_orderkey""",
@@ -77,10 +83,14 @@ def views(d: Dialect) -> dict[str, str]:
             FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {item} AS item FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey) s GROUP BY l_suppkey""",
         "works": f"""SELECT '10.1000/p.' || p_partkey AS doi, {_TITLE} AS title, {d.list_of("p_brand || ', A.'")} AS authors, p_type AS journal, CAST({_YEAR} AS INT) AS year FROM {{part}} WHERE p_partkey % 10 <> 0""",
         "works2": f"""SELECT '10.1000/p.' || p_partkey AS doi, {_TITLE} AS title, {d.list_of("p_brand || ', B.'")} AS authors, p_type AS journal, CAST({_YEAR} AS INT) AS year FROM {{part}} WHERE p_partkey % 20 = 0""",
+        "asked_titles": f"""SELECT CASE p_partkey % 3 WHEN 0 THEN {_TITLE} WHEN 1 THEN p_name || ' unheard of things' ELSE lower(p_type) || ' number' || p_size END AS title FROM {{part}} WHERE p_partkey % 25 = 0""",
+        "registry_json": f"""SELECT '10.1000/p.' || p_partkey AS doi, CAST(CASE WHEN p_partkey % 13 = 0 THEN 404 ELSE 200 END AS INT) AS status, CASE WHEN p_partkey % 17 = 0 THEN '{{{{"mess' ELSE '{{{{"message": ' || {_work} || '}}}}' END AS body FROM {{part}}""",
+        "search_json": f"""SELECT 'q' || p_size AS query, CAST(CASE WHEN p_size % 10 = 0 THEN 500 ELSE 200 END AS INT) AS status, '{{{{"message": {{{{"items": [' || {d.join_up("work", "','", "p_partkey")} || ']}}}}}}}}' AS body
+            FROM (SELECT p_size, p_partkey, {_work} AS work FROM {{part}} WHERE p_partkey % 10 = 1) s GROUP BY p_size""",
         "search_hits": f"""SELECT query, CAST(1 AS INT) AS rank, min(title) AS title, CAST(min(score) AS DOUBLE) AS score FROM (
             SELECT q.query, q.score, w.title FROM (SELECT {_TITLE} AS query, p_partkey % 60 + 20 AS score, CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE (p_partkey * 7) % 1000 + 1 END AS hit FROM {{part}} WHERE p_partkey % 4 = 0) q
             JOIN (SELECT p_partkey, {_TITLE} AS title FROM {{part}}) w ON w.p_partkey = q.hit) s GROUP BY query""",
-        "feed_xml": f"""SELECT 'f' || s_nationkey AS feed, '<feed>' || {d.join_up("'<entry><id>http://arxiv.org/abs/s' || s_suppkey || 'v' || (s_suppkey % 3 + 1) || '</id><title>' || chr(10) || ' ' || s_name || ' </title><author><name>' || s_name || '</name></author><author><name>B. N' || s_nationkey || '</name></author></entry>'", "''", "s_suppkey")} || '</feed>' AS xml FROM {{supplier}} GROUP BY s_nationkey""",
+        "feed_xml": f"""SELECT 'f' || s_nationkey AS feed, '<feed>' || {d.join_up(entry, "''", "s_suppkey")} || '</feed>' AS xml FROM {{supplier}} GROUP BY s_nationkey""",
         "mechanism_prose": f"""SELECT 'docs/m' || p_size || '.md' AS file, {d.join_up("line", NL, "p_partkey")} AS content
             FROM (SELECT p_size, p_partkey, CASE p_partkey % 4 WHEN 0 THEN {noun} || ' (' || {_YEAR} || ') shows that ' || {_ADJ} || ' causes ' || {_NOUN} || ' in 12.5% of cases'
             WHEN 1 THEN {_NOUN} || ' modulates ' || {_ADJ} || ' by ' || (p_partkey % 97) || '%' ELSE 'a long passage without any finding, source or figure, that only fills the space between two claims of this text' END AS line FROM {{part}}) s GROUP BY p_size""",
