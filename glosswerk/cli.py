@@ -1,4 +1,8 @@
-"""Command line: ``python -m glosswerk.cli audit|arxiv|verify|search|aggregate|notebook-audit``."""
+"""Command line: ``python -m glosswerk.cli audit|claims|arxiv|verify|search|aggregate|notebook-audit``.
+
+Summaries are single rows; lists of any length are printed as they come from the
+executors, one partition at a time, and never held whole by the driver.
+"""
 
 from __future__ import annotations
 
@@ -6,41 +10,98 @@ import argparse
 import json
 import os
 import sys
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from glosswerk.operators import bibliography, citations, claims, registry
+from glosswerk.functions import text as X
+from glosswerk.operators import bibliography, citations, claims, consistency, registry
 from glosswerk.sources import corpus
 
 _ICONS = {"warn": "⚠", "error": "✗", "info": "ℹ"}
 
 
-def _rows(df: DataFrame) -> list[dict]:
-    """Results of a report; only summaries and issues are collected, never texts."""
-    return [r.asDict(recursive=True) for r in df.collect()]
+def _rows(df: DataFrame) -> Iterable[dict]:
+    return (r.asDict(recursive=True) for r in df.toLocalIterator())
+
+
+def _one(df: DataFrame) -> dict:
+    return df.first().asDict(recursive=True)
+
+
+def _dump(x: object) -> str:
+    return json.dumps(x, indent=2, ensure_ascii=False, default=str)
+
 
+def _json(**parts: dict | DataFrame) -> None:
+    """One JSON object; lists are written row by row."""
+    print("{", end="")
+    for k, (name, part) in enumerate(parts.items()):
+        print(("," if k else "") + f"\n  {json.dumps(name)}: ", end="")
+        if isinstance(part, dict):
+            print(_dump(part), end="")
+            continue
+        print("[", end="")
+        for n, row in enumerate(_rows(part)):
+            print((",\n" if n else "\n") + _dump(row), end="")
+        print("]", end="")
+    print("\n}")
 
-def _show(result: dict, as_json: bool) -> None:
-    if as_json:
-        print(json.dumps(result, indent=2, ensure_ascii=False, default=str))
-        return
-    for name, value in result.get("stats", {}).items():
+
+def _stats(stats: dict) -> None:
+    for name, value in stats.items():
         print(f"  {name}: {f'{value:.1%}' if name == 'issue_rate' else value}")
-    for i in result.get("issues", []):
-        print(f"  {_ICONS.get(i.get('severity'), '✗')} {i.get('file') or i.get('paper')}{':' + str(i['line']) if i.get('line') else ''}  {i.get('message') or i.get('issue')}")
+
+
+def _issues(issues: DataFrame) -> None:
+    for i in _rows(issues):
+        place = f"{i.get('file') or i.get('paper')}{':' + str(i['line']) if i.get('line') else ''}"
+        print(f"  {_ICONS.get(i.get('severity'), '✗')} {place}  {i.get('message') or i.get('issue')}")
+        for name in ("claimed", "actual", "best_match", "doi", "similarity"):
+            if i.get(name) is not None:
+                print(f"    {name.replace('_', ' ')}: {i[name]}")
+
+
+def _failed(issues: DataFrame) -> int:
+    return int(bool(issues.where("severity = 'error'").take(1)))
 
 
 def audit(spark, a) -> int:
     bib = bibliography.last_wins(bibliography.normalise(corpus.bibtex(spark, a.bibtex)))
     found = citations.audit(corpus.corpus(spark, a.dir).select("file", "content"), bib).cache()
-    result = {"stats": _rows(citations.stats(found))[0], "issues": _rows(citations.issues(found).orderBy("file", "citation"))}
+    stats, issues = _one(citations.stats(found)), citations.issues(found).orderBy("file", "citation")
     if a.json:
-        result["citations"] = _rows(found.orderBy("file", "pos"))
-    _show(result, a.json)
-    if a.verbose and not a.json:
-        for r in citations.verbose(found).orderBy("file", "raw").toLocalIterator():
-            print(f"  {r.status} {r.raw} ({r.file})")
-    return int(not a.json and any(i["severity"] == "error" for i in result["issues"]))
+        _json(stats=stats, issues=issues, citations=found.orderBy("file", "pos"))
+        return 0
+    _stats(stats)
+    _issues(issues)
+    if a.verbose:
+        for r in _rows(citations.verbose(found).orderBy("file", "raw")):
+            print(f"  {r['status']} {r['raw']} ({r['file']})")
+    return _failed(issues)
+
+
+def claims_(spark, a) -> int:
+    """Quantitative claims of a tree: all near citations, or one of the filters.  With
+    ``--exit-code`` the result is 1 if any is left."""
+    files = corpus.corpus(spark, a.dir, "cross_repo").select("file", "content")
+    verified = spark.read.parquet(a.verified) if a.verified else spark.createDataFrame([], "file string, digest string")
+    if a.uncited:
+        found = consistency.uncited_numbers(files).orderBy("file", "start")
+    elif a.inconsistent:
+        found = consistency.conflicts(consistency.parameters(files)).orderBy("param", "citation")
+    elif a.unverified:
+        found = consistency.unverified(files, verified).orderBy("file", "number_start")
+    else:
+        found = consistency.claims_near_citations(files).orderBy("file", "number_start")
+    found = found.cache()
+    if a.json:
+        _json(claims=found)
+    else:
+        for r in _rows(found):
+            print("  " + "  ".join(f"{v}" for v in r.values()))
+    return int(a.exit_code and bool(found.take(1)))
 
 
 def notebook_audit(spark, a) -> int:
@@ -49,54 +110,92 @@ def notebook_audit(spark, a) -> int:
         catalog = spark.read.text(a.aggregate, wholetext=True).selectExpr("'catalog' AS file", "value AS content")
         issues = claims.missing(refs, catalog)
     if a.notebooks and os.path.isdir(a.notebooks):
-        statuses = claims.status(corpus.notebooks(spark, a.notebooks))
+        statuses = claims.status(corpus.notebooks(spark, a.notebooks)).orderBy("file")
         blockless = claims.missing_blocks(statuses, refs)
         issues = blockless if issues is None else issues.unionByName(blockless, allowMissingColumns=True)
     if issues is None:
         issues = spark.createDataFrame([], "severity string, type string, file string, message string")
-    result = {"stats": _rows(claims.stats(refs, issues))[0], "issues": _rows(issues), "notebooks": _rows(statuses.orderBy("file")) if statuses is not None else []}
-    _show(result, a.json)
-    if a.cross_repo and not a.json:
-        _show({"issues": _rows(claims.stale(corpus.corpus(spark, a.cross_repo, "cross_repo").select("file", "content")))}, False)
-    return int(not a.json and any(i["severity"] == "error" for i in result["issues"]))
+    stats, none = _one(claims.stats(refs, issues)), spark.createDataFrame([], "file string")
+    if a.json:
+        _json(stats=stats, issues=issues, notebooks=none if statuses is None else statuses)
+        return 0
+    _stats(stats)
+    for n in _rows(none if statuses is None else statuses):
+        detail = "no Key Claims block"
+        if n["has_block"]:
+            detail = f"{n['claim_count']} claims" + (f", verified {n['verified_date']}" if n["verified_date"] else "")
+        print(f"  {'✓' if n['has_block'] else '✗'} {n['file']}  ({detail})")
+    _issues(issues)
+    if a.cross_repo:
+        _issues(claims.stale(corpus.corpus(spark, a.cross_repo, "cross_repo").select("file", "content")))
+    return _failed(issues)
 
 
 def aggregate(spark, a) -> int:
     blocks = claims.blocks(corpus.notebooks(spark, a.dir)).cache()
-    text = claims.markdown(blocks).first().markdown
     if a.json:
-        _show({"stats": _rows(claims.block_stats(blocks))[0], "sections": _rows(blocks.orderBy("file"))}, True)
-    elif a.output:
+        _json(stats=_one(claims.block_stats(blocks)), sections=blocks.orderBy("file"))
+        return 0
+    text = claims.markdown(blocks).first().markdown
+    if a.output:
         with open(a.output, "w", encoding="utf-8") as f:
             f.write(text)
+        _stats(_one(claims.block_stats(blocks)))
+        print(f"  Written to: {a.output}")
     else:
         print(text)
     return 0
 
 
 def arxiv(spark, a) -> int:
+    """The newest papers of a category and what their references come to."""
     feeds, pages, works = (spark.read.parquet(f"{a.snapshot}/{t}") for t in ("feeds", "pages", "works"))
-    papers, items = registry.papers(feeds), registry.items(pages)
-    refs = registry.references(pages)
+    listed = registry.newest(registry.papers(feeds), a.count, a.cat).cache()
+    pages = pages.join(listed.select(F.col("id").alias("paper")), "paper", "left_semi")
+    items, refs = registry.items(pages).cache(), registry.references(pages)
     works = works.dropDuplicates(["doi"])
-    checks = registry.check_dois(items, works)
-    asked = registry.titles_in_budget(items).select("title")
-    hits = registry.search(asked, works)
-    issues = registry.issues(checks, registry.check_titles(items, hits)).cache()
-    result = {"stats": _rows(registry.stats(registry.paper_stats(papers, refs, issues)))[0], "issues": _rows(issues.orderBy("paper"))}
-    _show(result, a.json)
-    return int(not a.json and bool(result["issues"]))
+    hits = registry.search(registry.titles_in_budget(items).select("title"), works)
+    issues = registry.issues(registry.check_dois(items, works), registry.check_titles(items, hits)).cache()
+    per = registry.paper_stats(listed, refs, issues).cache()
+    stats, ordered = _one(registry.stats(per)), issues.orderBy("paper")
+    if a.json:
+        _json(stats=stats, papers=per.orderBy("id"), issues=ordered)
+        return 0
+    shown = listed.select("id", "published", F.left("title", F.lit(70)).alias("title"), X.first_three(F.col("authors"), ", ").alias("authors")).join(per, "id")
+    for p in _rows(shown.orderBy(F.col("published").desc_nulls_last(), "id")):
+        print(f"── {p['id']}: {p['title']}\n   {p['authors']}")
+        skipped = f" ({p['skipped_arxiv']} arXiv DOIs skipped)" if p["skipped_arxiv"] else ""
+        print(f"   ({p['skipped']})" if p["skipped"] else f"   {p['refs']} references | Verified: {p['verified']} | Issues: {p['issues']}{skipped}")
+    _stats(stats)
+    _issues(ordered)
+    return int(stats["issues_found"] > 0)
 
 
 def verify(spark, a) -> int:
-    found = _rows(registry.verify(spark.createDataFrame([(a.doi,)], "doi string"), spark.read.parquet(f"{a.snapshot}/works")))[0]
-    print(json.dumps(found, indent=2, ensure_ascii=False))
-    return int(not a.json and not found["verified"])
+    found = _one(registry.verify(spark.createDataFrame([(a.doi,)], "doi string"), spark.read.parquet(f"{a.snapshot}/works")))
+    if a.json:
+        print(_dump(found))
+        return 0
+    if not found["verified"]:
+        print(f"  ✗ Not verified: {found['error']}")
+        return 1
+    print("  ✓ Verified")
+    for name in ("title", "authors", "journal", "year"):
+        print(f"  {name.capitalize() + ':':9}{'; '.join(found[name]) if name == 'authors' else found[name]}")
+    return 0
 
 
 def search(spark, a) -> int:
-    found = registry.search(spark.createDataFrame([(a.title,)], "title string"), spark.read.parquet(f"{a.snapshot}/works"))
-    print(json.dumps(_rows(found.orderBy("rank")), indent=2, ensure_ascii=False))
+    found = registry.search(spark.createDataFrame([(a.title,)], "title string"), spark.read.parquet(f"{a.snapshot}/works")).orderBy("rank")
+    if a.json:
+        print(_dump(list(_rows(found))))
+        return 0
+    none = True
+    for r in _rows(found.withColumn("names", X.first_three(F.col("authors"), "; "))):
+        none = False
+        print(f"  {r['doi']}\n  {r['title']}\n  {r['names']}\n  {r['year']}\n")
+    if none:
+        print("  No results found.")
     return 0
 
 
@@ -105,7 +204,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     sub = top.add_subparsers(dest="command", required=True)
     for name, run, positional, options in (
         ("audit", audit, "dir", ("--bibtex",)),
-        ("arxiv", arxiv, None, ("--snapshot",)),
+        ("claims", claims_, "dir", ("--verified",)),
+        ("arxiv", arxiv, None, ("--snapshot", "--cat")),
         ("verify", verify, "doi", ("--snapshot",)),
         ("search", search, "title", ("--snapshot",)),
         ("aggregate", aggregate, "dir", ()),
@@ -117,6 +217,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.add_argument(positional)
         for o in options:
             p.add_argument(o, required=o in ("--bibtex", "--snapshot"))
+        if name == "arxiv":
+            p.add_argument("count", nargs="?", type=int, default=10)
+        if name == "claims":
+            for flag in ("--unverified", "--inconsistent", "--uncited", "--exit-code"):
+                p.add_argument(flag, action="store_true")
         p.add_argument("--json", action="store_true")
         p.add_argument("--verbose", action="store_true")
         p.add_argument("-o", "--output")

@@ -11,6 +11,7 @@ SPACES = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\
 NAME = "[A-Z][a-z]+"
 INLINE = rf"({NAME}(?:{SPACE}*(?:,|&|and){SPACE}*{NAME})*(?:{SPACE}+et{SPACE}+al\.)?){SPACE}*\((\d{{4}})\)"
 AUTHOR_BREAK = "(?i)[,&]| and | et al"
+CO_AUTHORS = "[,&]| and "
 DOI = rf"(?i)(?:doi\.org/|doi:{SPACE}*)(10\.\d{{4,}}/{NOT_SPACE[:-1]},)]+)"
 ARXIV = rf"(?i)arxiv(?::|{SPACE})*(\d{{4}}\.\d{{4,5}})"
 FULL_REFERENCE = rf"(?m)^[-*]{SPACE}*(.+?){SPACE}*\((\d{{4}})\)\.{SPACE}*(.+?)(?:\.{SPACE}*\*?([^.]+?)\*?(?:,{SPACE}*(\d+))?)?\.?{SPACE}*$"

@@ -71,6 +71,16 @@ def surname(authors: Column) -> Column:
     return F.lower(strip(F.get(F.split(F.get(authors, F.lit(0)), ",", -1), F.lit(0))))
 
 
+def surnames(authors: Column) -> Column:
+    """Lower-case surnames of ``Surname, Given`` names."""
+    return F.transform(authors, lambda x: F.lower(strip(F.get(F.split(x, ",", -1), F.lit(0)))))
+
+
+def share_surname(claimed: Column, actual: Column) -> Column:
+    """Do two author lists share a surname?"""
+    return F.coalesce(F.arrays_overlap(surnames(claimed), surnames(actual)), F.lit(False))
+
+
 def lookup_key(name: Column, year: Column) -> Column:
     return F.concat(name, F.lit("_"), year.cast("string"))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
 
 
@@ -95,7 +96,26 @@ def verbose(audited: DataFrame) -> DataFrame:
     return audited.select("file", "raw", mark.alias("status"))
 
 
-def labels(audited: DataFrame) -> DataFrame:
-    """Review label of each citation."""
-    label = F.when(~F.col("in_bibtex"), "ORPHAN").when(F.col("ambiguous"), "AMBIGUOUS").when(~F.col("has_doi"), "UNVERIFIED").otherwise("OK")
-    return audited.select("file", "raw", "lookup_key", label.alias("label"))
+def labels(audited: DataFrame, bib: DataFrame, works: DataFrame) -> DataFrame:
+    """Review label of each citation: ORPHAN without an entry, AMBIGUOUS with several,
+    UNVERIFIED without a DOI that the registry has, CONFABULATED if the registry's
+    title or authors are others than the entry's, DRIFT if the citation names another
+    co-author or year than the entry and the registry do, else OK.
+    """
+    entry = bib.groupBy("id").agg(F.first(F.struct("authors", "title", X.some(F.col("doi")).alias("doi"))).alias("e"))
+    entry = entry.select(F.col("id").alias("__id"), "e", F.col("e.doi").alias("__doi"))
+    known = works.groupBy("doi").agg(F.first(F.struct("title", "authors", "year")).alias("w")).withColumnRenamed("doi", "__doi")
+    found = audited.withColumn("__id", F.when(F.col("in_bibtex") & ~F.col("ambiguous"), F.get("ids", F.lit(0)))).join(entry, "__id", "left").join(known, "__doi", "left")
+    mine, theirs = F.col("e.title"), F.col("w.title")
+    other_title = (X.title_similarity(mine, theirs) < 0.5) & ~X.title_contains_all(mine, theirs) & ~X.title_contains_all(theirs, mine)
+    named = F.filter(F.transform(F.split(F.col("raw"), P.CO_AUTHORS, -1), lambda x: F.lower(X.first(x, f"^{P.SPACE}*({P.NAME})"))), lambda x: x.isNotNull())
+    stranger = F.size(F.array_except(F.slice(named, F.lit(2), F.size(named)), X.surnames(F.col("e.authors")))) > 0
+    label = (
+        F.when(~F.col("in_bibtex"), "ORPHAN")
+        .when(F.col("ambiguous"), "AMBIGUOUS")
+        .when(F.col("w").isNull(), "UNVERIFIED")
+        .when(other_title | ~X.share_surname(F.col("e.authors"), F.col("w.authors")), "CONFABULATED")
+        .when(stranger | (F.col("w.year") != F.col("year")), "DRIFT")
+        .otherwise("OK")
+    )
+    return found.select("file", "raw", "lookup_key", label.alias("label"))

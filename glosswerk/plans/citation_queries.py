@@ -68,7 +68,14 @@ def audit_verbose_status(spark, sf_dir):
 
 
 def status_labels(spark, sf_dir):
-    return citations.labels(_audited(spark, sf_dir))
+    return citations.labels(_audited(spark, sf_dir), _bib(spark, sf_dir), view(spark, sf_dir, "registry_works"))
+
+
+def bibtex_entries(spark, sf_dir):
+    """Entries of BibTeX texts with nesting, comments, joined values and macros."""
+    found = bibliography.parse(view(spark, sf_dir, "bib_text"))
+    tag = lambda n: F.col("tags").getItem(n).alias(n)
+    return found.select("file", "citation_key", "entry_type", *map(tag, ("title", "author", "journal", "note", "year")), "pos")
 
 
 def extract_dois(spark, sf_dir):
@@ -147,7 +154,16 @@ _QUERIES = {
     audit_stats: _audit("""SELECT count(*) AS total, count(*) FILTER (in_bibtex) AS in_bibtex, count(*) FILTER (NOT in_bibtex) AS orphans, count(*) FILTER (has_doi) AS with_doi,
         count(*) FILTER (ambiguous) AS ambiguous, count(*) FILTER (ambiguous OR NOT in_bibtex) AS issue_count FROM audited"""),
     audit_verbose_status: _audit("SELECT file, raw, CASE WHEN NOT in_bibtex THEN '?' WHEN has_doi THEN '✓' ELSE '~' END AS status FROM audited"),
-    status_labels: _audit("SELECT file, raw, lookup_key, CASE WHEN NOT in_bibtex THEN 'ORPHAN' WHEN ambiguous THEN 'AMBIGUOUS' WHEN NOT has_doi THEN 'UNVERIFIED' ELSE 'OK' END AS label FROM audited"),
+    status_labels: with_views("prose_files bib_entries registry_works", f"""{_AUDIT},
+        known AS (SELECT a.file, a.raw, a.lookup_key, a.in_bibtex, a.ambiguous, a.year, e.authors AS mine, w.authors AS theirs, w.year AS actual, w.doi IS NOT NULL AS found, {S.words("coalesce(e.title, '')")} AS x, {S.words("coalesce(w.title, '')")} AS y,
+            list_filter(list_transform(regexp_split_to_array(a.raw, '{P.CO_AUTHORS}'), lambda p: lower(nullif(regexp_extract(p, '^{P.SPACE}*({P.NAME})', 1), ''))), lambda n: n IS NOT NULL) AS named
+          FROM audited a LEFT JOIN bib_entries e ON a.in_bibtex AND NOT a.ambiguous AND e.id = a.ids LEFT JOIN registry_works w ON w.doi = e.doi),
+        surnames AS (SELECT *, list_transform(mine, lambda n: lower({S.strip("string_split(n, ',')[1]")})) AS m, list_transform(theirs, lambda n: lower({S.strip("string_split(n, ',')[1]")})) AS t FROM known)
+        SELECT file, raw, lookup_key, CASE WHEN NOT in_bibtex THEN 'ORPHAN' WHEN ambiguous THEN 'AMBIGUOUS' WHEN NOT found THEN 'UNVERIFIED'
+          WHEN ({S.similarity("x", "y")} < 0.5 AND NOT {S.contains_all("x", "y")} AND NOT {S.contains_all("y", "x")}) OR len(list_intersect(m, t)) = 0 THEN 'CONFABULATED'
+          WHEN len(list_filter(named[2:], lambda n: NOT list_contains(m, n))) > 0 OR actual <> year THEN 'DRIFT' ELSE 'OK' END AS label FROM surnames"""),
+    bibtex_entries: with_views("part_files", """SELECT file, 'P' || p_partkey AS citation_key, 'article' AS entry_type, 'C# in ' || p_name AS title, 'A {"Q"} Author and {B} ' || p_brand AS author,
+        'Journal of Parts ' || p_type AS journal, 'see @misc{b, title={X}} there' AS note, CAST(1970 + p_size AS VARCHAR) AS year, row_number() OVER (PARTITION BY file ORDER BY p_partkey) - 1 AS pos FROM part_files"""),
     extract_dois: _per_line(P.DOI, "doi"),
     extract_arxiv_ids: _per_line(P.ARXIV, "arxiv_id"),
     extract_full_refs: with_views("ref_lines", f"""SELECT file, raw, {", ".join(f"{S.first('raw', P.FULL_REFERENCE, k)} AS {n}" for k, n in enumerate(("authors", "year", "title", "venue", "volume"), 1))}

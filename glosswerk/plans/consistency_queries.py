@@ -34,7 +34,7 @@ def changed_claims(spark, sf_dir):
 
 
 def validation_rules(spark, sf_dir):
-    return consistency.validate(view(spark, sf_dir, "checks")).select("id", "failure", "level")
+    return consistency.validate(view(spark, sf_dir, "checks")).select("id", "failure", F.array_join("warnings", "; ").alias("warnings"), "level")
 
 
 def confidence_levels(spark, sf_dir):
@@ -47,8 +47,20 @@ def value_drift(spark, sf_dir):
 
 
 def et_al_authors(spark, sf_dir):
-    found = citations.audit(view(spark, sf_dir, "prose_files"), view(spark, sf_dir, "bib_entries"))
-    return consistency.et_al(found).withColumn("ids", F.array_join("ids", ","))
+    bib = view(spark, sf_dir, "bib_entries")
+    found = citations.audit(view(spark, sf_dir, "prose_files"), bib)
+    return consistency.et_al(found, bib).withColumn("authors", F.array_join("authors", "|"))
+
+
+def cited_parameters(spark, sf_dir):
+    return consistency.parameters(view(spark, sf_dir, "mechanism_prose"))
+
+
+def unverified_claims(spark, sf_dir):
+    """Claims of files whose text is not the one verified, in which one word was other."""
+    files = view(spark, sf_dir, "mechanism_prose")
+    verified = files.select("file", F.sha2(F.replace("content", F.lit("in 12.5% of"), F.lit("in 13% of")), 256).alias("digest"))
+    return consistency.unverified(files, verified)
 
 
 def index_upsert(spark, sf_dir):
@@ -73,12 +85,20 @@ _QUERIES = {
         FROM numbers a JOIN cites b ON a.file = b.file AND {_GAP} <= {consistency.NEAR} WHERE NOT (a.s >= b.s AND a.e <= b.e)"""),
     uncited_numbers: with_views("mechanism_prose", f"{_NEAR} SELECT a.file, a.raw AS number, a.s AS start FROM numbers a WHERE NOT EXISTS (SELECT 1 FROM cites b WHERE a.file = b.file AND {_GAP} <= {consistency.UNCITED})"),
     mechanism_claims: with_views("mechanism_prose", f'SELECT file, raw, s AS start, e AS "end" FROM ({S.spans("mechanism_prose", "(?i)" + consistency.MECHANISM)}) m'),
+    unverified_claims: with_views("mechanism_prose", f"""{_NEAR} SELECT a.file, a.raw AS number, a.s AS number_start, b.raw AS citation, b.s AS citation_start, {_GAP}::BIGINT AS gap
+        FROM numbers a JOIN cites b ON a.file = b.file AND {_GAP} <= {consistency.NEAR} WHERE NOT (a.s >= b.s AND a.e <= b.e) AND a.file IN (SELECT file FROM mechanism_prose WHERE contains(content, 'in 12.5% of'))"""),
+    cited_parameters: with_views("mechanism_prose", f"""WITH cites AS ({S.spans('mechanism_prose', P.INLINE)}), named AS ({S.spans('mechanism_prose', consistency.PARAMETER)}),
+        pairs AS (SELECT a.file, a.raw, a.s, a.e, b.raw AS citation, b.s AS place, {_GAP} AS gap FROM named a JOIN cites b ON a.file = b.file AND {_GAP} <= {consistency.NEAR} WHERE NOT (a.s < b.e AND b.s < a.e)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY file, s ORDER BY gap, place) AS n, regexp_extract(raw, '({consistency.NUMBER})\\z', 1) AS value FROM pairs)
+        SELECT file, lower(regexp_extract(raw, '{consistency.PARAMETER}', 1)) AS param, value, (e - length(value))::BIGINT AS value_start, citation FROM best WHERE n = 1"""),
     param_conflicts: with_views("measured", "SELECT param, citation, count(DISTINCT value) AS n_values, count(DISTINCT file) AS files, array_to_string(list_sort(list_distinct(list(value))), '|') AS found FROM measured GROUP BY ALL HAVING count(DISTINCT value) > 1"),
     changed_claims: "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents WHERE sha256(coalesce(text, '')) <> sha256(coalesce(replace(text, chr(10), ' '), ''))",
-    validation_rules: with_views("checks", """WITH f AS (SELECT *, CASE WHEN NOT verified THEN 'unverified' WHEN NOT authors_match THEN 'author mismatch' WHEN similarity < 0.8 THEN 'title mismatch' WHEN year <> actual_year THEN 'year mismatch' END AS failure FROM checks)
-        SELECT id, failure, CASE WHEN failure IS NOT NULL THEN 'error' WHEN similarity <= 0.95 THEN 'warning' ELSE 'pass' END AS level FROM f"""),
-    confidence_levels: with_views("evidence", """WITH s AS (SELECT id, in_bibtex::INT + (in_bibtex AND has_doi)::INT + verified::INT + in_catalog::INT AS score FROM evidence)
-        SELECT id, score, CASE WHEN score >= 3 THEN 'HIGH' WHEN score >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s"""),
+    validation_rules: with_views("checks", """WITH f AS (SELECT *, CASE WHEN NOT verified OR (NOT in_index AND NOT has_doi) THEN 'unverified citation' WHEN lower(string_split(claimed[1], ',')[1]) <> lower(string_split(actual[1], ',')[1]) THEN 'author mismatch' WHEN similarity < 0.8 THEN 'title mismatch' WHEN year <> actual_year THEN 'year mismatch' END AS failure,
+          array_to_string(list_filter([CASE WHEN ambiguous THEN 'ambiguous: add DOI or journal' END, CASE WHEN et_al AND NOT listed THEN 'expand authors' END, CASE WHEN in_index AND NOT has_doi THEN 'add DOI for verification' END,
+            CASE WHEN number IS NOT NULL AND number IS DISTINCT FROM index_number THEN 'verify article number' END, CASE WHEN coalesce(similarity <= 0.95, true) THEN 'title only similar or not compared' END], lambda w: w IS NOT NULL), '; ') AS warnings FROM checks)
+        SELECT id, failure, warnings, CASE WHEN failure IS NOT NULL THEN 'error' WHEN warnings <> '' THEN 'warning' ELSE 'pass' END AS level FROM f"""),
+    confidence_levels: with_views("evidence", """WITH s AS (SELECT id, CASE WHEN has_number AND ((year >= 2020 AND NOT has_doi) OR NOT peer_reviewed) THEN 0 WHEN textbook THEN 2 ELSE 1 END + in_log::INT + verified::INT + in_abstract::INT AS score FROM evidence)
+        SELECT id, score, CASE WHEN score >= 2 THEN 'HIGH' WHEN score = 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM s"""),
     index_upsert: with_views("index_old index_new", "WITH u AS (SELECT * FROM index_old UNION ALL SELECT * FROM index_new) SELECT id, arg_max(title, version) AS title, max(version) AS version FROM u GROUP BY id"),
     index_diff: with_views("index_old index_new", """SELECT * FROM (SELECT coalesce(a.id, b.id) AS id, a.title AS old, b.title AS new,
         CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.title IS DISTINCT FROM b.title THEN 'changed' END AS change FROM index_old a FULL JOIN index_new b ON a.id = b.id) d WHERE change IS NOT NULL"""),
@@ -99,7 +119,8 @@ def _borrowed() -> dict[str, str]:
     drift = f"""WITH refs AS ({_refs("drift_prose")}), {_catalog_sql("aggregate_md")},
         v AS (SELECT r.file, r.line, notebook, claim_id, unnest({values}) AS value FROM refs r JOIN ({S.lines("drift_prose")}) l ON l.file = r.file AND l.line = r.line)
         SELECT v.* FROM v JOIN claims c ON c.nb = v.notebook AND c.claim_id = v.claim_id WHERE NOT list_contains({S.found("c.text", S.NUMBERS)}, value)"""
-    return {"value_drift": with_views("drift_prose aggregate_md", drift), "et_al_authors": _audit("SELECT file, raw, lookup_key, ids FROM audited WHERE contains(raw, 'et al.')")}
+    return {"value_drift": with_views("drift_prose aggregate_md", drift), "et_al_authors": _audit("""SELECT a.file, a.raw, a.lookup_key, a.id, array_to_string(e.authors, '|') AS authors
+        FROM (SELECT file, raw, lookup_key, unnest(CASE WHEN ids IS NULL THEN [NULL] ELSE string_split(ids, ',') END) AS id FROM audited WHERE contains(raw, 'et al.')) a LEFT JOIN bib_entries e ON e.id = a.id""")}
 
 
 ORACLES |= _borrowed()

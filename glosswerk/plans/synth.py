@@ -69,6 +69,11 @@ def views(d: Dialect) -> dict[str, str]:
             CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE '10.1000/p.' || p_partkey END AS doi, CAST(p_partkey AS BIGINT) AS pos FROM {{part}} WHERE p_partkey % 7 = 0""",
         "bib_raw": f"""SELECT 'P' || (p_partkey % 500) AS citation_key, {d.map_of("'author'", "'{{' || p_brand || ', A.}} and  B. ' || p_brand || ' AND '", "'title'", "'{{' || p_name || '}} '", "'year'", "CASE p_partkey % 4 WHEN 0 THEN '{{2010}}' WHEN 1 THEN '2010a' WHEN 2 THEN '' ELSE CAST(1970 + p_size AS VARCHAR(8)) END", "'journal'", "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_type END", "'booktitle'", "p_type", "'doi'", "CASE WHEN p_partkey % 3 = 0 THEN ' {{}} ' ELSE '{{10.1000/p.' || p_partkey || '}}' END", "'url'", "'http://arxiv.org/abs/1234.' || (10000 + p_size)")} AS tags,
             CAST(p_partkey AS BIGINT) AS pos FROM {{part}}""",
+        "part_files": f"""SELECT 'bib/s' || p_size || '.bib' AS file, p_partkey, p_name, p_brand, p_type, p_size FROM {{part}}""",
+        "bib_text": f"""SELECT 'bib/s' || p_size || '.bib' AS file, '@string{{{{jop = "Journal of Parts"}}}}' || {NL} || '@comment{{{{@article{{{{old, title={{{{Old}}}}}}}}}}}}' || {NL} || {d.join_up("entry", NL, "p_partkey")} AS content
+            FROM (SELECT p_size, p_partkey, '@Article{{{{P' || p_partkey || ', Title = {{{{C# in ' || p_name || '}}}},' || {NL} || ' author = "A {{{{"Q"}}}} Author and {{{{B}}}} ' || p_brand || '",' || {NL} || ' journal = jop # " " # {{{{' || p_type || '}}}}, note={{{{see @misc{{{{b, title={{{{X}}}}}}}} there}}}}, year = ' || {_YEAR} || {NL} || '}}}}' AS entry FROM {{part}}) s GROUP BY p_size""",
+        "registry_works": f"""SELECT '10.1000/p.' || p_partkey AS doi, CASE WHEN p_partkey % 4 = 0 THEN p_type ELSE p_name END AS title, {d.list_of("CASE WHEN p_partkey % 5 = 0 THEN 'Nobody, X.' ELSE " + _NOUN + " || ', X.' END", "'Further, F.'")} AS authors,
+            CAST({_YEAR} + CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS INT) AS year FROM {{part}} WHERE p_partkey % 13 <> 0""",
         "ref_lines": f"""SELECT 'refs/s' || p_size || '.md' AS file, {d.join_up("line", NL, "p_partkey, line")} AS content
             FROM (SELECT p_size, p_partkey, '- ' || p_name || ' (' || {_YEAR} || '). ' || p_type || '. *' || p_brand || '*, ' || p_size || '. doi:10.1000/p.' || p_partkey || ', https://doi.org/10.1000/(q' || p_partkey || ') arXiv: 2101.' || lpad(CAST(p_partkey % 100000 AS VARCHAR(5)), 5, '0') AS line FROM {{part}}) s GROUP BY p_size""",
         "claim_prose": f"""SELECT 'docs/u' || user_id || '.md' AS file, {d.join_up("'Effect ' || event_type || ' [NB' || (user_id % 25) || ':K' || (event_id % 7 + 1) || ']'", NL, "event_id")} AS content FROM {{events}} GROUP BY user_id""",
@@ -95,8 +100,10 @@ def views(d: Dialect) -> dict[str, str]:
             FROM (SELECT p_size, p_partkey, CASE p_partkey % 4 WHEN 0 THEN {noun} || ' (' || {_YEAR} || ') shows that ' || {_ADJ} || ' causes ' || {_NOUN} || ' in 12.5% of cases'
             WHEN 1 THEN {_NOUN} || ' modulates ' || {_ADJ} || ' by ' || (p_partkey % 97) || '%' ELSE 'a long passage without any finding, source or figure, that only fills the space between two claims of this text' END AS line FROM {{part}}) s GROUP BY p_size""",
         "drift_prose": f"""SELECT 'docs/d' || user_id || '.md' AS file, {d.join_up("'Value ' || (event_id % 3) || ' at [NB' || (user_id % 25) || ':K' || (event_id % 7 + 1) || ']'", NL, "event_id")} AS content FROM {{events}} GROUP BY user_id""",
-        "checks": f"""SELECT p_partkey AS id, p_partkey % 10 <> 0 AS verified, CAST(p_partkey % 41 AS DOUBLE) / 40 AS similarity, {_YEAR} AS year, {_YEAR} + CASE WHEN p_partkey % 5 = 1 THEN 1 ELSE 0 END AS actual_year, p_partkey % 7 <> 0 AS authors_match FROM {{part}}""",
-        "evidence": """SELECT p_partkey AS id, p_partkey % 2 = 0 AS in_bibtex, p_partkey % 3 = 0 AS has_doi, p_partkey % 5 = 0 AS verified, p_partkey % 7 = 0 AS in_catalog FROM {part}""",
+        "checks": f"""SELECT p_partkey AS id, p_partkey % 10 <> 0 AS verified, p_partkey % 3 <> 0 AS in_index, p_partkey % 4 <> 0 AS has_doi, CASE WHEN p_partkey % 17 <> 0 THEN CAST(p_partkey % 41 AS DOUBLE) / 40 END AS similarity, {_YEAR} AS year, {_YEAR} + CASE WHEN p_partkey % 5 = 1 THEN 1 ELSE 0 END AS actual_year,
+            {d.list_of(_NOUN + " || ', X.'")} AS claimed, {d.list_of("CASE WHEN p_partkey % 7 = 0 THEN 'Nobody, X.' ELSE " + _NOUN + " || ', Y.' END")} AS actual, p_partkey % 19 = 0 AS ambiguous, p_partkey % 6 = 0 AS et_al, p_partkey % 12 = 0 AS listed,
+            CASE WHEN p_partkey % 8 = 0 THEN p_size END AS number, CASE WHEN p_partkey % 16 = 0 THEN p_size END AS index_number FROM {{part}}""",
+        "evidence": """SELECT p_partkey AS id, p_partkey % 2 = 0 AS has_number, 1990 + p_size AS year, p_partkey % 3 = 0 AS has_doi, p_partkey % 4 <> 0 AS peer_reviewed, p_partkey % 9 = 0 AS textbook, p_partkey % 5 = 0 AS verified, p_partkey % 7 = 0 AS in_log, p_partkey % 8 = 1 AS in_abstract FROM {part}""",
         "index_old": """SELECT p_partkey AS id, p_name AS title, CAST(1 AS BIGINT) AS version FROM {part} WHERE p_partkey % 5 <> 0""",
         "index_new": """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS title, CAST(2 AS BIGINT) AS version FROM {part} WHERE p_partkey % 7 <> 0""",
         "measured": """SELECT 'docs/u' || user_id || '.md' AS file, event_type AS param, 'NB' || (user_id % 25) AS citation, CAST(event_id % 3 AS VARCHAR(4)) AS value FROM {events}""",

@@ -8,13 +8,15 @@ executors, as on a shared file system.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from glosswerk.functions.bibtex import entries
+
 # Which files a scan takes and which names it leaves out.
 SCANS = {
     "audit": {"extensions": ".md,.html,.js", "exclude": "node_modules,.git,dist", "dot": "true"},
@@ -66,46 +68,9 @@ class CorpusSource(DataSource):
         return _Reader(self.options)
 
 
-def entries(text: str) -> Iterator[tuple[str | None, str, dict[str, str]]]:
-    """Citation key, type and tags (lower-case names) of the entries of a BibTeX text.
-
-    Braces nest; values may be braced, quoted, bare or joined by ``#``.  Comments,
-    preambles and string definitions are left out; an entry that never closes ends
-    at the end of the text.
-    """
-    for m in re.finditer(r"@\s*(\w+)\s*[{(]", text):
-        kind = m[1].lower()
-        if kind in ("comment", "preamble", "string"):
-            continue
-        depth, end = 1, m.end()
-        while end < len(text) and depth:
-            depth += (text[end] in "{(") - (text[end] in "})") if text[end] in "{}" or depth == 1 else 0
-            end += 1
-        key, _, rest = text[m.end() : end - (depth == 0)].partition(",")
-        yield key.strip() or None, kind, dict(tags(rest))
-
-
-def tags(body: str) -> Iterator[tuple[str, str]]:
-    at = 0
-    while m := re.compile(r"\s*,?\s*([\w-]+)\s*=\s*").match(body, at):
-        at, depth, quoted, value = m.end(), 0, False, []
-        while at < len(body) and (depth or quoted or body[at] != ","):
-            c = body[at]
-            if c == '"' and not depth:
-                quoted = not quoted
-            else:
-                depth += (c == "{") - (c == "}")
-                value.append(c)
-            at += 1
-        whole = "".join(value).strip()
-        if whole.startswith("{") and whole.endswith("}"):
-            whole = whole[1:-1]
-        yield m[1].lower(), re.sub(r"\s*#\s*", "", whole) if "#" in whole and not whole.startswith("{") and "{" not in whole else whole
-
-
 class BibtexSource(DataSource):
     """citation_key, entry_type, tags, pos (order in the file) of BibTeX files; one
-    partition for each file.  Option ``path``: comma list of files."""
+    partition for each file.  Option ``paths``: JSON list of files."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,7 +88,7 @@ class _BibReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.options["path"].split(",")]
+        return [InputPartition(p) for p in json.loads(self.options["paths"])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with open(partition.value, encoding="utf-8", errors="replace") as f:
@@ -146,7 +111,7 @@ def notebooks(spark: SparkSession, path: str) -> DataFrame:
 
 def bibtex(spark: SparkSession, *paths: str) -> DataFrame:
     spark.dataSource.register(BibtexSource)
-    return spark.read.format("glosswerk_bibtex").option("path", ",".join(paths)).load()
+    return spark.read.format("glosswerk_bibtex").option("paths", json.dumps(paths)).load()
 
 
 def claim_texts(spark: SparkSession, path: str) -> DataFrame:

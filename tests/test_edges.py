@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glosswerk import cli
 from glosswerk.functions import text as X
+from glosswerk.functions.bibtex import entries
 from glosswerk.operators import bibliography, citations, claims, registry
 from glosswerk.sources import corpus
 from glosswerk.streaming.watch import watch
@@ -58,6 +59,24 @@ def test_bibtex(spark, tmp_path):
     assert last["key1"].title == "Later" and last["key1"].pos == 0
 
 
+def test_bibtex_grammar():
+    text = """@string{jop = "Journal of Parts"} @comment{@article{old, title={Old}}} @preamble{"x" # "y"}
+    @misc{a, note={see @misc{b, title={X}} there}, title={C# in practice}, howpublished="a # b", journal = jop # " " # {B},}
+    @book(c, title = "With {\\"o} and (round)", year = 1999) @misc{open, title={never closed"""
+    assert list(entries(text)) == [
+        ("a", "misc", {"note": "see @misc{b, title={X}} there", "title": "C# in practice", "howpublished": "a # b", "journal": "Journal of Parts B"}),
+        ("c", "book", {"title": 'With {\\"o} and (round)', "year": "1999"}),
+        ("open", "misc", {"title": "never closed"}),
+    ]
+    assert list(entries("")) == [] and list(entries("@misc{x, y}")) == [("x", "misc", {})]
+
+
+def test_bibliography_in_a_folder_with_a_comma(spark, tmp_path):
+    (tmp_path / "a, b").mkdir()
+    (tmp_path / "a, b/r.bib").write_text("@misc{k, title={T}}")
+    assert [r.citation_key for r in corpus.bibtex(spark, f"{tmp_path}/a, b/r.bib").collect()] == ["k"]
+
+
 def notebook(*cells):
     return json.dumps({"cells": [{"cell_type": "markdown", "source": c} for c in cells]})
 
@@ -99,6 +118,7 @@ def test_reference_pages(spark):
     title = '<li id="bib.2">B (2002). Another title that is long. Venue.</li>'
     pages = spark.createDataFrame([("p", "<html>References" + "".join(item.format(k) for k in range(20)) + title * 9), ("q", "<li id='bib.1'>no section</li>"), ("r", None)], "paper string, html string")
     kinds = registry.budget(registry.references(pages)).groupBy("paper", "kind").count().collect()
+    assert registry.dois_in_budget(registry.items(pages)).count() == 15 and registry.titles_in_budget(registry.items(pages)).count() == 5
     assert {(r.paper, r.kind, r["count"]) for r in kinds} == {("p", "doi", 15), ("p", "title", 5)}
 
 
@@ -125,6 +145,12 @@ def test_search_has_no_floor_and_titles_can_be_missed(spark, tmp_path, capsys):
     works.write.parquet(f"{tmp_path}/works")
     spark.createDataFrame([("p", f"<html>References{items}")], "paper string, html string").write.parquet(f"{tmp_path}/pages")
     spark.createDataFrame([("f", "<entry><id>http://arxiv.org/abs/p</id><title>T</title></entry>")], "feed string, xml string").write.parquet(f"{tmp_path}/feeds")
+    assert cli.main(["arxiv", f"--snapshot={tmp_path}"], spark) == 1
+    assert "── p: T" in capsys.readouterr().out
+    assert cli.main(["search", titles[6], f"--snapshot={tmp_path}"], spark) == 0 and "10.1/6" in capsys.readouterr().out
+    assert cli.main(["verify", "10.1/1", f"--snapshot={tmp_path}"], spark) == 0 and "Authors: A" in capsys.readouterr().out
+    assert cli.main(["verify", "10.1/none", f"--snapshot={tmp_path}"], spark) == 1
+    capsys.readouterr()
     assert cli.main(["arxiv", f"--snapshot={tmp_path}", "--json"], spark) == 0
     issues = json.loads(capsys.readouterr().out)["issues"]
     assert [(i["issue"], i["claimed"], i["best_match"]) for i in issues] == [("Title not found in CrossRef", "Zygomorphic petals unheard", titles[6])]
@@ -154,12 +180,19 @@ def test_commands(spark, tree, capsys):
     assert cli.main(["audit", str(tree), "--bibtex=/none.bib"], spark) == 1
     assert cli.main(["aggregate", f"{tree}/nb", "-o", f"{tree}/catalog.md"], spark) == 0
     assert cli.main(["notebook-audit", str(tree), f"--aggregate={tree}/catalog.md", f"--notebooks={tree}/nb"], spark) == 1
-    assert "K7 not found in NB01" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "K7 not found in NB01" in out and "✓ 01_one.ipynb  (1 claims)" in out
+    (tree / "a/n.md").write_text("Smith (2010) has gain 12 and gain 13. " + "x" * 400 + " then 99")
+    assert cli.main(["claims", str(tree), "--uncited", "--exit-code"], spark) == 1 and "99" in capsys.readouterr().out
+    assert cli.main(["claims", str(tree), "--inconsistent", "--exit-code"], spark) == 1 and "12|13" in capsys.readouterr().out
+    spark.createDataFrame([("a/n.md", (tree / "a/n.md").read_text())], "file string, content string").selectExpr("file", "sha2(content, 256) AS digest").write.parquet(f"{tree}/seen")
+    assert cli.main(["claims", str(tree), "--unverified", "--json"], spark) == 0 and len(json.loads(capsys.readouterr().out)["claims"]) >= 2
+    assert cli.main(["claims", str(tree), "--unverified", f"--verified={tree}/seen"], spark) == 0 and "gain" not in capsys.readouterr().out
 
 
 def test_stream(spark, tmp_path):
-    spark.createDataFrame([("a", "Smith (2010) Lee (2011)")], "file string, content string").write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("a", "Smith (2010) Lee (2011) Roe (2012) @misc{r, author={Roe, R.}, year={2012}}")], "file string, content string").write.parquet(f"{tmp_path}/in")
     bib = spark.createDataFrame([("s", ["Smith, J."], 2010, None, 1)], "id string, authors array<string>, year int, doi string, pos long")
     files = spark.readStream.schema("file string, content string").parquet(f"{tmp_path}/in")
     watch(spark, files, bib, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
-    assert [(r.type, r.citation) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [("orphan", "Lee (2011)")]
+    assert sorted((r.type, r.citation) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("missing_doi", "r"), ("orphan", "Lee (2011)")]
