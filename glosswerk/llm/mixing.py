@@ -10,6 +10,11 @@ shares in all.  Only that one period (as large as the weights table, never as th
 corpus) is laid out on the driver; blocks take their slot from it by arithmetic.
 A source that runs out leaves its later slots empty, so the others go on at their
 own weights; no document is dropped or repeated.
+
+Odd input: null and unlisted sources share ``other``; null doc_ids are documents like
+any others, ordered as the empty string; texts, null, empty or very long, are not
+read; columns named like the added ones are replaced, all others stay.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,7 +104,11 @@ def placed(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
 def _sorted(docs: DataFrame, doc_id: str, **options) -> tuple[DataFrame, list[str], dict[str, str]]:
     order = mix(docs, doc_id=doc_id, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.struct("slot", "place")).alias("__at"))
     docs, back = aside(docs, doc_id)
-    joined = docs.join(order, F.col(doc_id).eqNullSafe(F.col("__id")))
+    null = order.where("__id IS NULL").select("__at.*").first() if docs.where(F.col(doc_id).isNull()).take(1) else None
+    joined = docs.join(order, F.col(doc_id) == F.col("__id"))
+    if null:  # rows without an id share one turn, which is looked up once and not joined
+        turn = F.struct(F.lit(null.slot).alias("slot"), F.lit(null.place).alias("place"))
+        joined = joined.unionByName(docs.where(F.col(doc_id).isNull()).withColumns({"__id": F.lit(None).cast(order.schema["__id"].dataType), "__at": turn}))
     return joined.repartitionByRange("__at.slot", "__at.place").sortWithinPartitions("__at.slot", "__at.place", doc_id), docs.columns, back
 
 

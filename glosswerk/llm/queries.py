@@ -15,7 +15,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(read(spark, sf_dir, "documents"))
+    return sharding.assign(read(spark, sf_dir, "documents"), limit=sharding.QUERY_LIMIT)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

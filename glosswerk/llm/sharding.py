@@ -7,7 +7,8 @@ of an address whose documents fit the limit.
 
 Instead of splitting one bit at a time, a round sums bytes for many more bits at
 once, rolls these sums up to every shallower prefix and reads off the first that
-fits; only documents still without a shard enter the next round.
+fits; only documents still without a shard, such as those beyond the limit by
+themselves, enter the second round, which looks at all bits that are left.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glosswerk.llm.shared import Scratch
+from glosswerk.llm.shared import Scratch, aside
 
 ADDRESS_BITS = 60
 #: Shards of about this many bytes of text.
 LIMIT_BYTES = 16 << 20
+#: The limit of ``op2_sharding``: small, so that small tables are split many times too
+#: and a long document alone goes beyond it.
+QUERY_LIMIT = 32 << 10
 #: Bits that a round looks beyond those an even spread would need.
-EXTRA_BITS = 6
+EXTRA_BITS = 4
 
 
 def address(key: Column) -> Column:
@@ -39,7 +43,8 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
     undivided directory.  Null texts have 0 bytes.  Rows that share one key share
     a shard.  Documents whose whole address is shared, or a single document beyond
     the limit, cannot be split: they get a shard of full depth with ``fits`` false.
-    Repeated rows each count.  An empty table gives an empty result.
+    Repeated rows each count.  Only ``key`` and the size of ``text`` are read, so long texts
+    and columns of any other name make no difference.  An empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "shards")
     base = scratch.write(docs.select(F.col(key).alias("key"), address(F.col(key)).alias("address"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")), "sizes")
@@ -58,17 +63,22 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         if depth == ADDRESS_BITS or sum(1 for _ in leaves.join(directory, "leaf", "left_anti").take(1)) == 0:
             break
         open_ = scratch.write(open_.withColumn("leaf", prefix).join(directory, "leaf", "left_anti").drop("leaf"), f"open{round_}")
-        done, depth, round_ = depth + 1, min(ADDRESS_BITS, depth + 12), round_ + 1
+        done, depth, round_ = depth + 1, ADDRESS_BITS, round_ + 1
     shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(prefix), int(depth), '0')"))
     return reduce(DataFrame.unionAll, parts).select(F.col("key").alias(key), "n_bytes", shard.alias("shard"), F.col("depth").cast("long").alias("depth"), "shard_docs", "shard_bytes", (F.col("shard_bytes") <= limit).alias("fits"))
 
 
-def write_shards(docs: DataFrame, path: str, key: str = "doc_id", **options) -> None:
-    """Write ``docs`` as Parquet, one folder for each shard; a column ``shard`` is replaced."""
-    docs = docs.drop("shard")
-    shards = assign(docs, key, **options).groupBy(F.col(key).alias("__key")).agg(F.first("shard").alias("shard"))
-    joined = docs.join(shards, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
-    joined.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", **options) -> None:
+    """Write ``docs`` as Parquet, one folder for each shard; a column ``shard`` is replaced.
+
+    Rows with a null key share one shard, which is looked up once and not joined; other
+    columns, of whatever name, stay as they are."""
+    docs, back = aside(docs.drop("shard"), key)
+    scratch = options.setdefault("scratch", Scratch(docs.sparkSession, "shards"))
+    shards = scratch.write(assign(docs, key, **options, text=next((k for k, v in back.items() if v == text), text)).groupBy(F.col(key).alias("__key")).agg(F.first("shard").alias("shard")), "of_keys")
+    null = shards.where("__key IS NULL").first()
+    joined = docs.join(shards, F.col(key) == F.col("__key")).drop("__key").unionByName(docs.where(F.col(key).isNull()).withColumn("shard", F.lit(null.shard if null else "")))
+    joined.withColumnsRenamed(back).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 ORACLE = f"""
@@ -83,8 +93,8 @@ sums AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BI
 leafs AS (
   SELECT p.doc_id, p.n_bytes, s.*, row_number() OVER (PARTITION BY p.doc_id ORDER BY s.depth) AS nth
   FROM prefixes p JOIN sums s USING (depth, prefix)
-  WHERE s.shard_bytes <= {LIMIT_BYTES} OR s.depth = {ADDRESS_BITS})
+  WHERE s.shard_bytes <= {QUERY_LIMIT} OR s.depth = {ADDRESS_BITS})
 SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth::INT, '0') END AS shard,
-       depth::BIGINT AS depth, shard_docs, shard_bytes, shard_bytes <= {LIMIT_BYTES} AS fits
+       depth::BIGINT AS depth, shard_docs, shard_bytes, shard_bytes <= {QUERY_LIMIT} AS fits
 FROM leafs WHERE nth = 1
 """

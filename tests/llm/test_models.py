@@ -162,3 +162,85 @@ def test_shards(docs, rows, empty, tmp_path):
     assert sharding.assign(empty).count() == 0
     sharding.write_shards(docs, str(tmp_path / "shards"), limit=limit)
     assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(rows)
+
+
+def test_shards_of_any_columns_and_null_keys(spark, docs, rows, tmp_path):
+    sharding.write_shards(docs.withColumnRenamed("score", "leaf").withColumnRenamed("key", "depth"), str(tmp_path / "s"), limit=20_000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert {"leaf", "depth", "shard"} <= set(back.columns) and back.where("doc_id IS NULL").count() == 2 and back.count() == len(rows)
+
+
+def test_neighbours_over_shards_lengths_and_ties(spark):
+    """Several shards and blocks, ties at rank 10, lengths searched apart, other columns."""
+    r = np.random.default_rng(5)
+    rows = [(k, [float(v) for v in r.integers(-1, 2, 8)]) for k in range(600)] + [(1000 + k, [float(v) for v in r.integers(-1, 2, 5)]) for k in range(150)]
+    rows = [x for x in rows if any(x[1])]
+    want = brute_nearest([x for x in rows if len(x[1]) == 8]) | brute_nearest([x for x in rows if len(x[1]) == 5])
+    table = spark.createDataFrame([(*x, 1, "s") for x in rows], "vec_id long, embedding array<double>, query_id int, score string")
+    old = vectors.SHARD_ROWS, vectors.QUERY_BLOCK
+    vectors.SHARD_ROWS, vectors.QUERY_BLOCK = 100, 2
+    try:
+        found = vectors.search(table, table.where("vec_id % 100 = 0"), radius=vectors.BITS).orderBy("query_id", "rank").collect()
+        few = vectors.search(table, table.where("vec_id % 100 = 0"), radius=0).orderBy("query_id", "rank").collect()  # the second pass
+    finally:
+        vectors.SHARD_ROWS, vectors.QUERY_BLOCK = old
+    for out in (found, few):
+        got = defaultdict(list)
+        for x in out:
+            got[x.query_id].append((x.vec_id, x.score))
+        assert {q: [v for v, _ in g] for q, g in got.items()} == {q: [v for v, _ in w] for q, w in want.items()}
+
+
+def brute_model(rows, classes):
+    """A plain counter of n-grams, TF-IDF, and dense FTRL, without numpy indexing tricks."""
+    import math
+    import unicodedata
+
+    def grams(text):
+        s = "".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower())
+        s = re.sub(" +", " ", s)
+        return Counter(s[i : i + n] for n in range(1, 4) for i in range(len(s) - n + 1))
+
+    found = [grams(t) for t, _ in rows]
+    df = Counter(g for f in found for g in f)
+    idf = {g: math.log((1 + len(rows)) / (1 + n)) + 1 for g, n in df.items()}
+    vecs = []
+    for f in found:
+        v = {g: (1 + math.log(n)) * idf[g] for g, n in f.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vecs.append({g: x / size for g, x in v.items()})
+    z, n = defaultdict(lambda: [0.0] * classes), defaultdict(lambda: [0.0] * classes)
+    lead = lambda z, n, l1, l2: 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((langid.BETA + math.sqrt(n)) / langid.ALPHA + l2)
+
+    def weights(g):
+        l1, l2 = (0.0, 0.0) if g is None else (langid.L1, langid.L2)
+        return [lead(z[g][c], n[g][c], l1, l2) for c in range(classes)]
+
+    order = np.random.default_rng(7)
+    for _ in range(langid.EPOCHS):
+        for r in order.permutation(len(rows)):
+            w = {g: weights(g) for g in [*vecs[r], None]}
+            x = {**vecs[r], None: 1.0}
+            s = [sum(x[g] * w[g][c] for g in x) for c in range(classes)]
+            e = [math.exp(v - max(s)) for v in s]
+            p = [v / sum(e) for v in e]
+            for g in x:
+                for c in range(classes):
+                    grad = x[g] * (p[c] - (c == rows[r][1]))
+                    step = (math.sqrt(n[g][c] + grad * grad) - math.sqrt(n[g][c])) / langid.ALPHA
+                    z[g][c] += grad - step * w[g][c]
+                    n[g][c] += grad * grad
+    return [[sum(x * weights(g)[c] for g, x in v.items()) + weights(None)[c] for c in range(classes)] for v in vecs]
+
+
+def test_model_against_dense_ftrl():
+    """Counts, TF-IDF and FTRL equal a slow plain version (no hash of these n-grams collides)."""
+    texts = [("Der Hund und die Katze.", 0), ("the dog and the cat", 1), ("le chien et le chat, été", 2), ("und der das die", 0), ("and the of to", 1), ("et les des aux", 2)]
+    found = [langid.counts(t) for t, _ in texts]
+    df = sum((f > 0).astype(int) for f in found)
+    model = langid.Model(["de", "en", "fr"], np.log((1 + len(texts)) / (1 + df)) + 1, None, None)
+    rows = [(*model.features(f), y) for f, (_, y) in zip(found, texts, strict=True)]
+    model.weights, model.bias = langid.ftrl(rows, 3)
+    got = np.array([x @ model.weights[i] + model.bias for i, x, _ in rows])
+    assert np.allclose(got, brute_model(texts, 3), atol=1e-9)
+    assert (got.argmax(axis=1) == [y for _, y in texts]).all()
