@@ -1,11 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a Parquet table sorted by line hash: the hash, how many documents of one
-batch hold the line, and the largest ``doc_id`` among them.  A new batch
-merge-anti-joins the runs, so lines that are already settled are not stored
-again, and adds the rest as a run of level 0.  Once a level has ``fanout`` runs
-they are compacted into one run of the next level, so n batches leave O(log n) runs
-and each entry is rewritten O(log n) times.
+A run is a Parquet table bucketed and sorted by line hash: the hash, how many documents
+of one batch hold the line, and the largest ``doc_id`` among them.  A new batch
+merge-anti-joins the runs, bucket by bucket and without moving them, so lines that are
+already settled are not stored again, and adds the rest as a run of level 0.  Once a
+level has ``fanout`` runs they are compacted into one run of the next level, so n
+batches leave O(log n) runs and each entry is rewritten O(log n) times.  A manifest
+beside the runs names the levels; ``LineRuns.open`` takes them up in a later job.
 
 Rules, also for odd input: a line's key is the line without ``[\\x20\\x09-\\x0D]``
 at both ends and with A-Z in lower case; only keys of ``min_chars`` code points or
@@ -17,11 +18,12 @@ is one empty line; a null text stays null.  An empty table gives an empty result
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,48 +44,83 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key)
 
 
+_RUN = "key binary, docs long, last long"
+
+
 class LineRuns:
     """The levelled runs; ``add`` takes batches of (key, docs, last)."""
 
-    def __init__(self, scratch: Scratch, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
+    def __init__(self, scratch: Scratch, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int | None = None):
         self.scratch, self.min_docs, self.fanout = scratch, min_docs, fanout
+        self.buckets = buckets or shuffle_partitions(scratch.spark)
         self.levels: list[list[str]] = [[]]
-        self.written = 0
+        self.written = self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineRuns:
+        """The runs below ``path`` as their last ``add`` left them."""
+        last = spark.read.text(f"{path}/manifest").orderBy(F.desc("version")).first()
+        kept = json.loads(last.value)
+        runs = cls(Scratch(spark, "lines", path), kept["min_docs"], kept["fanout"], kept["buckets"])
+        runs.levels, runs.written, runs.version = kept["levels"], kept["written"], last.version
+        return runs
+
+    def _save(self) -> None:
+        self.version += 1
+        kept = json.dumps({"min_docs": self.min_docs, "fanout": self.fanout, "buckets": self.buckets, "levels": self.levels, "written": self.written})
+        self.scratch.spark.createDataFrame([(kept,)], "value string").coalesce(1).write.text(f"{self.scratch.path}/manifest/version={self.version}")
 
     def _write(self, entries: DataFrame, level: int) -> None:
         name = f"run{self.written}"
         self.written += 1
-        n = shuffle_partitions(self.scratch.spark)
-        self.scratch.write(entries.repartition(n, "key").sortWithinPartitions("key"), name)
+        self.scratch.bucketed(entries, name, self.buckets, "key", sort=True, dealt=True)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
 
-    def _union(self, names: list[str]) -> DataFrame | None:
-        runs = [self.scratch.read(n, "key binary, docs long, last long") for n in names]
-        out = None
-        for run in runs:
-            out = run if out is None else out.unionAll(run)
-        return out
+    def _run(self, name: str) -> DataFrame:
+        return self.scratch.open_bucketed(name, _RUN, self.buckets, "key")
+
+    def _names(self) -> list[str]:
+        return [n for level in self.levels for n in level]
+
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch whose key is not settled: once enough documents, with a
+        larger id among them, are stored."""
+        docs, largest = F.lit(0), F.lit(None).cast("long")
+        joined = batch
+        for k, name in enumerate(self._names()):
+            run = self._run(name).select("key", F.col("docs").alias(f"docs{k}"), F.col("last").alias(f"last{k}"))
+            joined = joined.join(run, "key", "left")
+            docs, largest = docs + F.coalesce(f"docs{k}", F.lit(0)), F.greatest(largest, F.col(f"last{k}"))
+        settled = (docs >= self.min_docs) & (F.col("last") <= F.coalesce(largest, F.lit(-(2**63))))
+        return joined.where(~settled).select(*batch.columns)
 
     def add(self, batch: DataFrame) -> None:
-        stored = self._union([n for level in self.levels for n in level])
-        if stored is not None:  # a key is settled once enough documents, with a larger id among them, are stored
-            settled = stored.groupBy("key").agg(F.sum("docs").alias("docs"), F.max("last").alias("largest")).where(F.col("docs") >= self.min_docs)
-            batch = batch.join(settled.select("key", "largest"), (batch["key"] == settled["key"]) & (batch["last"] <= settled["largest"]), "left_anti")
-        self._write(batch, 0)
+        self._write(self.unsettled(batch), 0)
+        old: list[str] = []
         for level, names in enumerate(self.levels):
             if len(names) >= self.fanout:
                 self._write(self._merged(names), level + 1)
                 self.levels[level] = []
-                self.scratch.drop(*names)
+                old += names
+        self._save()
+        self.scratch.drop(*old)
 
     def _merged(self, names: list[str]) -> DataFrame:
-        return self._union(names).groupBy("key").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+        """Two runs at a time: they lie in the same buckets, so none is moved.  (A union of
+        bucketed tables must not be grouped: Spark 4.1.2 then takes their buckets to
+        be aligned although they are not, and gives wrong sums.)"""
+        merged = self._run(names[0])
+        for name in names[1:]:
+            other = self._run(name).select("key", F.col("docs").alias("docs2"), F.col("last").alias("last2"))
+            sums = (F.coalesce("docs", F.lit(0)) + F.coalesce("docs2", F.lit(0))).alias("docs")
+            merged = merged.join(other, "key", "full_outer").select("key", sums, F.greatest("last", "last2").alias("last"))
+        return merged
 
     def table(self) -> DataFrame:
         """key, docs, last over all batches; docs may stop at ``min_docs`` or more."""
-        return self._merged([n for level in self.levels for n in level])
+        return self._merged(self._names())
 
 
 def _entries(docs: DataFrame, doc_id: str, text: str, min_chars: int, batches: int) -> DataFrame:
@@ -103,21 +140,23 @@ def _entries(docs: DataFrame, doc_id: str, text: str, min_chars: int, batches: i
     return source.mapInArrow(run, "key binary, doc_id long, batch int")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, scratch: Scratch | None = None) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, scratch: Scratch | None = None, runs: LineRuns | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, plus n_lines and n_dropped.
 
     The table is dealt into ``batches`` by document, each added to the runs in
     turn, as arriving data would be; the result does not depend on their number.
+    With ``runs`` the documents are new ones beside those already added there: lines
+    are counted over all, and ``min_docs`` is that of the runs.
     Columns of ``docs`` named like the added ones are replaced, all others stay.
     """
     docs, back = aside(docs.drop("n_lines", "n_dropped"), doc_id, text)
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     _entries(docs, doc_id, text, min_chars, batches).write.partitionBy("batch").parquet(f"{scratch.path}/entries")
     entries = scratch.read("entries", "key binary, doc_id long, batch int")
-    runs = LineRuns(scratch, min_docs, fanout)
+    runs = runs or LineRuns(scratch, min_docs, fanout)
     for k in range(batches):
         runs.add(entries.where(F.col("batch") == k).groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last")))
-    common = scratch.write(runs.table().where(F.col("docs") >= min_docs), "common")
+    common = scratch.write(runs.table().where(F.col("docs") >= runs.min_docs), "common")
     doomed = join_hot(entries, common, "key", "docs", entries.count()).where(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set("key").alias("__keys"))
     doomed = doomed.withColumnRenamed("doc_id", "__id")
     joined = docs.join(doomed, docs[doc_id].cast("long") == doomed["__id"], "left").drop("__id")

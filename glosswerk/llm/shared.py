@@ -57,9 +57,9 @@ class Scratch:
     A written table cuts the lineage and survives the loss of any executor.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None):
         self.spark = spark
-        self.path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{table}")
@@ -69,11 +69,12 @@ class Scratch:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         return reader.parquet(f"{self.path}/{table}")
 
-    def bucketed(self, df: DataFrame, table: str, buckets: int, column: str, sort: bool = False) -> DataFrame:
+    def bucketed(self, df: DataFrame, table: str, buckets: int, column: str, sort: bool = False, dealt: bool = False) -> DataFrame:
         """A table whose rows lie in ``buckets`` files by ``column`` (and sorted by it), so
-        that later grouping or joining by it moves no row."""
+        that later grouping or joining by it moves no row.  ``dealt``: ``df`` comes from a
+        grouping or join by ``column`` and is not moved either."""
         name, path = f"{table}_{uuid.uuid4().hex}", f"{self.path}/{table}"
-        writer = df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", path).option("compression", "zstd")
+        writer = (df if dealt else df.repartition(buckets, column)).write.bucketBy(buckets, column).option("path", path).option("compression", "zstd")
         (writer.sortBy(column) if sort else writer).saveAsTable(name)
         return self._resolved(name)
 

@@ -41,6 +41,30 @@ def test_lines_do_not_depend_on_batches(docs):
     assert one == seven
 
 
+def test_runs_are_taken_up_by_a_later_session(spark):
+    """Two jobs: the second sees the lines of the first, and moves none of its runs."""
+    line = "A line that many documents share."
+    rows = [(k, f"{line}\nown line of document {k} alone") for k in range(12)]
+    first, second = spark.createDataFrame(rows[:6], "doc_id long, text string"), rows[6:]
+    runs = lines.LineRuns(lines.Scratch(spark, "kept"))
+    lines.dedup(first, runs=runs).collect()
+    other = spark.newSession()
+    again = lines.LineRuns.open(other, runs.scratch.path)
+    assert again.levels == runs.levels and again.buckets == runs.buckets
+    keys = other.createDataFrame([(lines.line_key(line.encode(), 20), 1, 3), (b"new", 1, 3)], "key binary, docs long, last long").groupBy("key").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+    plan = again.unsettled(keys)
+    assert [r.key for r in plan.collect()] == [b"new"]
+    other.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = again.unsettled(keys)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        other.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    runs_read = text.count("FileScan")
+    assert runs_read == len(again._names()) and text.count("Exchange") <= 1  # that of the batch's own grouping
+    out = {r.doc_id: r.text for r in lines.dedup(other.createDataFrame(second, "doc_id long, text string"), runs=again).collect()}
+    assert out == {k: f"{line}\nown line of document {k} alone" if k == 11 else f"own line of document {k} alone" for k in range(6, 12)}
+
+
 def brute_substrings(rows, min_words=20, min_chars=20):
     """(kept text, n_removed, n_lines_removed) of each row, by dictionaries of first places."""
     key = lambda x: b" ".join(x.encode().lower().split()).decode()
