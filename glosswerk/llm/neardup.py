@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswerk.llm.components import components
-from glosswerk.llm.shared import Scratch, aside, slices, text_bytes
+from glosswerk.llm.shared import Scratch, aside, join_hot, slices, text_bytes
 
 WORDS = 5
 #: A pair is linked where 100 * intersection >= PERCENT * union.
@@ -256,14 +256,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch
 
     banded = scratch.write(sets.select("node", F.posexplode("bands").alias("place", "band")), "bands")
     buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).where("n > 1")
-    shared = scratch.write(banded.join(buckets, "band"), "shared")
+    shared = scratch.write(join_hot(banded, buckets, "band", "n", banded.count()), "shared")
     scratch.drop("bands")
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").withColumnRenamed("node", "doc_id")
     full = scratch.write(shingle_sets(source.join(wanted, "doc_id")), "full")
 
     # Round 1: each document against one pivot, the smallest that is clearly near or else the nearest.
     pivots = shared.select("node", F.explode(F.array("least", "most")).alias("pivot")).where("node != pivot").distinct()
-    scored = pivots.join(signs, "node").join(signs.select(F.col("node").alias("pivot"), F.col("packed").alias("other")), "pivot")
+    pivots = scratch.write(pivots, "pivots")
+    asked = pivots.groupBy("pivot").agg(F.count("*").alias("n")).join(signs.select(F.col("node").alias("pivot"), F.col("packed").alias("other")), "pivot")
+    scored = join_hot(pivots.join(signs, "node"), asked, "pivot", "n", pivots.count())
     scored = scored.select("node", "pivot", estimated(F.col("packed"), F.col("other")).alias("est")).where(F.col("est") >= FLOOR)
     clear = F.col("est") >= CLEAR
     rank = F.struct((~clear).alias("far"), F.when(clear, F.lit(0.0)).otherwise(-F.col("est")).alias("by"), F.col("pivot").alias("pivot"))
@@ -279,7 +281,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scratch
         links = scratch.write(links.unionAll(confirm(new, full)), f"links{k}")
         labels = scratch.write(components(links, scratch, f"round{k}_"), f"labels{k}")
         tested = tested.unionAll(new)
-    scratch.drop("sets", "shared", "full", "tested1", "tested2", "tested3", "links1", "links2", "links3", "labels1", "labels2")
+    scratch.drop("sets", "shared", "pivots", "full", "tested1", "tested2", "tested3", "links1", "links2", "links3", "labels1", "labels2")
 
     classed = with_label(one.join(nodes, "set_id"), labels, "node", "component").select(F.col("doc_id").alias("id"), "component")
     out = signed.select("doc_id", "n_shingles").join(classed, signed["doc_id"] == classed["id"], "left")

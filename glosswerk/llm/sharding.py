@@ -57,8 +57,14 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int
         rolled = rolled.withColumn("prefix", F.expr(f"shiftrightunsigned(leaf, {depth} - depth)"))
         sums = rolled.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
         fits = sums.where((F.col("shard_bytes") <= limit) | (F.lit(depth == ADDRESS_BITS) & (F.col("depth") == depth)))
-        directory = rolled.join(fits, ["depth", "prefix"]).groupBy("leaf").agg(F.min_by(F.struct("depth", "prefix", "shard_docs", "shard_bytes"), "depth").alias("s"))
-        directory = scratch.write(directory.select("leaf", "s.*"), f"directory{round_}")
+        # A shard is a prefix that fits under one that does not; leaves look for theirs only
+        # at the depths that shards have, so that no shallow prefix gathers them all.
+        parents = fits.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+        found = fits.withColumn("parent", F.shiftright("prefix", 1)).join(parents, ["depth", "parent"], "left_anti").drop("parent")
+        found = scratch.write(found, f"shards{round_}")
+        low, high = found.agg(F.coalesce(F.min("depth"), F.lit(depth)), F.coalesce(F.max("depth"), F.lit(depth))).first()
+        near = rolled.where(F.col("depth").between(low, high)).select("leaf", "depth", "prefix")
+        directory = scratch.write(near.join(found, ["depth", "prefix"]), f"directory{round_}")
         parts.append(open_.withColumn("leaf", prefix).join(directory, "leaf"))
         if depth == ADDRESS_BITS or sum(1 for _ in leaves.join(directory, "leaf", "left_anti").take(1)) == 0:
             break
