@@ -33,6 +33,8 @@ def test_run_against_brute_force(spark):
         for x in {key(x) for x in t.split("\n") if len(key(x)) >= 20}:
             held.setdefault(x, set()).add(d)
     cut = [(d, "\n".join(x for x in t.split("\n") if len(held.get(key(x), ())) < 3 or d == max(held[key(x)])), s) for d, t, s in kept]
+    before = {d: t for d, t, _ in kept}
+    cut = [(d, t, s) for d, t, s in cut if t == before[d] or (len(t) >= P.REMNANT * len(before[d]) and t.strip(" \t\n\x0b\x0c\r"))]
     first = {d: c for d, _, c in brute_classes(cut)}
     want = {d: t for d, t, _ in cut if first[d] == d}
     got = P.run(spark, sf).collect()
