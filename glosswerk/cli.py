@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from glosswerk.functions import text as X
 from glosswerk.operators import bibliography, citations, claims, consistency, registry
+from glosswerk.plans.claim_queries import STALE_VALUES
 from glosswerk.sources import corpus
 
 _ICONS = {"warn": "⚠", "error": "✗", "info": "ℹ"}
@@ -127,7 +128,7 @@ def notebook_audit(spark, a) -> int:
         print(f"  {'✓' if n['has_block'] else '✗'} {n['file']}  ({detail})")
     _issues(issues)
     if a.cross_repo:
-        _issues(claims.stale(corpus.corpus(spark, a.cross_repo, "cross_repo").select("file", "content")))
+        _issues(claims.stale(corpus.corpus(spark, a.cross_repo, "cross_repo").select("file", "content"), STALE_VALUES))
     return _failed(issues)
 
 

@@ -12,12 +12,10 @@ from pyspark.sql import functions as F
 from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
 
-# Numbers known to be out of date, with what to say about them.
-STALE_VALUES = [
-    ("0.827", "Pre-fix M3 AUC (corrected to 0.792)", "0.792"),
-    ("0.821", "Pre-fix M4 AUC (corrected to 0.792)", "0.792"),
-    ("994", "Pre-fix evaluated-rejected N (corrected to 344)", "344"),
-]
+# The wording of the catalog document.
+CATALOG_NOTE = "> Auto-generated by `{}`. Do not edit manually."
+CATALOG_CONTRACT = "**Contract:** If prose cites a value that disagrees with a row below, the prose is wrong — not the notebook.\n"
+CATALOG_CONTENTS = "## Contents\n"
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -121,10 +119,10 @@ def markdown(found: DataFrame, title: str = "Notebook Key Claims", generator: st
     text = F.concat_ws(
         "\n",
         F.lit(f"# {title}\n"),
-        F.lit(f"> Auto-generated by `{generator}`. Do not edit manually."),
+        F.lit(CATALOG_NOTE.format(generator)),
         F.concat(F.lit("> "), "n", F.lit(" notebooks, "), "claims", F.lit(" claims.\n")),
-        F.lit("**Contract:** If prose cites a value that disagrees with a row below, the prose is wrong — not the notebook.\n"),
-        F.lit("## Contents\n"),
+        F.lit(CATALOG_CONTRACT),
+        F.lit(CATALOG_CONTENTS),
         F.transform("ps", lambda p: p["entry"]),
         F.lit(""),
         F.transform("ps", lambda p: p["section"]),
@@ -165,10 +163,11 @@ def stats(references: DataFrame, issues: DataFrame) -> DataFrame:
     return seen.join(counted, F.lit(True))
 
 
-def stale(files: DataFrame, values: list[tuple[str, str | None, str | None]] = STALE_VALUES) -> DataFrame:
+def stale(files: DataFrame, values: list[tuple[str, str | None, str | None]]) -> DataFrame:
     """Lines that contain a stale value anywhere, also inside a longer number.
 
-    The rules are a parameter list, so each line is tested in place: no join.
+    ``values``: (value, message or None, correction or None).  The rules are a
+    parameter list, so each line is tested in place: no join.
     """
     rules = F.array(*(F.struct(F.lit(v).alias("value"), F.lit(m or f'"{v}" may be stale (pre-fix)').alias("message"), F.lit(c).cast("string").alias("correction")) for v, m, c in values))
     hits = lines(files).select("file", "line", F.inline(F.filter(rules, lambda r: F.contains("text", r["value"]))))

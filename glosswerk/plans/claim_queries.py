@@ -7,6 +7,13 @@ from glosswerk.operators import claims
 from glosswerk.plans import sql as S
 from glosswerk.plans.synth import view, with_views
 
+# Numbers known to be out of date, with what to say about them.
+STALE_VALUES = [
+    ("0.827", "Pre-fix M3 AUC (corrected to 0.792)", "0.792"),
+    ("0.821", "Pre-fix M4 AUC (corrected to 0.792)", "0.792"),
+    ("994", "Pre-fix evaluated-rejected N (corrected to 344)", "344"),
+]
+
 
 def _prose(spark, sf_dir):
     return view(spark, sf_dir, "claim_prose")
@@ -84,7 +91,7 @@ def catalog_round_trip(spark, sf_dir):
 
 
 def stale_scan(spark, sf_dir):
-    return claims.stale(view(spark, sf_dir, "stale_prose"))
+    return claims.stale(view(spark, sf_dir, "stale_prose"), STALE_VALUES)
 
 
 def _refs(prose: str) -> str:
@@ -139,7 +146,7 @@ document AS (
     string_agg('- [' || label || ': `' || stem || '`](#' || {_ANCHOR} || ') (' || claim_count || ' claims)', chr(10) ORDER BY n, file), '',
     string_agg('## ' || label || ': `' || stem || '`' || chr(10) || chr(10) || block || chr(10), chr(10) ORDER BY n, file)) AS markdown
   FROM ordered)"""
-_STALE = ", ".join(f"('{v}', '{m}', '{c}')" for v, m, c in claims.STALE_VALUES)
+_STALE = ", ".join(f"('{v}', '{m}', '{c}')" for v, m, c in STALE_VALUES)
 
 _QUERIES = {
     claim_refs: with_views("claim_prose", _refs("claim_prose")),

@@ -10,6 +10,7 @@ from glosswerk import cli
 from glosswerk.functions import text as X
 from glosswerk.functions.bibtex import entries
 from glosswerk.operators import bibliography, citations, claims, registry
+from glosswerk.plans.claim_queries import STALE_VALUES
 from glosswerk.sources import corpus
 from glosswerk.streaming.watch import watch
 
@@ -110,7 +111,7 @@ def test_catalog_and_references(spark):
 
 def test_stale(spark):
     files = spark.createDataFrame([("f", "In 1994,\nAUC 0.827 and 994")], "file string, content string")
-    assert {(r.line, r.value) for r in claims.stale(files).collect()} == {(1, "994"), (2, "0.827"), (2, "994")}
+    assert {(r.line, r.value) for r in claims.stale(files, STALE_VALUES).collect()} == {(1, "994"), (2, "0.827"), (2, "994")}
 
 
 def test_reference_pages(spark):
@@ -181,6 +182,8 @@ def test_commands(spark, tree, capsys):
     assert cli.main(["aggregate", f"{tree}/nb", "-o", f"{tree}/catalog.md"], spark) == 0
     assert cli.main(["notebook-audit", str(tree), f"--aggregate={tree}/catalog.md", f"--notebooks={tree}/nb"], spark) == 1
     out = capsys.readouterr().out
+    (tree / "a/s.md").write_text("AUC 0.827")
+    assert cli.main(["notebook-audit", str(tree), f"--cross-repo={tree}"], spark) == 0 and "a/s.md:1" in capsys.readouterr().out
     assert "K7 not found in NB01" in out and "✓ 01_one.ipynb  (1 claims)" in out
     (tree / "a/n.md").write_text("Smith (2010) has gain 12 and gain 13. " + "x" * 400 + " then 99")
     assert cli.main(["claims", str(tree), "--uncited", "--exit-code"], spark) == 1 and "99" in capsys.readouterr().out
