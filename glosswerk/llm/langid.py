@@ -6,12 +6,13 @@ A text is lower-cased, everything but letters becomes a space and runs of spaces
 collapse; n-grams of 1 to 3 characters are hashed to ``DIMS`` features.  Document
 frequencies are counted over all training documents.  The weights are fitted on a
 bounded sample of labelled documents (``MAX_ROWS``, shared evenly by the
-languages, smallest hashes first), a fifth of which only sets the temperature.
+languages, smallest hashes first; rows equal in id, language and text once), a fifth of
+which only sets the temperature.
 
 Odd input: a text that is null or has no letter is ``und`` with score 0, as is
 every text where no labelled document is left to learn from; documents with null
 ``lang`` or null ``doc_id`` are predicted but teach nothing; rows that repeat a ``doc_id``
-each count.  An empty table gives an empty result.
+each count in document frequencies.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -147,9 +148,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Fit on the documents that are not held out and have a language.
 
     To the driver come at most 64 vectors of document frequencies and the features of
-    at most ``max_rows`` documents (``DIMS`` entries each at most).
+    at most ``max_rows`` documents (``DIMS`` entries each at most).  Each language
+    takes one of these at least, so of more than ``max_rows`` languages the most
+    frequent are learned.
     """
-    taught = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id) & F.col(lang).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    taught = docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id) & F.col(lang).isNotNull()).select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.col(text)).alias("digest"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIMS + 1, np.int64)
@@ -169,16 +172,18 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     vectors = taught.select("text").mapInArrow(frequencies, "v binary").repartition(64).mapInArrow(added, "v binary")
     df = sum((np.frombuffer(r.v, np.int64) for r in vectors.toLocalIterator()), start=np.zeros(DIMS + 1, np.int64))
-    sizes = {r.lang: r["count"] for r in taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()}
+    # Hashes are of ids, so a language's share of them depends on how many different ones it has.
+    counted = taught.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("id").alias("ids"))
+    sizes = {r.lang: max(1, r.ids) for r in counted.orderBy(F.desc("n"), "lang").limit(max_rows).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros(DIMS), np.zeros((DIMS, 0)), np.zeros(0))
     # Only hashes below a bound that about three times the quota reach are ranked at all.
     quota = max(1, max_rows // len(langs))
     bounds = docs.sparkSession.createDataFrame([(k, (min(1.0, (3 * quota + 30) / n) * 2 - 1) * 2.0**63) for k, n in sizes.items()], "lang string, bound double")
-    small = taught.select("id", "lang").join(F.broadcast(bounds), "lang").where(F.xxhash64("id") <= F.col("bound"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = small.withColumn("nth", nth).where(F.col("nth") <= quota).select("id").distinct()
+    small = taught.select("id", "lang", "digest").join(F.broadcast(bounds), "lang").where(F.xxhash64("id") <= F.col("bound")).select("id", "lang", "digest").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "digest"))
+    chosen = small.withColumn("nth", nth).where(F.col("nth") <= quota).select("id", "lang", "digest")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,16 +193,19 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                     index = None if found is None else np.flatnonzero(found)
                     packed[0].append(None if found is None else index.astype(np.uint32).tobytes())
                     packed[1].append(None if found is None else found[index].astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("lang"), *(pa.array(p, pa.binary()) for p in packed)], names=["id", "lang", "features", "found"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "lang", "digest")), *(pa.array(p, pa.binary()) for p in packed)], names=["id", "lang", "digest", "features", "found"])
 
-    sample = taught.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(featured, "id string, lang string, features binary, found binary").where("features IS NOT NULL").limit(max_rows)
+    sample = taught.join(F.broadcast(chosen), ["id", "lang", "digest"], "left_semi").mapInArrow(featured, "id string, lang string, digest long, features binary, found binary").where("features IS NOT NULL").dropDuplicates(["id", "lang", "digest"])
     model = Model(langs, np.log((1 + df[DIMS]) / (1 + df[:DIMS])) + 1, np.zeros((DIMS, len(langs))), np.zeros(len(langs)))
     rows = []
-    for r in sorted(sample.collect(), key=lambda r: (r.id, r.lang)):
+    for r in sorted(sample.collect(), key=lambda r: (r.id, r.lang, r.digest)):
         dense = np.zeros(DIMS, np.int64)
         dense[np.frombuffer(r.features, np.uint32)] = np.frombuffer(r.found, np.uint32)
         rows.append((*model.features(dense), langs.index(r.lang)))
-    model.weights, model.bias = ftrl([r for k, r in enumerate(rows) if k % 5], len(langs))
+    teaching = [r for k, r in enumerate(rows) if k % 5]
+    seen = {y for _, _, y in teaching}
+    teaching += [r for r in rows[::5] if r[2] not in seen]  # or their languages would not be learned
+    model.weights, model.bias = ftrl(teaching, len(langs))
     model.temperature = calibrate(model, rows[::5])
     return model
 

@@ -4,6 +4,7 @@ accuracy, recall and brute force."""
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -63,6 +64,16 @@ def test_language_of_held_out_documents(spark, docs, rows, empty):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
+def test_rows_that_repeat_a_doc_id_teach_once(spark):
+    """A language of one document repeated beyond the sample is learned, whatever the partitions."""
+    ids = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rows = [(ids[0], "aaa aab aba baa", "aa")] * 3000 + [(k, f"zzy zyz xxz {'y' * (k % 7)}", "zz") for k in ids[1:200]] + [(ids[3], "qqr qrq", "qq"), (ids[3], "qqq rrq", "qq")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (langid.train(docs.repartition(n), max_rows=60) for n in (1, 7))
+    assert one.langs == ["aa", "qq", "zz"] and (one.weights == two.weights).all() and one.temperature == two.temperature
+    assert [one.predict(t)[0] for t in ("aaa aab", "qqr qqq", "zzy xxz")] == one.langs
+
+
 def test_chunks_of_a_long_text_count_as_the_whole():
     text = "Ünïcode, and some words. " * 30_000
     whole = langid.counts(text)
