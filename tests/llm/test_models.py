@@ -69,7 +69,7 @@ def test_rows_that_repeat_a_doc_id_teach_once(spark):
     ids = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 3 != 1]
     rows = [(ids[0], "aaa aab aba baa", "aa")] * 3000 + [(k, f"zzy zyz xxz {'y' * (k % 7)}", "zz") for k in ids[1:200]] + [(ids[3], "qqr qrq", "qq"), (ids[3], "qqq rrq", "qq")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    one, two = (langid.train(docs.repartition(n), max_rows=60) for n in (1, 7))
+    one, two = (langid.train(docs.repartition(n), max_rows=18) for n in (1, 7))  # six rows a language at most
     assert one.langs == ["aa", "qq", "zz"] and (one.weights == two.weights).all() and one.temperature == two.temperature
     assert [one.predict(t)[0] for t in ("aaa aab", "qqr qqq", "zzy xxz")] == one.langs
 
