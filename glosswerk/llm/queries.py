@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswerk.llm import bpe, langid, lines, mixing, neardup, quality, sharding, substrings, suffixes, vectors, whitening, wordbpe
+from glosswerk.llm import bpe, langid, lexical, lines, mixing, neardup, quality, sharding, substrings, suffixes, vectors, whitening, wordbpe
 from glosswerk.llm.shared import read
 
 
@@ -58,8 +58,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digests(read(spark, sf_dir, "embeddings"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_minhash_near_dedup, op4_byte_bpe, op5_line_dedup, op6_language_id, op7_multi_index_hashing, op8_quality_rules, op9_mixing, op10_suffix_dedup, op11_word_bpe, op12_embedding_whitening)
+    f.__name__: f for f in (op1_substring_dedup, op2_sharding, op3_minhash_near_dedup, op4_byte_bpe, op5_line_dedup, op6_language_id, op7_multi_index_hashing, op8_quality_rules, op9_mixing, op10_suffix_dedup, op11_word_bpe, op12_embedding_whitening, op13_lexical_search)
 }
 
 ORACLES: dict[str, str] = {
@@ -69,4 +73,5 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": lines.ORACLE,
     "op8_quality_rules": quality.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
