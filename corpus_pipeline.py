@@ -14,7 +14,7 @@ Very long texts are read whole, one at a time.  Empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswerk.llm import bpe, langid, lines, mixing, neardup
@@ -23,8 +23,6 @@ from glosswerk.llm.shared import WS, Scratch, aside, limit_batches, read
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less certain than this are rejected, as is ``und``.
 MIN_SCORE = 0.5
-#: A document of which line dedup leaves less than this share goes.
-REMNANT = 0.1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,22 +40,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of ``text``; ``n_chars`` follows the new text.
 
-    A document that loses lines and keeps nothing but white space, or less than
-    ``REMNANT`` of its characters, was a copy: its lines stay in other documents, and its
-    rest would no longer be known as a copy by the next stage.  It goes whole.
+    A document that loses lines and keeps nothing but white space goes, as all it said
+    stays in other documents; any other keeps its row, however little is left of it.
     """
     docs, back = aside(docs, *OWN)
-    out = lines.dedup(docs.withColumn("__before", F.length("text"))).where(~_remnant()).drop("n_lines", "n_dropped", "__before")
+    blank = (F.col("n_dropped") > 0) & (F.btrim("text", F.lit(WS)) == "")
+    out = lines.dedup(docs).where(~F.coalesce(blank, F.lit(False))).drop("n_lines", "n_dropped")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns).withColumnsRenamed(back)
 
 
-def _remnant() -> Column:
-    left = (F.length("text") < REMNANT * F.col("__before")) | (F.btrim("text", F.lit(WS)) == "")
-    return F.coalesce((F.col("n_dropped") > 0) & left, F.lit(False))
-
-
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near-duplicates."""
     return neardup.keep_one(docs)
