@@ -34,7 +34,7 @@ def test_run_against_brute_force(spark):
             held.setdefault(x, set()).add(d)
     cut = [(d, "\n".join(x for x in t.split("\n") if len(held.get(key(x), ())) < 3 or d == max(held[key(x)])), s) for d, t, s in kept]
     before = {d: t for d, t, _ in kept}
-    cut = [(d, t, s) for d, t, s in cut if t == before[d] or (len(t) >= P.REMNANT * len(before[d]) and t.strip(" \t\n\x0b\x0c\r"))]
+    cut = [(d, t, s) for d, t, s in cut if t == before[d] or t.strip(" \t\n\x0b\x0c\r")]
     first = {d: c for d, _, c in brute_classes(cut)}
     want = {d: t for d, t, _ in cut if first[d] == d}
     got = P.run(spark, sf).collect()
@@ -44,6 +44,15 @@ def test_run_against_brute_force(spark):
     assert [(r.slot, r.place, r.doc_id) for r in got] == sorted((*turns[d], d) for d in want)
 
 
+def test_line_dedup_loses_no_line(spark):
+    """Three documents share sixty lines and have one line of their own each."""
+    shared = "\n".join(f"This is shared line number {k} of many documents." for k in range(60))
+    docs = spark.createDataFrame([(k, f"{shared}\nOnly document {k} says this, in one line that stands nowhere else.", "en", "src0", 0) for k in (1, 2, 3)] + [(0, shared, "en", "src0", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in P.dedup_lines(spark, docs, "").collect()}
+    assert set(got) == {1, 2, 3} and all(f"Only document {k} says" in got[k] for k in got)
+    assert set(shared.split("\n")) <= set(got[3].split("\n"))
+
+
 def brute_turns(rows):
     """(slot, place) of each doc_id: earliest deadline first over blocks, slot by slot."""
     names = list(mixing.SHARES)
