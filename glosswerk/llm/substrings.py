@@ -16,9 +16,10 @@ first occurrence holds its units, so no text loses its first occurrence by eithe
 
 Odd input: null or empty texts have no units; units and lines without a word have no
 digest and never repeat; a null ``doc_id`` takes no part; rows that repeat a ``doc_id``
-are documents of their own, ranked by a digest of their texts, and rows equal in both
-are one document, handled alike.  Very long texts are hashed whole, one at a time.  An
-empty table gives an empty result.
+are documents of their own, ranked by a digest of their texts.  Of rows equal in doc_id and
+text one is the first, whichever Spark numbers first, and all of every other one
+repeats it.  Very long texts are hashed whole, one at a time.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +62,11 @@ def lines(text: bytes, min_chars: int) -> Iterator[tuple[bytes, int, int]]:
         at += len(line)
 
 
+def _all_places(text: bytes, min_words: int | None, min_chars: int | None) -> list[int]:
+    found = [n for n, u in enumerate(units(text)) if u[0]] if min_words is not None else []
+    return found + ([LINE + n for n, x in enumerate(lines(text, min_chars)) if x[0]] if min_chars is not None else [])
+
+
 def _entries(docs: DataFrame, min_words: int | None, min_chars: int | None) -> DataFrame:
     """key, doc_id, digest, place of the units and lines of (doc_id, digest, text)."""
 
@@ -81,6 +87,29 @@ def _entries(docs: DataFrame, min_words: int | None, min_chars: int | None) -> D
     return docs.mapInArrow(run, "key binary, doc_id long, digest long, place int")
 
 
+def text_digest(text: str) -> Column:
+    """60 bits of a text's MD5, which SQL can compute as well."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def _later_copies(docs: DataFrame, doc_id: str, text: str, scratch: Scratch) -> DataFrame:
+    """``docs`` with ``__copy``: is the row equal to an earlier one in doc_id and text?
+
+    Rows that have an equal are few as a rule; they are written with a number, so that
+    it stays what it is, and the least number of each group is kept.
+    """
+    keyed = docs.withColumns({"__d": docs[doc_id].cast("long"), "__t": text_digest(text)})
+    many = scratch.write(keyed.where("__d IS NOT NULL AND __t IS NOT NULL").groupBy("__d", "__t").count().where("count > 1").select("__d", "__t"), "equal")
+    if not many.take(1):
+        return docs.withColumn("__copy", F.lit(False))
+    same = ["__d", "__t"]
+    numbered = scratch.write(keyed.join(many, same, "left_semi").withColumn("__row", F.monotonically_increasing_id()), "copies")
+    first = numbered.groupBy(same).agg(F.min("__row").alias("__first"))
+    copies = numbered.join(first, same).withColumn("__copy", F.col("__row") != F.col("__first"))
+    single = keyed.join(many, same, "left_anti").withColumn("__copy", F.lit(False))
+    return single.unionByName(copies.select(single.columns)).drop(*same)
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int | None = MIN_WORDS, min_chars: int | None = MIN_CHARS, scratch: Scratch | None = None) -> DataFrame:
     """``docs`` with repeated lines and stretches taken out of ``text``.
 
@@ -90,17 +119,19 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
     """
     docs, back = aside(docs.drop("n_units", "n_removed", "n_lines_removed", "spans"), doc_id, text)
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
-    digest = F.xxhash64(text).alias("digest")
+    docs = _later_copies(docs, doc_id, text, scratch)
+    digest = text_digest(text).alias("digest")
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), digest, F.col(text).alias("text"))
     entries = scratch.write(_entries(source, min_words, min_chars), "entries")
     order = F.struct("doc_id", "digest", "place")
     first = entries.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     repeats = join_hot(entries, scratch.write(first, "first"), "key", "n", entries.count()).where(order != F.col("first"))
     places = repeats.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_set("place").alias("__places"))
-    mine = (docs[doc_id].cast("long") == places["__id"]) & (F.xxhash64(docs[text]) == places["__digest"])
+    mine = (docs[doc_id].cast("long") == places["__id"]) & (text_digest(text) == places["__digest"])
     joined = docs.join(places, mine, "left").select(*docs.columns, "__places")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     counts = ("n_units", "n_removed", "n_lines_removed")
+    docs = docs.drop("__copy")
     schema = T.StructType([*docs.schema, *(T.StructField(c, T.LongType()) for c in counts), T.StructField("spans", span)])
     names, out_names = docs.columns, schema.names
     at = names.index(text)
@@ -109,7 +140,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words
         for whole in arrow:
             for part in slices(whole, text):
                 texts, numbers, spans = [], [], []
-                for raw, places in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column("__places").to_pylist(), strict=True):
+                for raw, places, copy in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column("__places").to_pylist(), part.column("__copy").to_pylist(), strict=True):
+                    if copy and raw:
+                        places = _all_places(raw, min_words, min_chars)
                     if places:
                         raw, *found, cuts = cut(raw, set(places), min_words, min_chars)
                     else:
@@ -161,41 +194,42 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def _units_sql(name: str, pattern: str, key: str) -> str:
-    """SQL of ``name``: doc_id, u, place, key, pos (code points before) and nth of each unit."""
+    """SQL of ``name``: row, doc_id, u, place, key, pos (code points before) and nth of each unit."""
     return f"""
-{name}_split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS us FROM documents),
-{name}_raw AS (SELECT doc_id, unnest(us) AS u, unnest(range(len(us))) AS place FROM {name}_split),
+{name}_split AS (SELECT r, doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') AS us FROM numbered),
+{name}_raw AS (SELECT r, doc_id, unnest(us) AS u, unnest(range(len(us))) AS place FROM {name}_split),
 {name}_norm AS (
   SELECT *, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS key FROM {name}_raw),
 {name} AS (
-  SELECT *, coalesce(sum(length(u)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
-         CASE WHEN {key} THEN row_number() OVER (PARTITION BY key ORDER BY doc_id, place) ELSE 1 END AS nth
+  SELECT *, coalesce(sum(length(u)) OVER (PARTITION BY r ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos,
+         CASE WHEN doc_id IS NOT NULL AND {key} THEN row_number() OVER (PARTITION BY key ORDER BY r, place) ELSE 1 END AS nth
   FROM {name}_norm)"""
 
 
 ORACLE = f"""
-WITH {_units_sql("units", "[^.!?\\n]+[.!?\\n]*|[.!?\\n]+", "key <> ''")},
+WITH numbered AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(text)[:15]) AS r, doc_id, text FROM documents),
+{_units_sql("units", "[^.!?\\n]+[.!?\\n]*|[.!?\\n]+", "key <> ''")},
 {_units_sql("lines", "[^\\n]*\\n|[^\\n]+", f"key <> '' AND length(key) >= {MIN_CHARS}")},
 islands AS (
   SELECT *, CASE WHEN key = '' THEN 0 ELSE len(string_split(key, ' ')) END AS words,
-         sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS island FROM units),
+         sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY place) AS island FROM units),
 stretches AS (
-  SELECT doc_id, min(pos) AS a, max(pos + length(u)) AS b, count(*) AS n
-  FROM islands WHERE nth > 1 GROUP BY doc_id, island HAVING sum(words) >= {MIN_WORDS}),
-doomed AS (SELECT doc_id, pos AS a, pos + length(u) AS b FROM lines WHERE nth > 1),
-parts AS (SELECT doc_id, a, b FROM stretches UNION ALL SELECT doc_id, a, b FROM doomed),
-reach AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM parts),
-spread AS (SELECT *, sum(CASE WHEN a <= far THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS span FROM reach),
-gone AS (SELECT doc_id, min(a)::BIGINT AS a, max(b)::BIGINT AS b FROM spread GROUP BY doc_id, span),
-pieces AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM gone),
+  SELECT r, min(pos) AS a, max(pos + length(u)) AS b, count(*) AS n
+  FROM islands WHERE nth > 1 GROUP BY r, island HAVING sum(words) >= {MIN_WORDS}),
+doomed AS (SELECT r, pos AS a, pos + length(u) AS b FROM lines WHERE nth > 1),
+parts AS (SELECT r, a, b FROM stretches UNION ALL SELECT r, a, b FROM doomed),
+reach AS (SELECT *, max(b) OVER (PARTITION BY r ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM parts),
+spread AS (SELECT *, sum(CASE WHEN a <= far THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS span FROM reach),
+gone AS (SELECT r, min(a)::BIGINT AS a, max(b)::BIGINT AS b FROM spread GROUP BY r, span),
+pieces AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM gone),
 cuts AS (
-  SELECT p.doc_id, count(*) AS n_spans, string_agg(a || '-' || b, ',' ORDER BY a) AS spans,
+  SELECT p.r, count(*) AS n_spans, string_agg(a || '-' || b, ',' ORDER BY a) AS spans,
          string_agg(substr(text, since + 1, a - since), '' ORDER BY a) || substr(any_value(text), max(b) + 1) AS kept
-  FROM pieces p JOIN documents d USING (doc_id) GROUP BY p.doc_id),
-many AS (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id),
-stretched AS (SELECT doc_id, sum(n) AS n FROM stretches GROUP BY doc_id),
-lined AS (SELECT doc_id, count(*) AS n FROM doomed GROUP BY doc_id)
+  FROM pieces p JOIN numbered d USING (r) GROUP BY p.r),
+many AS (SELECT r, count(*) AS n FROM units GROUP BY r),
+stretched AS (SELECT r, sum(n) AS n FROM stretches GROUP BY r),
+lined AS (SELECT r, count(*) AS n FROM doomed GROUP BY r)
 SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_units, coalesce(s.n, 0)::BIGINT AS n_removed, coalesce(l.n, 0)::BIGINT AS n_lines_removed,
        coalesce(c.n_spans, 0)::BIGINT AS n_spans, coalesce(c.spans, '') AS spans, sha256(coalesce(c.kept, d.text, '')) AS kept_sha256
-FROM documents d LEFT JOIN many m USING (doc_id) LEFT JOIN stretched s USING (doc_id) LEFT JOIN lined l USING (doc_id) LEFT JOIN cuts c USING (doc_id)
+FROM numbered d LEFT JOIN many m USING (r) LEFT JOIN stretched s USING (r) LEFT JOIN lined l USING (r) LEFT JOIN cuts c USING (r)
 """

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
 from glosswerk.llm import lines, neardup, substrings, suffixes
@@ -76,10 +77,12 @@ def brute_substrings(rows, min_words=20, min_chars=20):
         for kind, found in ((0, unit(text)), (1, line(text))):
             for n, (x, _, _) in enumerate(found):
                 first.setdefault((kind, key(x)), (doc_id, text, n))
-    out = []
+    out, seen = [], set()
     for r in rows:
         doc_id, text, gone = r[0], r[1] or "", set()
-        again = lambda kind, n, x: bool(key(x)) and doc_id is not None and first[kind, key(x)] != (doc_id, text, n)  # noqa: E731, B023
+        copy = (doc_id, text) in seen
+        seen.add((doc_id, text))
+        again = lambda kind, n, x: bool(key(x)) and doc_id is not None and (copy or first[kind, key(x)] != (doc_id, text, n))  # noqa: E731, B023
         n_removed, n_lines, held = 0, 0, []
         for n, u in [*enumerate(unit(text)), (-1, None)]:
             if u and again(0, n, u[0]):
@@ -102,7 +105,7 @@ DIGESTS: dict[str, int] = {}
 
 def digest_texts(spark, rows):
     texts = sorted({r[1] for r in rows if r[1]})
-    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.xxhash64("text")).collect()
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", substrings.text_digest("text")).collect()
     DIGESTS.update(map(tuple, found))
 
 
@@ -129,6 +132,21 @@ def test_rows_that_repeat_a_doc_id_lose_only_what_stays_elsewhere(spark):
     assert out == sorted((w[0], w[1]) for w in brute_substrings(rows)) == sorted([(2, a), (2, b), (3, ""), (2, ""), (2, ""), (1, f"{c}\nshort"), (9, "")])
 
 
+def test_one_of_several_equal_rows_stays(spark, rows):
+    """In the operator and in the SQL alike."""
+    a = " ".join(f"a{k}" for k in range(30))
+    three = [(1, f"{a}\n{a}. end\nx"), (1, f"{a}\n{a}. end\nx"), (2, f"{a}\n{a}. end\nx"), (1, f"{a}\n{a}. end\nx")]
+    out = sorted((r.doc_id, r.text) for r in substrings.dedup(spark.createDataFrame(three, "doc_id long, text string").repartition(4)).collect())
+    assert out == [(1, ""), (1, ""), (1, three[0][1]), (2, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    both = [*three, *((r[0], r[1]) for r in rows), (None, "twice\n" * 40)]
+    con.executemany("INSERT INTO documents VALUES (?, ?)", both)
+    want = con.sql(substrings.ORACLE)
+    got = substrings.digests(spark.createDataFrame(both, "doc_id long, text string")).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_repeated_lines_go_however_short(spark):
     line, other = "Nine words that many of the texts do share.", "Ünïcode line número one"
     texts = [f"alpha one\n{line}\nbeta two", f"gamma three\n  {line.upper()}\t\n... delta\n{line}", line, other, f"{other}\nthe.\nepsilon four", f"the.\n{other}\n{other}"]
