@@ -6,7 +6,6 @@ per-paper budgets are ``row_number() <= k``, which Spark limits before its shuff
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
 from glosswerk.operators.settle import settled
+from glosswerk.operators.titles import TitleIndex
 
 DOI_BUDGET = 15
 TITLE_BUDGET = 5
@@ -22,9 +22,6 @@ MISMATCH_BELOW = 0.5
 NOT_FOUND_BELOW = 0.3
 LEAST_SCORE = 50
 HITS = 3
-#: Similarities from which hits are looked for, one after the other, by pairs of rare
-#: words; multiples of 1/16, so that their products with set sizes are exact.
-PASSES = (0.6875, 0.5)
 
 
 def papers(feeds: DataFrame) -> DataFrame:
@@ -164,75 +161,21 @@ def verify(dois: DataFrame, works: DataFrame, *fallbacks: DataFrame) -> DataFram
     return joined.select("doi", source.isNotNull().alias("verified"), source.alias("snapshot"), record["title"].alias("title"), record["authors"].alias("authors"), record["journal"].alias("journal"), record["year"].alias("year"), F.when(source.isNull(), "not in the snapshot").alias("error"))
 
 
-def matches(queries: DataFrame, works: DataFrame, hits: int = HITS, threshold: float = 0.0) -> DataFrame:
+def matches(queries: DataFrame, works: DataFrame, hits: int = HITS, floor: float = 0.0) -> DataFrame:
     """The ``hits`` works most similar to each query title among those that share a word
-    with it and reach ``threshold``: query, rank, doi, title, similarity.
-
-    Works of great similarity are looked for first (``PASSES``), as they must share rare
-    words; a query that has all its hits is done, and only the others go on to the
-    next pass.  The last one, below all passes, meets every work that shares any word.
-    """
-    ask = queries.select(F.col("title").alias("query")).where("query IS NOT NULL").distinct().withColumn("ws", X.words(F.col("query")))
-    have = works.select("doi", "title").withColumn("ws", X.words(F.coalesce("title", F.lit(""))))
-    common = settled(_frequencies(have))
-    ask, have = settled(_by_rarity(ask, common)), settled(_by_rarity(have, common))
-    levels = [t for t in PASSES if t > threshold] + [threshold]
-    found = []
-    for level in levels[:-1]:
-        best = settled(_best(ask, have, level, hits))
-        full = best.where(F.col("rank") == hits).select("query")
-        found.append(best.join(full, "query", "left_semi"))
-        ask = settled(ask.join(full, "query", "left_anti"))
-    return reduce(DataFrame.unionByName, [*found, _best(ask, have, levels[-1], hits)])
-
-
-def _by_rarity(sets: DataFrame, common: DataFrame) -> DataFrame:
-    """``ws`` in order of rarity among the works; words of no work come first."""
-    others = [c for c in sets.columns if c != "ws"]
-    spread = sets.select(*others, F.explode("ws").alias("w")).join(common, "w", "left")
-    pairs = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")))
-    return spread.groupBy(*others).agg(F.transform(pairs, lambda p: p["w"]).alias("ws"))
-
-
-def _keys(ws, level: float):
-    """Keys of which two word sets of similarity ``level`` or more share one.
-
-    A set of n words shares at least o = ceil(level n) of them, so both hold two common
-    ones among their n - o + 2 rarest: the pairs of these are keys.  Where o may be 1 (a
-    set, or the smaller of two, of 1 / level words at most) single words are keys too.
-    """
-    n = F.size(ws)
-    o = F.ceil(n * F.lit(level)).cast("int")
-    rare = F.slice(ws, F.lit(1), n - o + 2)
-    pairs = F.flatten(F.transform(rare, lambda a, i: F.transform(F.slice(rare, i + 2, F.size(rare)), lambda b: F.concat_ws(" ", a, b))))
-    pairs = F.when(o >= 2, pairs).otherwise(F.array().cast("array<string>"))
-    small = math.floor(math.floor(1 / level) / level) if level else None
-    singles = F.slice(ws, F.lit(1), F.greatest(n - o + 1, F.lit(0)))
-    return singles if small is None else F.concat(pairs, F.when(n <= small, singles).otherwise(F.array().cast("array<string>")))
-
-
-def _best(asked: DataFrame, have: DataFrame, level: float, hits: int) -> DataFrame:
-    """The ``hits`` best of similarity ``level`` or more; sets travel with their keys, so
-    a candidate is judged where it is met and only true matches go further."""
-    left = asked.select("query", F.col("ws").alias("mine"), F.explode(_keys(F.col("ws"), level)).alias("key"))
-    right = have.select("doi", "title", F.col("ws").alias("other"), F.explode(_keys(F.col("ws"), level)).alias("key"))
-    scored = left.join(right, "key").withColumn("similarity", X.word_similarity(F.col("mine"), F.col("other")))
-    scored = scored.where((F.col("similarity") >= level) & (F.col("similarity") > 0)).groupBy("query", "doi").agg(F.first("title").alias("title"), F.first("similarity").alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "doi"))
-    ranked = scored.withColumn("rank", rank).where(F.col("rank") <= hits)
-    return ranked.select("query", F.col("rank").cast("int").alias("rank"), "doi", "title", "similarity")
+    with it and reach ``floor``: query, rank, doi, title, similarity."""
+    return TitleIndex.build(works).search(queries, hits, floor)
 
 
 def search(queries: DataFrame, works: DataFrame, hits: int = HITS) -> DataFrame:
-    """``matches`` without a threshold, with authors, journal and year of the work and
+    """``matches`` without a floor, with authors, journal and year of the work and
     score (0 to 100): how much of the query the work holds, by rarity.  Words weigh ln(1 + works / works with the word); those of the
     query that no work has weigh nothing.  Unlike the similarity it does not fall
     with what else the titles say, so a high score and a low similarity can meet.
     """
-    found = settled(matches(queries, works, hits))
-    words = works.select("doi", X.words(F.coalesce("title", F.lit(""))).alias("ws"))
-    weight = F.log1p(F.col("total") / F.col("df")).alias("weight")
-    weights = _frequencies(words).join(F.broadcast(words.agg(F.count("*").alias("total"))), F.lit(True)).select("w", weight)
+    index = TitleIndex.build(works)
+    found = settled(index.search(queries, hits))
+    weights = index.frequencies.select("w", F.log1p(F.lit(float(works.count())) / F.col("df")).alias("weight"))
     asked = found.select("query").distinct().select("query", F.explode(X.words(F.col("query"))).alias("w"))
     known = asked.join(weights, "w").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("w", "weight"))).alias("known"))
     total = lambda ks: F.aggregate(ks, F.lit(0.0), lambda s, k: s + k["weight"])
@@ -242,10 +185,6 @@ def search(queries: DataFrame, works: DataFrame, hits: int = HITS) -> DataFrame:
     return scored.join(about, "doi").select("query", "rank", "doi", "title", "about.authors", "about.journal", "about.year", "score", "similarity")
 
 
-def _frequencies(sets: DataFrame) -> DataFrame:
-    return sets.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-
-
 # Where a registry's answer keeps what is needed of a work.
 _WORK = "struct<DOI:string,score:double,author:array<struct<family:string,given:string>>,title:array<string>,`container-title`:array<string>,published:struct<`date-parts`:array<array<int>>>>"
 

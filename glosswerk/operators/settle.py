@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder, which all executors
-    share, so that neither its lineage nor its plan is repeated.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share; only a ``local``
+    master without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="glosswerk-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """Path of a new folder below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    The folder is that of the session; only a ``local`` master without one gets its own.
-    """
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder, so that neither its
+    lineage nor its plan is repeated."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glosswerk-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -79,12 +79,21 @@ def verify_dois(spark, sf_dir):
     return found.withColumn("authors", F.array_join("authors", "|"))
 
 
-def title_search_top3(spark, sf_dir):
-    """Hits of similarity 0.5 or more, as the query's SQL has them; ``R.search`` has no floor."""
-    found = R.matches(view(spark, sf_dir, "works2"), view(spark, sf_dir, "works"), threshold=0.5)
+def _title_hits(spark, sf_dir, floor):
+    found = R.matches(view(spark, sf_dir, "works2"), view(spark, sf_dir, "works"), floor=floor)
     return found.select("query", "rank", "doi", "title", F.round(F.col("similarity") * 100, 6).alias("score"))
 
 
+def title_search_top3(spark, sf_dir):
+    """The three most similar works, however far they are."""
+    return _title_hits(spark, sf_dir, 0.0)
+
+
+def title_search_close(spark, sf_dir):
+    """Of the three most similar works those of similarity 0.5 or more."""
+    return _title_hits(spark, sf_dir, 0.5)
+
+
 def registry_search(spark, sf_dir):
     """Hits without a floor, scored by rarity, with what is known of each work."""
     found = R.search(view(spark, sf_dir, "asked_titles"), view(spark, sf_dir, "works"))
@@ -154,6 +163,14 @@ paper_stats AS (
 _WORK_SQL = """CASE WHEN error IS NULL THEN coalesce(json_extract_string(work, '$.title[0]'), '') END AS title,
         CASE WHEN error IS NULL THEN array_to_string(list_transform(json_extract(work, '$.author[*]'), lambda a: coalesce(json_extract_string(a, '$.family'), 'undefined') || ', ' || coalesce(json_extract_string(a, '$.given'), 'undefined')), '; ') END AS authors,
         CASE WHEN error IS NULL THEN nullif(json_extract(work, '$.published."date-parts"[0][0]')::INT, 0) END AS year"""
+
+
+def _hits(least: str) -> str:
+    return f"""WITH ask AS (SELECT DISTINCT title AS query, {S.words("title")} AS x FROM works2), have AS (SELECT doi, title, {S.words("title")} AS y FROM works),
+        scored AS (SELECT query, doi, title, {S.similarity("x", "y")} AS s FROM ask, have), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doi)::INT AS rank FROM scored WHERE {least})
+        SELECT query, rank, doi, title, round(s * 100, 6) AS score FROM ranked WHERE rank <= {R.HITS}"""
+
+
 _ALL = "paper_html works search_hits feed_xml"
 
 _QUERIES = {
@@ -174,9 +191,8 @@ _QUERIES = {
         CASE WHEN a.doi IS NOT NULL THEN a.title ELSE b.title END AS title, array_to_string(CASE WHEN a.doi IS NOT NULL THEN a.authors ELSE b.authors END, '|') AS authors,
         CASE WHEN a.doi IS NOT NULL THEN a.journal ELSE b.journal END AS journal, CASE WHEN a.doi IS NOT NULL THEN a.year ELSE b.year END AS year, CASE WHEN coalesce(a.doi, b.doi) IS NULL THEN 'not in the snapshot' END AS error
         FROM (SELECT DISTINCT doi FROM refs WHERE doi IS NOT NULL) d LEFT JOIN works a ON a.doi = d.doi LEFT JOIN works2 b ON b.doi = d.doi"""),
-    title_search_top3: with_views("works works2", f"""WITH ask AS (SELECT DISTINCT title AS query, {S.words("title")} AS x FROM works2), have AS (SELECT doi, title, {S.words("title")} AS y FROM works),
-        scored AS (SELECT query, doi, title, {S.similarity("x", "y")} AS s FROM ask, have), ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doi)::INT AS rank FROM scored WHERE s >= 0.5)
-        SELECT query, rank, doi, title, round(s * 100, 6) AS score FROM ranked WHERE rank <= {R.HITS}"""),
+    title_search_top3: with_views("works works2", _hits("s > 0")),
+    title_search_close: with_views("works works2", _hits("s >= 0.5")),
     registry_search: with_views("asked_titles works", f"""WITH ask AS (SELECT DISTINCT title AS query, {S.words("title")} AS x FROM asked_titles), have AS (SELECT *, {S.words("title")} AS y FROM works),
         df AS (SELECT w, ln(1 + (SELECT count(*) FROM works) / count(*)) AS weight FROM (SELECT unnest(y) AS w FROM have) u GROUP BY w),
         scored AS (SELECT query, x, doi, title, authors, journal, year, y, {S.similarity("x", "y")} AS s FROM ask, have WHERE len(list_intersect(x, y)) > 0),
