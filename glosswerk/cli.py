@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from glosswerk.functions import text as X
 from glosswerk.operators import bibliography, citations, claims, consistency, registry
+from glosswerk.operators.settle import new_folder
 from glosswerk.plans.claim_queries import STALE_VALUES
-from glosswerk.sources import corpus
+from glosswerk.sources import corpus, web
 
 _ICONS = {"warn": "⚠", "error": "✗", "info": "ℹ"}
 
@@ -148,14 +149,29 @@ def aggregate(spark, a) -> int:
     return 0
 
 
+def _answers(spark, a, redirects: int = 0) -> web.Answers:
+    return web.Answers(spark, a.cache or new_folder(spark, "answers"), web.Limits(redirects=redirects))
+
+
 def arxiv(spark, a) -> int:
     """The newest papers of a category and what their references come to."""
-    feeds, pages, works = (spark.read.parquet(f"{a.snapshot}/{t}") for t in ("feeds", "pages", "works"))
-    listed = registry.newest(registry.papers(feeds), a.count, a.cat).cache()
-    pages = pages.join(listed.select(F.col("id").alias("paper")), "paper", "left_semi")
+    if a.snapshot:
+        feeds, pages, works = (spark.read.parquet(f"{a.snapshot}/{t}") for t in ("feeds", "pages", "works"))
+        listed = registry.newest(registry.papers(feeds), a.count, a.cat).cache()
+        pages = pages.join(listed.select(F.col("id").alias("paper")), "paper", "left_semi")
+    else:
+        follow = _answers(spark, a, redirects=5)
+        listed = registry.papers(web.listing(follow, a.count, a.cat or "cs.AI", a.preprints or web.LISTING)).cache()
+        pages = web.pages(follow, listed, a.preprints or web.PREPRINTS)
     items, refs = registry.items(pages).cache(), registry.references(pages)
-    works = works.dropDuplicates(["doi"])
-    hits = registry.search(registry.titles_in_budget(items).select("title"), works)
+    titles = registry.titles_in_budget(items).select("title")
+    if a.snapshot:
+        works = works.dropDuplicates(["doi"])
+        hits = registry.search(titles, works)
+    else:
+        answers = _answers(spark, a)
+        works = registry.records(web.lookups(answers, registry.dois_in_budget(items).select("doi"), a.registry)).where("verified").cache()
+        hits = registry.hit_records(web.searches(answers, titles, a.registry)).cache()
     issues = registry.issues(registry.check_dois(items, works), registry.check_titles(items, hits)).cache()
     per = registry.paper_stats(listed, refs, issues).cache()
     stats, ordered = _one(registry.stats(per)), issues.orderBy("paper")
@@ -173,7 +189,8 @@ def arxiv(spark, a) -> int:
 
 
 def verify(spark, a) -> int:
-    found = _one(registry.verify(spark.createDataFrame([(a.doi,)], "doi string"), spark.read.parquet(f"{a.snapshot}/works")))
+    dois = spark.createDataFrame([(a.doi,)], "doi string")
+    found = _one(registry.verify(dois, spark.read.parquet(f"{a.snapshot}/works")) if a.snapshot else registry.records(web.lookups(_answers(spark, a), dois, a.registry)))
     if a.json:
         print(_dump(found))
         return 0
@@ -187,7 +204,8 @@ def verify(spark, a) -> int:
 
 
 def search(spark, a) -> int:
-    found = registry.search(spark.createDataFrame([(a.title,)], "title string"), spark.read.parquet(f"{a.snapshot}/works")).orderBy("rank")
+    titles = spark.createDataFrame([(a.title,)], "title string")
+    found = (registry.search(titles, spark.read.parquet(f"{a.snapshot}/works")) if a.snapshot else registry.hit_records(web.searches(_answers(spark, a), titles, a.registry))).orderBy("rank")
     if a.json:
         print(_dump(list(_rows(found))))
         return 0
@@ -200,15 +218,19 @@ def search(spark, a) -> int:
     return 0
 
 
+#: A snapshot, or the address of a live registry and of a preprint server, with the folder where answers are kept.
+_WHERE = ("--snapshot", "--registry", "--preprints", "--cache")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     top = argparse.ArgumentParser(prog="glosswerk")
     sub = top.add_subparsers(dest="command", required=True)
     for name, run, positional, options in (
         ("audit", audit, "dir", ("--bibtex",)),
         ("claims", claims_, "dir", ("--verified",)),
-        ("arxiv", arxiv, None, ("--snapshot", "--cat")),
-        ("verify", verify, "doi", ("--snapshot",)),
-        ("search", search, "title", ("--snapshot",)),
+        ("arxiv", arxiv, None, (*_WHERE, "--cat")),
+        ("verify", verify, "doi", _WHERE),
+        ("search", search, "title", _WHERE),
         ("aggregate", aggregate, "dir", ()),
         ("notebook-audit", notebook_audit, "dir", ("--aggregate", "--notebooks", "--cross-repo")),
     ):
@@ -217,7 +239,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if positional:
             p.add_argument(positional)
         for o in options:
-            p.add_argument(o, required=o in ("--bibtex", "--snapshot"))
+            p.add_argument(o, required=o == "--bibtex")
         if name == "arxiv":
             p.add_argument("count", nargs="?", type=int, default=10)
         if name == "claims":
@@ -230,6 +252,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "audit" and not os.path.exists(a.bibtex):
         print(f"no such bibliography: {a.bibtex}", file=sys.stderr)
         return 1
+    if hasattr(a, "snapshot") and not (a.snapshot or a.registry):
+        print("give --snapshot=FOLDER, or --registry=ADDRESS for live answers", file=sys.stderr)
+        return 1
     return a.run(spark or SparkSession.builder.appName("glosswerk").getOrCreate(), a)
 
 

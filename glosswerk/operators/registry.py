@@ -201,9 +201,11 @@ def _projected(work):
 
 def records(answers: DataFrame) -> DataFrame:
     """doi, verified, title, authors, journal, year, error of a registry's raw answers
-    (doi, status, body); a ``works`` snapshot is the verified ones of them."""
+    (doi, status, body, and error where no answer came); a ``works`` snapshot is the
+    verified ones of them."""
     body = F.from_json("body", f"struct<message:{_WORK}>")["message"]
     error = F.when(F.coalesce(F.col("status") != 200, F.lit(True)), F.concat(F.lit("HTTP "), F.coalesce(F.col("status").cast("string"), F.lit("none")))).when(body.isNull(), "parse error")
+    error = F.coalesce("error", error) if "error" in answers.columns else error
     found = answers.select("doi", error.alias("error"), body.alias("work"))
     kept = {n: F.when(F.col("error").isNull(), c) for n, c in _projected(F.col("work")).items()}
     return found.select("doi", F.col("error").isNull().alias("verified"), *(c.alias(n) for n, c in kept.items()), "error")
