@@ -71,7 +71,9 @@ def _failed(issues: DataFrame) -> int:
 
 def audit(spark, a) -> int:
     bib = bibliography.last_wins(bibliography.normalise(corpus.bibtex(spark, a.bibtex)))
-    found = citations.audit(corpus.corpus(spark, a.dir).select("file", "content"), bib).cache()
+    files = corpus.corpus(spark, a.dir).select("file", "content")
+    found = citations.audit(files, bib)
+    found = (citations.match_titles(found, files, bib) if a.titles else found).cache()
     stats, issues = _one(citations.stats(found)), citations.issues(found).orderBy("file", "citation")
     if a.json:
         _json(stats=stats, issues=issues, citations=found.orderBy("file", "pos"))
@@ -242,6 +244,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.add_argument(o, required=o == "--bibtex")
         if name == "arxiv":
             p.add_argument("count", nargs="?", type=int, default=10)
+        if name == "audit":
+            p.add_argument("--titles", action="store_true")
         if name == "claims":
             for flag in ("--unverified", "--inconsistent", "--uncited", "--exit-code"):
                 p.add_argument(flag, action="store_true")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
+from glosswerk.operators import fuzzy
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -55,6 +56,22 @@ def audit(files: DataFrame, bib: DataFrame) -> DataFrame:
     )
 
 
+def match_titles(audited: DataFrame, files: DataFrame, bib: DataFrame, letters: int = fuzzy.LETTERS) -> DataFrame:
+    """``audited`` with title_match filled where the file gives a full reference of the
+    citation's surname and year: the id of the entry whose title is nearest to the
+    reference's, within one edit for ``letters`` characters, whatever their case; ties go
+    to the lesser title, then to the first entry."""
+    plain = lambda t: F.lower(X.strip(t))
+    given = files.select("file", F.posexplode(X.full_references(F.col("content"))).alias("at", "r")).select("file", "at", X.inline_surname(F.col("r.authors")).alias("surname"), F.col("r.year").cast("int").alias("year"), plain(F.col("r.title")).alias("mine"))
+    given = given.groupBy("file", X.lookup_key(F.col("surname"), F.col("year")).alias("lookup_key")).agg(F.min_by("mine", "at").alias("mine"))
+    named = bib.groupBy(plain(F.col("title")).alias("theirs")).agg(F.min_by("id", F.struct("pos", "id")).alias("id"))
+    near = fuzzy.pairs(given.select(F.col("mine").alias("text")), named.select(F.col("theirs").alias("text")), letters)
+    best = near.groupBy("mine").agg(F.min(F.struct("distance", "theirs")).alias("b")).select("mine", F.col("b.theirs").alias("theirs"))
+    found = given.join(best, "mine").join(named, "theirs").select("file", "lookup_key", F.col("id").alias("__id"))
+    columns = [F.col("__id").alias("title_match") if c == "title_match" else c for c in audited.columns]
+    return audited.join(found, ["file", "lookup_key"], "left").select(*columns)
+
+
 def issues(audited: DataFrame) -> DataFrame:
     """Ambiguous citations (warn) and orphans (info)."""
     quoted = F.concat(F.lit('"'), "raw", F.lit('"'))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
-from glosswerk.operators import bibliography, citations
+from glosswerk.operators import bibliography, citations, fuzzy
 from glosswerk.plans import sql as S
 from glosswerk.plans.synth import view, with_views
 
@@ -71,6 +71,18 @@ def status_labels(spark, sf_dir):
     return citations.labels(_audited(spark, sf_dir), _bib(spark, sf_dir), view(spark, sf_dir, "registry_works"))
 
 
+def fuzzy_titles(spark, sf_dir):
+    """Mistyped titles and the works within one edit for ten characters of them."""
+    typed, works = (view(spark, sf_dir, v).select(F.col("title").alias("text")) for v in ("typed_titles", "works"))
+    return fuzzy.pairs(typed, works)
+
+
+def audit_title_match(spark, sf_dir):
+    """Title matches of the citations whose file also has their full reference."""
+    files, bib = view(spark, sf_dir, "referenced_prose"), view(spark, sf_dir, "bib_titled")
+    return citations.match_titles(citations.audit(files, bib), files, bib).select("file", "lookup_key", "in_bibtex", "title_match")
+
+
 def bibtex_entries(spark, sf_dir):
     """Entries of BibTeX texts with nesting, comments, joined values and macros."""
     found = bibliography.parse(view(spark, sf_dir, "bib_text"))
@@ -162,6 +174,15 @@ _QUERIES = {
         SELECT file, raw, lookup_key, CASE WHEN NOT in_bibtex THEN 'ORPHAN' WHEN ambiguous THEN 'AMBIGUOUS' WHEN NOT found THEN 'UNVERIFIED'
           WHEN ({S.similarity("x", "y")} < 0.5 AND NOT {S.contains_all("x", "y")} AND NOT {S.contains_all("y", "x")}) OR len(list_intersect(m, t)) = 0 THEN 'CONFABULATED'
           WHEN len(list_filter(named[2:], lambda n: NOT list_contains(m, n))) > 0 OR actual <> year THEN 'DRIFT' ELSE 'OK' END AS label FROM surnames"""),
+    fuzzy_titles: with_views("typed_titles works", """WITH a AS (SELECT DISTINCT title AS mine FROM typed_titles), b AS (SELECT DISTINCT title AS theirs FROM works)
+        SELECT mine, theirs, levenshtein(mine, theirs)::INT AS distance FROM a JOIN b ON abs(length(mine) - length(theirs)) <= greatest(length(mine), length(theirs)) // 10 WHERE levenshtein(mine, theirs) <= greatest(length(mine), length(theirs)) // 10"""),
+    audit_title_match: with_views("referenced_prose bib_titled", _AUDIT.replace("prose_files", "referenced_prose").replace("bib_entries", "bib_titled") + f""",
+        given AS (SELECT file, {_SURNAME} || '_' || year AS lookup_key, arg_min(lower({S.strip("title")}), place) AS mine FROM (
+          SELECT file, place, {S.first("raw", P.FULL_REFERENCE, 1)} AS authors, {S.first("raw", P.FULL_REFERENCE, 2)} AS year, {S.first("raw", P.FULL_REFERENCE, 3)} AS title
+          FROM (SELECT file, unnest(m) AS raw, unnest(range(len(m))) AS place FROM (SELECT file, {S.found("content", P.FULL_REFERENCE)} AS m FROM referenced_prose) x) y) z GROUP BY ALL),
+        near AS (SELECT file, lookup_key, b.id, row_number() OVER (PARTITION BY file, lookup_key ORDER BY levenshtein(mine, lower(b.title)), lower(b.title), pos) AS n FROM given JOIN bib_titled b
+          ON levenshtein(mine, lower(b.title)) <= greatest(length(mine), length(b.title)) // 10)
+        SELECT a.file, a.lookup_key, a.in_bibtex, n.id AS title_match FROM audited a LEFT JOIN near n ON n.file = a.file AND n.lookup_key = a.lookup_key AND n.n = 1"""),
     bibtex_entries: with_views("part_files", """SELECT file, 'P' || p_partkey AS citation_key, 'article' AS entry_type, 'C# in ' || p_name AS title, 'A {"Q"} Author and {B} ' || p_brand AS author,
         'Journal of Parts ' || p_type AS journal, 'see @misc{b, title={X}} there' AS note, CAST(1970 + p_size AS VARCHAR) AS year, row_number() OVER (PARTITION BY file ORDER BY p_partkey) - 1 AS pos FROM part_files"""),
     extract_dois: _per_line(P.DOI, "doi"),

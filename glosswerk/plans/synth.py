@@ -62,6 +62,7 @@ def views(d: Dialect) -> dict[str, str]:
     source = f"CASE WHEN n_nationkey % 2 = 0 THEN '[' || {_json('body')} || ']' ELSE {_json('body')} END"
     number = "lpad(CAST(n_nationkey AS VARCHAR(2)), 2, '0')"
     entry = """'<entry><id>http://arxiv.org/abs/s' || s_suppkey || 'v' || (s_suppkey % 3 + 1) || '</id>' || CASE WHEN s_suppkey % 11 = 0 THEN '' ELSE '<published>2024-0' || (s_suppkey % 9 + 1) || '-1' || (s_suppkey % 7) || 'T00:00:00Z</published>' END || '<category term="cs.' || CASE WHEN s_suppkey % 2 = 0 THEN 'AI' ELSE 'CL' END || '"/><title>' || chr(10) || ' ' || s_name || ' </title><author><name>' || s_name || '</name></author><author><name>B. N' || s_nationkey || '</name></author>' || CASE WHEN s_suppkey % 4 = 0 THEN '<author><name>C. C</name></author><author><name>D. D</name></author>' ELSE '' END || '</entry>'"""
+    typed = f"CASE p_partkey % 4 WHEN 0 THEN {_TITLE} WHEN 1 THEN substr({_TITLE}, 1, 5) || substr({_TITLE}, 7) WHEN 2 THEN substr({_TITLE}, 1, 9) || 'xq' || substr({_TITLE}, 10) ELSE replace({_TITLE}, 'o', '0') END"
     return {
         "prose_files": f"""SELECT 'docs/o' || l_orderkey || '.md' AS file, {d.join_up("sentence", "'. '", "l_linenumber, l_partkey, sentence")} AS content
             FROM (SELECT l_orderkey, l_linenumber, l_partkey, {sentence} AS sentence FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey) s GROUP BY l_orderkey""",
@@ -89,6 +90,10 @@ def views(d: Dialect) -> dict[str, str]:
         "works": f"""SELECT '10.1000/p.' || p_partkey AS doi, {_TITLE} AS title, {d.list_of("p_brand || ', A.'")} AS authors, p_type AS journal, CAST({_YEAR} AS INT) AS year FROM {{part}} WHERE p_partkey % 10 <> 0""",
         "works2": f"""SELECT '10.1000/p.' || p_partkey AS doi, {_TITLE} AS title, {d.list_of("p_brand || ', B.'")} AS authors, p_type AS journal, CAST({_YEAR} AS INT) AS year FROM {{part}} WHERE p_partkey % 20 = 0""",
         "asked_titles": f"""SELECT CASE p_partkey % 3 WHEN 0 THEN {_TITLE} WHEN 1 THEN p_name || ' unheard of things' ELSE lower(p_type) || ' number' || p_size END AS title FROM {{part}} WHERE p_partkey % 25 = 0""",
+        "typed_titles": f"""SELECT p_partkey AS id, {typed} AS title FROM {{part}} WHERE p_partkey % 3 = 0""",
+        "bib_titled": f"""SELECT 'p' || p_partkey AS id, {d.list_of(_NOUN + " || ', X.'")} AS authors, upper(substr({_TITLE}, 1, 1)) || substr({_TITLE}, 2) AS title, CAST({_YEAR} AS INT) AS year, CAST(NULL AS VARCHAR(9)) AS doi, CAST(p_partkey AS BIGINT) AS pos FROM {{part}} WHERE p_partkey % 7 = 0""",
+        "referenced_prose": f"""SELECT 'docs/r' || p_size || '.md' AS file, {d.join_up("line", NL, "p_partkey, line")} AS content
+            FROM (SELECT p_size, p_partkey, {noun} || ' (' || {_YEAR} || ') says so.' || {NL} || CASE WHEN p_partkey % 2 = 0 THEN '- ' || {noun} || ', X. (' || {_YEAR} || '). ' || {typed} || '. *Journal*, 3.' ELSE 'No source.' END AS line FROM {{part}} WHERE p_partkey % 9 <> 1) s GROUP BY p_size""",
         "registry_json": f"""SELECT '10.1000/p.' || p_partkey AS doi, CAST(CASE WHEN p_partkey % 13 = 0 THEN 404 ELSE 200 END AS INT) AS status, CASE WHEN p_partkey % 17 = 0 THEN '{{{{"mess' ELSE '{{{{"message": ' || {_work} || '}}}}' END AS body FROM {{part}}""",
         "search_json": f"""SELECT 'q' || p_size AS query, CAST(CASE WHEN p_size % 10 = 0 THEN 500 ELSE 200 END AS INT) AS status, '{{{{"message": {{{{"items": [' || {d.join_up("work", "','", "p_partkey")} || ']}}}}}}}}' AS body
             FROM (SELECT p_size, p_partkey, {_work} AS work FROM {{part}} WHERE p_partkey % 10 = 1) s GROUP BY p_size""",
