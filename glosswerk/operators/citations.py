@@ -116,12 +116,13 @@ def verbose(audited: DataFrame) -> DataFrame:
 def labels(audited: DataFrame, bib: DataFrame, works: DataFrame) -> DataFrame:
     """Review label of each citation: ORPHAN without an entry, AMBIGUOUS with several,
     UNVERIFIED without a DOI that the registry has, CONFABULATED if the registry's
-    title or authors are others than the entry's, DRIFT if the citation names another
+    title or authors are others than the entry's (of several works with a DOI the least
+    counts, of several entries with an id the last), DRIFT if the citation names another
     co-author or year than the entry and the registry do, else OK.
     """
-    entry = bib.groupBy("id").agg(F.first(F.struct("authors", "title", X.some(F.col("doi")).alias("doi"))).alias("e"))
+    entry = bib.groupBy("id").agg(F.max_by(F.struct("authors", "title", X.some(F.col("doi")).alias("doi")), "pos").alias("e"))
     entry = entry.select(F.col("id").alias("__id"), "e", F.col("e.doi").alias("__doi"))
-    known = works.groupBy("doi").agg(F.first(F.struct("title", "authors", "year")).alias("w")).withColumnRenamed("doi", "__doi")
+    known = works.groupBy("doi").agg(F.min(F.struct("title", "authors", "year")).alias("w")).withColumnRenamed("doi", "__doi")
     found = audited.withColumn("__id", F.when(F.col("in_bibtex") & ~F.col("ambiguous"), F.get("ids", F.lit(0)))).join(entry, "__id", "left").join(known, "__doi", "left")
     mine, theirs = F.col("e.title"), F.col("w.title")
     other_title = (X.title_similarity(mine, theirs) < 0.5) & ~X.title_contains_all(mine, theirs) & ~X.title_contains_all(theirs, mine)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from glosswerk.functions.bibtex import entries
+from glosswerk.operators.bibliography import SOURCE
 
 # Which files a scan takes and which names it leaves out.
 SCANS = {
@@ -69,8 +70,9 @@ class CorpusSource(DataSource):
 
 
 class BibtexSource(DataSource):
-    """citation_key, entry_type, tags, pos (order in the file) of BibTeX files; one
-    partition for each file.  Option ``paths``: JSON list of files."""
+    """citation_key, entry_type, tags, pos of BibTeX files; one partition for each file.
+    Places count up in a file, and those of a later file are greater.  Option ``paths``:
+    JSON list of files."""
 
     @classmethod
     def name(cls) -> str:
@@ -88,11 +90,12 @@ class _BibReader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in json.loads(self.options["paths"])]
+        return [InputPartition(p) for p in enumerate(json.loads(self.options["paths"]))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8", errors="replace") as f:
-            for pos, (key, kind, found) in enumerate(entries(f.read())):
+        source, path = partition.value
+        with open(path, encoding="utf-8", errors="replace") as f:
+            for pos, (key, kind, found) in enumerate(entries(f.read()), source * SOURCE):
                 yield key, kind, found, pos
 
 

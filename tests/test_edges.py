@@ -12,7 +12,6 @@ from glosswerk.functions.bibtex import entries
 from glosswerk.operators import bibliography, citations, claims, registry
 from glosswerk.plans.claim_queries import STALE_VALUES
 from glosswerk.sources import corpus
-from glosswerk.streaming.watch import watch
 
 
 def one(spark, text, column):
@@ -60,6 +59,17 @@ def test_bibtex(spark, tmp_path):
     assert last["key1"].title == "Later" and last["key1"].pos == 0
 
 
+def test_the_last_of_several_sources_wins(spark, tmp_path):
+    """Whatever its place in its own source."""
+    (tmp_path / "a.bib").write_text("@misc{x, title={X}} @misc{k, author={Roe, J.}, year={2010}, title={Old}}")
+    (tmp_path / "b.bib").write_text("@misc{k, author={Roe, J.}, year={2010}, title={New}, doi={10.1/k}}")
+    both = bibliography.normalise(corpus.bibtex(spark, f"{tmp_path}/a.bib", f"{tmp_path}/b.bib"))
+    apart = bibliography.in_turn(*(bibliography.normalise(corpus.bibtex(spark, f"{tmp_path}/{n}.bib")) for n in "ab"))
+    for entries_ in (both, apart):
+        won = {r.id: (r.title, r.doi) for r in bibliography.last_wins(entries_).collect()}
+        assert won == {"x": ("X", None), "k": ("New", "10.1/k")}
+
+
 def test_bibtex_grammar():
     text = """@string{jop = "Journal of Parts"} @comment{@article{old, title={Old}}} @preamble{"x" # "y"}
     @misc{a, note={see @misc{b, title={X}} there}, title={C# in practice}, howpublished="a # b", journal = jop # " " # {B},}
@@ -191,11 +201,3 @@ def test_commands(spark, tree, capsys):
     spark.createDataFrame([("a/n.md", (tree / "a/n.md").read_text())], "file string, content string").selectExpr("file", "sha2(content, 256) AS digest").write.parquet(f"{tree}/seen")
     assert cli.main(["claims", str(tree), "--unverified", "--json"], spark) == 0 and len(json.loads(capsys.readouterr().out)["claims"]) >= 2
     assert cli.main(["claims", str(tree), "--unverified", f"--verified={tree}/seen"], spark) == 0 and "gain" not in capsys.readouterr().out
-
-
-def test_stream(spark, tmp_path):
-    spark.createDataFrame([("a", "Smith (2010) Lee (2011) Roe (2012) @misc{r, author={Roe, R.}, year={2012}}")], "file string, content string").write.parquet(f"{tmp_path}/in")
-    bib = spark.createDataFrame([("s", ["Smith, J."], 2010, None, 1)], "id string, authors array<string>, year int, doi string, pos long")
-    files = spark.readStream.schema("file string, content string").parquet(f"{tmp_path}/in")
-    watch(spark, files, bib, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
-    assert sorted((r.type, r.citation) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("missing_doi", "r"), ("orphan", "Lee (2011)")]
