@@ -1,4 +1,5 @@
-"""Command line: ``python -m glosswerk.cli audit|claims|arxiv|verify|search|aggregate|notebook-audit``.
+"""Command line: ``python -m glosswerk.cli audit|claims|arxiv|verify|search|diff|index|
+add|versions|aggregate|notebook-audit``.
 
 Summaries are single rows; lists of any length are printed as they come from the
 executors, one partition at a time, and never held whole by the driver.
@@ -11,12 +12,13 @@ import json
 import os
 import sys
 from collections.abc import Iterable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswerk.functions import text as X
-from glosswerk.operators import bibliography, citations, claims, consistency, registry
+from glosswerk.operators import bibliography, citations, claims, consistency, registry, stored
 from glosswerk.operators.settle import new_folder
 from glosswerk.plans.claim_queries import STALE_VALUES
 from glosswerk.sources import corpus, web
@@ -205,6 +207,52 @@ def verify(spark, a) -> int:
     return 0
 
 
+def diff(spark, a) -> int:
+    """What a tree cites and its bibliography lacks, and the other way round."""
+    bib = bibliography.last_wins(bibliography.normalise(corpus.bibtex(spark, a.bibtex)))
+    files = corpus.corpus(spark, a.dir).select("file", "content")
+    missing, idle = citations.orphans(files, bib).cache(), citations.uncited(files, bib).cache()
+    if a.json:
+        _json(missing=missing.orderBy("file", "pos"), uncited=idle.orderBy("id"))
+        return 0
+    for r in _rows(missing.orderBy("file", "pos")):
+        print(f"  ✗ {r['file']}  not in the bibliography: {r['raw']}")
+    for r in _rows(idle.orderBy("id")):
+        print(f"  ℹ never cited: {r['id']}")
+    return int(bool(missing.take(1)))
+
+
+def index(spark, a) -> int:
+    """Puts a bibliography into a stored index, verified against a snapshot if given."""
+    bib = bibliography.last_wins(bibliography.normalise(corpus.bibtex(spark, a.bibtex)))
+    works = spark.read.parquet(f"{a.snapshot}/works") if a.snapshot else None
+    print(f"  version {stored.CitationIndex(spark, a.index).index(bib, works, str(date.today()))}")
+    return 0
+
+
+def add(spark, a) -> int:
+    """Puts a work into a stored index by its DOI."""
+    dois = spark.createDataFrame([(a.doi,)], "doi string")
+    found = registry.verify(dois, spark.read.parquet(f"{a.snapshot}/works")) if a.snapshot else registry.records(web.lookups(_answers(spark, a), dois, a.registry))
+    one = _one(found)
+    if not one["verified"]:
+        print(f"  ✗ Not verified: {one['error']}")
+        return 1
+    print(f"  version {stored.CitationIndex(spark, a.index).add(found, str(date.today()))}")
+    return 0
+
+
+def versions(spark, a) -> int:
+    """What changed between two versions of a stored index."""
+    found = stored.CitationIndex(spark, a.index).diff(a.old, a.new).orderBy("id")
+    if a.json:
+        print(_dump(list(_rows(found))))
+        return 0
+    for r in _rows(found):
+        print(f"  {r['change']}  {r['id']}{'  (' + ', '.join(r['columns']) + ')' if r['columns'] else ''}")
+    return 0
+
+
 def search(spark, a) -> int:
     titles = spark.createDataFrame([(a.title,)], "title string")
     found = (registry.search(titles, spark.read.parquet(f"{a.snapshot}/works")) if a.snapshot else registry.hit_records(web.searches(_answers(spark, a), titles, a.registry))).orderBy("rank")
@@ -233,6 +281,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         ("arxiv", arxiv, None, (*_WHERE, "--cat")),
         ("verify", verify, "doi", _WHERE),
         ("search", search, "title", _WHERE),
+        ("diff", diff, "dir", ("--bibtex",)),
+        ("index", index, "bibtex", ("--index", "--snapshot")),
+        ("add", add, "doi", ("--index", *_WHERE)),
+        ("versions", versions, None, ("--index",)),
         ("aggregate", aggregate, "dir", ()),
         ("notebook-audit", notebook_audit, "dir", ("--aggregate", "--notebooks", "--cross-repo")),
     ):
@@ -241,9 +293,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if positional:
             p.add_argument(positional)
         for o in options:
-            p.add_argument(o, required=o == "--bibtex")
+            p.add_argument(o, required=o in ("--bibtex", "--index"))
         if name == "arxiv":
             p.add_argument("count", nargs="?", type=int, default=10)
+        if name == "versions":
+            p.add_argument("old", type=int)
+            p.add_argument("new", type=int)
         if name == "audit":
             p.add_argument("--titles", action="store_true")
         if name == "claims":
@@ -256,7 +311,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "audit" and not os.path.exists(a.bibtex):
         print(f"no such bibliography: {a.bibtex}", file=sys.stderr)
         return 1
-    if hasattr(a, "snapshot") and not (a.snapshot or a.registry):
+    if hasattr(a, "registry") and not (a.snapshot or a.registry):
         print("give --snapshot=FOLDER, or --registry=ADDRESS for live answers", file=sys.stderr)
         return 1
     return a.run(spark or SparkSession.builder.appName("glosswerk").getOrCreate(), a)

@@ -94,6 +94,14 @@ def resolved(files: DataFrame, bib: DataFrame) -> DataFrame:
     return dedup(extract(files)).join(lookup(bib), ["surname", "year"], "left_semi")
 
 
+def uncited(files: DataFrame, bib: DataFrame) -> DataFrame:
+    """id, title, surname, year of the entries that no file cites by surname and year;
+    entries without an author or year can't be cited so and are among them."""
+    cited = keyed(extract(files)).select("surname", "year").distinct()
+    named = bib.withColumn("surname", F.when(F.size("authors") > 0, X.surname(F.col("authors"))))
+    return named.join(cited, ["surname", "year"], "left_anti").select("id", "title", "surname", "year")
+
+
 def stats(audited: DataFrame) -> DataFrame:
     """One row of counts over an audit."""
     n = lambda test, name: F.count_if(test).alias(name)

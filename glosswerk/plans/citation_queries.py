@@ -83,6 +83,10 @@ def audit_title_match(spark, sf_dir):
     return citations.match_titles(citations.audit(files, bib), files, bib).select("file", "lookup_key", "in_bibtex", "title_match")
 
 
+def uncited_entries(spark, sf_dir):
+    return citations.uncited(view(spark, sf_dir, "referenced_prose"), view(spark, sf_dir, "bib_titled"))
+
+
 def bibtex_entries(spark, sf_dir):
     """Entries of BibTeX texts with nesting, comments, joined values and macros."""
     found = bibliography.parse(view(spark, sf_dir, "bib_text"))
@@ -183,6 +187,8 @@ _QUERIES = {
         near AS (SELECT file, lookup_key, b.id, row_number() OVER (PARTITION BY file, lookup_key ORDER BY levenshtein(mine, lower(b.title)), lower(b.title), pos) AS n FROM given JOIN bib_titled b
           ON levenshtein(mine, lower(b.title)) <= greatest(length(mine), length(b.title)) // 10)
         SELECT a.file, a.lookup_key, a.in_bibtex, n.id AS title_match FROM audited a LEFT JOIN near n ON n.file = a.file AND n.lookup_key = a.lookup_key AND n.n = 1"""),
+    uncited_entries: with_views("referenced_prose bib_titled", _CITES.replace("prose_files", "referenced_prose") + f""" SELECT id, title, lower({S.strip("string_split(authors[1], ',')[1]")}) AS surname, year FROM bib_titled b
+        WHERE NOT EXISTS (SELECT 1 FROM firsts f WHERE f.surname = lower({S.strip("string_split(b.authors[1], ',')[1]")}) AND f.year = b.year)"""),
     bibtex_entries: with_views("part_files", """SELECT file, 'P' || p_partkey AS citation_key, 'article' AS entry_type, 'C# in ' || p_name AS title, 'A {"Q"} Author and {B} ' || p_brand AS author,
         'Journal of Parts ' || p_type AS journal, 'see @misc{b, title={X}} there' AS note, CAST(1970 + p_size AS VARCHAR) AS year, row_number() OVER (PARTITION BY file ORDER BY p_partkey) - 1 AS pos FROM part_files"""),
     extract_dois: _per_line(P.DOI, "doi"),

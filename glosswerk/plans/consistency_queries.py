@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glosswerk.functions import patterns as P
-from glosswerk.operators import citations, claims, consistency
+from glosswerk.operators import citations, claims, consistency, stored
+from glosswerk.operators.settle import new_folder
 from glosswerk.plans import sql as S
 from glosswerk.plans.synth import table, view, with_views
 
@@ -71,6 +72,25 @@ def index_diff(spark, sf_dir):
     return consistency.diff(view(spark, sf_dir, "index_old"), view(spark, sf_dir, "index_new"), "id", "title")
 
 
+def _stored(spark, sf_dir):
+    """A stored index of four versions: written, overwritten, thinned out, written again."""
+    index = stored.CitationIndex(spark, new_folder(spark, "index"))
+    old, new = (view(spark, sf_dir, v).select(F.concat(F.lit("p"), "id").alias("id"), "title", F.when(F.col("id") % 2 == 0, F.concat(F.lit("10.1000/p."), "id")).alias("doi")) for v in ("index_old", "index_new"))
+    index.upsert(old)
+    index.upsert(new)
+    index.remove(old.where("substr(id, 2) % 11 = 0").select("id"))
+    index.upsert(old.where("substr(id, 2) % 22 = 0"))
+    return index
+
+
+def stored_index(spark, sf_dir):
+    return _stored(spark, sf_dir).read().select("id", "title", "doi")
+
+
+def stored_index_diff(spark, sf_dir):
+    return _stored(spark, sf_dir).diff(1, 4).withColumn("columns", F.array_join("columns", ","))
+
+
 def cosine_topk(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
     found = consistency.cosine_topk(rows.where(F.pmod("id", F.lit(100)) == 0), rows)
@@ -80,6 +100,11 @@ def cosine_topk(spark, sf_dir):
 _GAP = "greatest(a.s - b.e, b.s - a.e, 0)"
 _NEAR = f"WITH cites AS ({S.spans('mechanism_prose', P.INLINE)}), numbers AS ({S.spans('mechanism_prose', S.NUMBERS)})"
 
+_VERSIONS = """one AS (SELECT 'p' || id AS id, title, CASE WHEN id % 2 = 0 THEN '10.1000/p.' || id END AS doi, id AS n FROM index_old),
+        two AS (SELECT 'p' || id AS id, title, CASE WHEN id % 2 = 0 THEN '10.1000/p.' || id END AS doi, id AS n FROM index_new),
+        merged AS (SELECT * FROM two UNION ALL SELECT * FROM one WHERE id NOT IN (SELECT id FROM two)),
+        four AS (SELECT * FROM merged WHERE id NOT IN (SELECT id FROM one WHERE n % 11 = 0) UNION ALL SELECT * FROM one WHERE n % 22 = 0)"""
+
 _QUERIES = {
     claims_near_citation: with_views("mechanism_prose", f"""{_NEAR} SELECT a.file, a.raw AS number, a.s AS number_start, b.raw AS citation, b.s AS citation_start, {_GAP}::BIGINT AS gap
         FROM numbers a JOIN cites b ON a.file = b.file AND {_GAP} <= {consistency.NEAR} WHERE NOT (a.s >= b.s AND a.e <= b.e)"""),
@@ -102,6 +127,9 @@ _QUERIES = {
     index_upsert: with_views("index_old index_new", "WITH u AS (SELECT * FROM index_old UNION ALL SELECT * FROM index_new) SELECT id, arg_max(title, version) AS title, max(version) AS version FROM u GROUP BY id"),
     index_diff: with_views("index_old index_new", """SELECT * FROM (SELECT coalesce(a.id, b.id) AS id, a.title AS old, b.title AS new,
         CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.title IS DISTINCT FROM b.title THEN 'changed' END AS change FROM index_old a FULL JOIN index_new b ON a.id = b.id) d WHERE change IS NOT NULL"""),
+    stored_index: with_views("index_old index_new", f"WITH {_VERSIONS} SELECT id, title, doi FROM four"),
+    stored_index_diff: with_views("index_old index_new", f"""WITH {_VERSIONS} SELECT * FROM (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.title IS DISTINCT FROM b.title THEN 'changed' END AS change,
+        CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 'title' END AS columns, a.title AS old_title, b.title AS new_title FROM one a FULL JOIN four b ON a.id = b.id) d WHERE change IS NOT NULL"""),
     cosine_topk: f"""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), n AS (SELECT id, list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS x FROM v WHERE list_sum(list_transform(x, lambda z: z * z)) > 0),
         s AS (SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.x, c.x) AS score FROM n q JOIN n c ON q.id <> c.id WHERE q.id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) SELECT query_id, rank, vec_id, round(score, 9) AS score FROM r WHERE rank <= 5""",
