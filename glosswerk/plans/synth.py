@@ -94,6 +94,8 @@ def views(d: Dialect) -> dict[str, str]:
         "bib_titled": f"""SELECT 'p' || p_partkey AS id, {d.list_of(_NOUN + " || ', X.'")} AS authors, upper(substr({_TITLE}, 1, 1)) || substr({_TITLE}, 2) AS title, CAST({_YEAR} AS INT) AS year, CAST(NULL AS VARCHAR(9)) AS doi, CAST(p_partkey AS BIGINT) AS pos FROM {{part}} WHERE p_partkey % 7 = 0""",
         "referenced_prose": f"""SELECT 'docs/r' || p_size || '.md' AS file, {d.join_up("line", NL, "p_partkey, line")} AS content
             FROM (SELECT p_size, p_partkey, {noun} || ' (' || {_YEAR} || ') says so.' || {NL} || CASE WHEN p_partkey % 2 = 0 THEN '- ' || {noun} || ', X. (' || {_YEAR} || '). ' || {typed} || '. *Journal*, 3.' ELSE 'No source.' END AS line FROM {{part}} WHERE p_partkey % 9 <> 1) s GROUP BY p_size""",
+        "tree_files": """SELECT CASE c_custkey % 7 WHEN 0 THEN 'docs/' WHEN 1 THEN 'docs/.hidden/' WHEN 2 THEN 'node_modules/' WHEN 3 THEN 'docs/dist/' WHEN 4 THEN '.git/x/' WHEN 5 THEN 'a b/' || (c_custkey % 40) || '/' ELSE '' END || CASE c_custkey % 5 WHEN 0 THEN '.' WHEN 1 THEN '_' ELSE '' END || 'c' || c_custkey || CASE c_custkey % 11 WHEN 0 THEN '.html' WHEN 1 THEN '.txt' WHEN 2 THEN '.py' WHEN 3 THEN '.MD' WHEN 4 THEN '.tex' WHEN 5 THEN '.ipynb' WHEN 6 THEN '.js' ELSE '.md' END AS file,
+            c_name || ' said Smith (2010) of ' || c_nationkey || chr(10) || 'and ' || c_custkey AS content FROM {customer}""",
         "registry_json": f"""SELECT '10.1000/p.' || p_partkey AS doi, CAST(CASE WHEN p_partkey % 13 = 0 THEN 404 ELSE 200 END AS INT) AS status, CASE WHEN p_partkey % 17 = 0 THEN '{{{{"mess' ELSE '{{{{"message": ' || {_work} || '}}}}' END AS body FROM {{part}}""",
         "search_json": f"""SELECT 'q' || p_size AS query, CAST(CASE WHEN p_size % 10 = 0 THEN 500 ELSE 200 END AS INT) AS status, '{{{{"message": {{{{"items": [' || {d.join_up("work", "','", "p_partkey")} || ']}}}}}}}}' AS body
             FROM (SELECT p_size, p_partkey, {_work} AS work FROM {{part}} WHERE p_partkey % 10 = 1) s GROUP BY p_size""",

@@ -1,15 +1,8 @@
-"""Text corpora, notebooks and bibliographies from a directory tree.
-
-Spark's file sources skip names that begin with ``.`` or ``_`` and cannot leave out
-folders by name, so a small Python data source lists the tree on the driver (paths
-only) and each partition reads its own files.  All paths must be reachable from the
-executors, as on a shared file system.
-"""
+"""Text corpora, notebooks and bibliographies: which files of a tree each scan takes."""
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,56 +10,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from glosswerk.functions.bibtex import entries
 from glosswerk.operators.bibliography import SOURCE
+from glosswerk.sources import tree
 
 # Which files a scan takes and which names it leaves out.
 SCANS = {
-    "audit": {"extensions": ".md,.html,.js", "exclude": "node_modules,.git,dist", "dot": "true"},
-    "claims": {"extensions": ".md,.tex,.html,.py,.ipynb", "exclude": "node_modules,.git,dist,__pycache__,.ipynb_checkpoints", "dot": "false"},
-    "cross_repo": {"extensions": ".md,.py,.tex", "exclude": "node_modules,.git", "dot": "true"},
+    "audit": {"extensions": ".md,.html,.js", "exclude": "node_modules,.git,dist", "dot": True},
+    "claims": {"extensions": ".md,.tex,.html,.py,.ipynb", "exclude": "node_modules,.git,dist,__pycache__,.ipynb_checkpoints", "dot": False},
+    "cross_repo": {"extensions": ".md,.py,.tex", "exclude": "node_modules,.git", "dot": True},
 }
-FILES_A_PARTITION = 256
-
-
-def listing(root: str, extensions: tuple[str, ...], exclude: set[str], dot: bool) -> Iterator[str]:
-    """Paths of the files below ``root``; links to folders are not followed."""
-    for folder, folders, files in os.walk(root):
-        wanted = lambda name: name not in exclude and (dot or not name.startswith("."))
-        folders[:] = sorted(d for d in folders if wanted(d) and not os.path.islink(os.path.join(folder, d)))
-        yield from (os.path.join(folder, f) for f in sorted(files) if wanted(f) and f.endswith(extensions))
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
-
-    def partitions(self) -> list[InputPartition]:
-        o = self.options
-        paths = list(listing(o["path"], tuple(o.get("extensions", ".md").split(",")), set(filter(None, o.get("exclude", "").split(","))), o.get("dot", "true") == "true"))
-        size = int(o.get("filespartition", FILES_A_PARTITION))
-        return [InputPartition(paths[k : k + size]) for k in range(0, len(paths), size)] or [InputPartition([])]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        root = self.options["path"].rstrip("/")
-        for path in partition.value:
-            with open(path, encoding="utf-8", errors="replace", newline="") as f:
-                yield path[len(root) + 1 :], os.path.basename(path), f.read()
-
-
-class CorpusSource(DataSource):
-    """file (relative path), name, content of the files of a tree.
-
-    Options: ``path``, ``extensions`` and ``exclude`` (comma lists), ``dot`` (``false``
-    leaves out all names that begin with a dot)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "glosswerk_corpus"
-
-    def schema(self) -> str:
-        return "file string, name string, content string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
 
 
 class BibtexSource(DataSource):
@@ -101,15 +52,13 @@ class _BibReader(DataSourceReader):
 
 def corpus(spark: SparkSession, path: str, scan: str = "audit") -> DataFrame:
     """file, name, content below ``path`` as one of ``SCANS`` takes them."""
-    spark.dataSource.register(CorpusSource)
-    return spark.read.format("glosswerk_corpus").options(path=path, **SCANS[scan]).load()
+    return tree.scan(spark, path, **SCANS[scan])
 
 
 def notebooks(spark: SparkSession, path: str) -> DataFrame:
     """file, json of the notebooks directly in ``path`` whose names begin with a digit."""
-    spark.dataSource.register(CorpusSource)
-    found = spark.read.format("glosswerk_corpus").options(path=path, extensions=".ipynb", exclude="", dot="true").load()
-    return found.where("file = name AND name RLIKE '^[0-9]'").selectExpr("file", "content AS json")
+    found = tree.listing(spark, path, ".ipynb", deep=False).where("name RLIKE '^[0-9]'")
+    return tree.contents(spark, path, found).selectExpr("file", "content AS json")
 
 
 def bibtex(spark: SparkSession, *paths: str) -> DataFrame:
