@@ -142,14 +142,17 @@ def aggregate(spark, a) -> int:
     if a.json:
         _json(stats=_one(claims.block_stats(blocks)), sections=blocks.orderBy("file"))
         return 0
-    text = claims.markdown(blocks).first().markdown
+    found = claims.markdown(blocks).orderBy("place")
+    text = (("\n" if r["place"] > 1 else "") + r["line"] for r in _rows(found))
     if a.output:
         with open(a.output, "w", encoding="utf-8") as f:
-            f.write(text)
+            f.writelines(text)
         _stats(_one(claims.block_stats(blocks)))
         print(f"  Written to: {a.output}")
     else:
-        print(text)
+        for part in text:
+            print(part, end="")
+        print()
     return 0
 
 

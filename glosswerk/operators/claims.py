@@ -1,7 +1,7 @@
 """Notebook claims: references in prose, the claim catalog, notebook blocks, checks.
 
 Texts are handled line by line or cell by cell with higher-order functions; a
-catalog's current section is carried forward by a window over its lines.
+catalog's current section is carried forward by a scan in segments.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
+from glosswerk.operators.settle import settled
 
 # The wording of the catalog document.
 CATALOG_NOTE = "> Auto-generated by `{}`. Do not edit manually."
 CATALOG_CONTRACT = "**Contract:** If prose cites a value that disagrees with a row below, the prose is wrong — not the notebook.\n"
 CATALOG_CONTENTS = "## Contents\n"
+#: Lines of a catalog that one task carries a section through.
+SEGMENT = 4096
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -29,29 +32,49 @@ def refs(files: DataFrame) -> DataFrame:
     return found.select("raw", F.regexp_extract("raw", P.CLAIM_REFERENCE, 1).alias("notebook"), F.regexp_extract("raw", P.CLAIM_REFERENCE, 2).alias("claim_id"), "file", "line")
 
 
-def _sections(catalogs: DataFrame) -> DataFrame:
-    """Lines of catalogs with the section they stand in and that section's line."""
+def _opened(found: DataFrame) -> DataFrame:
+    """Lines (file, line, text) with the section that each heading opens."""
     heading = F.regexp_extract("text", P.CATALOG_HEADING, 1)
-    marked = lines(catalogs).withColumn("opened", F.when(heading != "", F.struct(heading.alias("nb"), F.col("line").alias("at"))))
-    so_far = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("section", F.last("opened", ignorenulls=True).over(so_far))
+    return found.withColumn("opened", F.when(heading != "", F.struct(heading.alias("nb"), F.col("line").alias("at"))))
+
+
+def _sections(found: DataFrame) -> DataFrame:
+    """Lines with the section they stand in and that section's line.
+
+    A prefix scan in segments: of every ``SEGMENT`` lines the last heading is found, these
+    few are carried forward within their file, and each segment then fills its own
+    lines.  So a catalog of any length is spread over tasks; only its segments' headings
+    meet in one.
+    """
+    marked = _opened(found).withColumn("segment", F.floor(F.col("line") / SEGMENT))
+    last = marked.groupBy("file", "segment").agg(F.max_by("opened", F.when(F.col("opened").isNotNull(), F.col("line"))).alias("last"))
+    earlier = Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("file", "segment", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    so_far = Window.partitionBy("file", "segment").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    filled = marked.withColumn("mine", F.last("opened", ignorenulls=True).over(so_far)).join(carried, ["file", "segment"])
+    return filled.withColumn("section", F.coalesce("mine", "carried")).drop("mine", "carried", "segment")
 
 
 def notebooks(catalogs: DataFrame) -> DataFrame:
     """nb of every section, also those without a claim."""
-    return _sections(catalogs).where("opened IS NOT NULL").select("opened.nb").distinct()
+    return _opened(lines(catalogs)).where("opened IS NOT NULL").select("opened.nb").distinct()
 
 
 def claims(catalogs: DataFrame) -> DataFrame:
-    """nb, claim_id, text of (file, content); a section opened again starts anew, and
-    of a claim given twice the last counts."""
-    rows = _sections(catalogs)
+    """``claims_of`` of catalogs (file, content)."""
+    return claims_of(lines(catalogs))
+
+
+def claims_of(found: DataFrame) -> DataFrame:
+    """nb, claim_id, text of the lines (file, line, text) of catalogs; a section opened
+    again starts anew, and of a claim given twice the last counts."""
+    rows = _sections(found)
     last = rows.where("opened IS NOT NULL").groupBy("file", F.col("opened.nb").alias("nb")).agg(F.max("opened.at").alias("at"))
     cells = F.filter(F.transform(F.split("text", "\\|", -1), X.strip), lambda c: c != "")
     row = rows.where(F.col("section").isNotNull() & F.col("opened").isNull() & F.startswith("text", F.lit("|"))).select("file", "line", "section.nb", "section.at", cells.alias("cells"))
     found = row.join(last, ["file", "nb", "at"], "left_semi").where(F.size("cells") >= 2).withColumn("claim_id", F.regexp_extract(F.get("cells", F.lit(0)), P.CATALOG_CLAIM.replace("$", "\\z"), 1)).where("claim_id != ''")
     text = F.array_join(F.slice("cells", 2, F.size("cells")), " | ")
-    return found.groupBy("nb", "claim_id").agg(F.max_by(text, F.col("line")).alias("text"))
+    return found.groupBy("nb", "claim_id").agg(F.max_by(text, F.struct("file", "line")).alias("text"))
 
 
 def missing(references: DataFrame, catalogs: DataFrame) -> DataFrame:
@@ -110,24 +133,26 @@ def block_stats(found: DataFrame) -> DataFrame:
 
 
 def markdown(found: DataFrame, title: str = "Notebook Key Claims", generator: str = "glosswerk aggregate") -> DataFrame:
-    """One row, ``markdown``: the catalog document, notebooks by number, then name."""
+    """place (from 1), line: the catalog document, notebooks by number, then name.
+
+    Its pieces are sorted over ranges; the lines of a range begin where those before it
+    end, which the ranges' line counts tell.  No task or row holds the document.
+    """
     number = F.regexp_extract("file", r"^(\d+)", 1).cast("decimal(38,0)")
     entry = F.concat(F.lit("- ["), "label", F.lit(": `"), "stem", F.lit("`](#"), X.anchor(F.col("label"), F.col("stem")), F.lit(") ("), F.col("claim_count").cast("string"), F.lit(" claims)"))
     section = F.concat(F.lit("## "), "label", F.lit(": `"), "stem", F.lit("`\n\n"), "block", F.lit("\n"))
-    parts = found.where("block IS NOT NULL").select(F.struct(number.alias("n"), "file", entry.alias("entry"), section.alias("section")).alias("p"), "claim_count")
-    whole = parts.agg(F.array_sort(F.collect_list("p")).alias("ps"), F.count("*").alias("n"), F.coalesce(F.sum("claim_count"), F.lit(0)).alias("claims"))
-    text = F.concat_ws(
-        "\n",
-        F.lit(f"# {title}\n"),
-        F.lit(CATALOG_NOTE.format(generator)),
-        F.concat(F.lit("> "), "n", F.lit(" notebooks, "), "claims", F.lit(" claims.\n")),
-        F.lit(CATALOG_CONTRACT),
-        F.lit(CATALOG_CONTENTS),
-        F.transform("ps", lambda p: p["entry"]),
-        F.lit(""),
-        F.transform("ps", lambda p: p["section"]),
-    )
-    return whole.select(text.alias("markdown"))
+    both = F.array(F.struct(F.lit(1).alias("part"), entry.alias("piece")), F.struct(F.lit(3).alias("part"), section.alias("piece")))
+    listed = found.where("block IS NOT NULL").select(number.alias("n"), "file", F.inline(both))
+    totals = found.where("block IS NOT NULL").agg(F.count("*").alias("n"), F.coalesce(F.sum("claim_count"), F.lit(0)).alias("claims"))
+    head = F.concat_ws("\n", F.lit(f"# {title}\n"), F.lit(CATALOG_NOTE.format(generator)), F.concat(F.lit("> "), "n", F.lit(" notebooks, "), "claims", F.lit(" claims.\n")), F.lit(CATALOG_CONTRACT), F.lit(CATALOG_CONTENTS))
+    frame = totals.select(F.lit(None).cast("decimal(38,0)").alias("n"), F.lit(None).cast("string").alias("file"), F.inline(F.array(F.struct(F.lit(0).alias("part"), head.alias("piece")), F.struct(F.lit(2).alias("part"), F.lit("").alias("piece")))))
+    pieces = listed.unionByName(frame).withColumn("ls", F.split("piece", "\n", -1)).drop("piece")
+    sorted_ = settled(pieces.repartitionByRange("part", "n", "file").sortWithinPartitions("part", "n", "file").withColumn("range", F.spark_partition_id()))
+    counts = sorted_.groupBy("range").agg(F.sum(F.size("ls")).alias("lines"))
+    starts = counts.select("range", F.coalesce(F.sum("lines").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    before = Window.partitionBy("range").orderBy("part", "n", "file").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sorted_.withColumn("before", F.coalesce(F.sum(F.size("ls")).over(before), F.lit(0))).join(starts, "range")
+    return placed.select("start", "before", F.posexplode("ls").alias("at", "line")).select((F.col("start") + F.col("before") + F.col("at") + 1).alias("place"), "line")
 
 
 def status(notebook_files: DataFrame) -> DataFrame:

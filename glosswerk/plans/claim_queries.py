@@ -87,7 +87,7 @@ def aggregate_markdown(spark, sf_dir):
 
 def catalog_round_trip(spark, sf_dir):
     """The claims read back from the catalog document that the notebooks give."""
-    return claims.claims(aggregate_markdown(spark, sf_dir).selectExpr("'catalog.md' AS file", "markdown AS content"))
+    return claims.claims_of(aggregate_markdown(spark, sf_dir).selectExpr("'catalog.md' AS file", "place AS line", "line AS text"))
 
 
 def stale_scan(spark, sf_dir):
@@ -164,7 +164,7 @@ _QUERIES = {
           count(*) AS issue_count, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warnings FROM found"""),
     aggregate_stats: with_views("notebooks_json", f"""WITH {_BLOCKS} SELECT count(*) AS notebooks_scanned, count(block) AS notebooks_with_claims,
         count(*) FILTER (block IS NULL) AS notebooks_without, coalesce(sum(claim_count), 0)::BIGINT AS total_claims FROM counted"""),
-    aggregate_markdown: with_views("notebooks_json", f"WITH {_MARKDOWN} SELECT markdown FROM document"),
+    aggregate_markdown: with_views("notebooks_json", f"WITH {_MARKDOWN} SELECT unnest(range(1, len(ls) + 1)) AS place, unnest(ls) AS line FROM (SELECT string_split(markdown, chr(10)) AS ls FROM document) d"),
     catalog_round_trip: with_views("notebooks_json", f"""WITH {_MARKDOWN.replace("cells AS", "nbcells AS", 1).replace("FROM cells", "FROM nbcells", 1)},
         md AS (SELECT 'catalog.md' AS file, markdown AS content FROM document), {_catalog_sql("md")} SELECT * FROM claims"""),
     stale_scan: with_views("stale_prose", f"""WITH rules(value, message, correction) AS (VALUES {_STALE})

@@ -1,6 +1,7 @@
 """Hand-made cases: citations, BibTeX, notebooks, stale values, files, streams, commands."""
 
 import json
+import random
 import re
 
 import pytest
@@ -119,6 +120,39 @@ def test_catalog_and_references(spark):
     assert {(r.ref, r.type, r.line) for r in claims.missing(refs, catalog).collect()} == {("[NB5:K1]", "missing_notebook", 2), ("[NB05:K1]", "missing_claim", 2)}
 
 
+def test_a_catalog_is_carried_through_segments(spark, monkeypatch):
+    """Whatever the length of a segment, the sections are those of one pass over the lines."""
+    r = random.Random(8)
+    texts = {f: "\n".join(r.choice(["## NB1: a", "## NB2 b", "# other", "| **K1** | x |", "| K2 | y | z |", "| K1 |", "text", ""]) for _ in range(200)) for f in ("c", "d")}
+    want = {}
+    for f in ("c", "d"):
+        mine, at = {}, None
+        for line in texts[f].split("\n"):
+            if m := re.match(r"## (NB\d+)[: ]", line):
+                at = m[1]
+                mine[at] = {}
+            elif at and (m := re.match(r"\| \**(K\d+)\** \| (.*) \|$", line)):
+                mine[at][m[1]] = m[2]
+        want |= {(n, k): t for n, ks in mine.items() for k, t in ks.items()}
+    files = spark.createDataFrame([*texts.items()], "file string, content string")
+    for size in (1, 3, 7, 4096):
+        monkeypatch.setattr(claims, "SEGMENT", size)
+        assert {(x.nb, x.claim_id): x.text for x in claims.claims(files).collect()} == want
+
+
+def test_the_catalog_document_is_sorted_over_ranges(spark):
+    rows = [(f"{n:02}_x{k}.ipynb", notebook(f"## Key Claims\n| K1 | {n} |\n| K2 | {k} |")) for n in (3, 11, 2) for k in range(9)] + [("05_none.ipynb", notebook("nothing"))]
+    files = spark.createDataFrame(rows, "file string, json string").repartition(5)
+    got = claims.markdown(claims.blocks(files)).orderBy("place").collect()
+    assert [r.place for r in got] == [*range(1, len(got) + 1)]
+    order = sorted((r[0] for r in rows[:-1]), key=lambda f: (int(f[:2]), f))
+    text = "\n".join(r.line for r in got)
+    assert [m for m in re.findall(r"^- \[NB\d+: `(.*?)`\]", text, re.M)] == [f.removesuffix(".ipynb") for f in order]
+    assert re.findall(r"^## NB\d+: `(.*?)`$", text, re.M) == [f.removesuffix(".ipynb") for f in order]
+    assert "> 27 notebooks, 54 claims.\n\n**Contract:**" in text
+    assert claims.markdown(claims.blocks(files.where("file LIKE '05%'"))).where("line LIKE '> 0 notebooks%'").count() == 1
+
+
 def test_stale(spark):
     files = spark.createDataFrame([("f", "In 1994,\nAUC 0.827 and 994")], "file string, content string")
     assert {(r.line, r.value) for r in claims.stale(files, STALE_VALUES).collect()} == {(1, "994"), (2, "0.827"), (2, "994")}
