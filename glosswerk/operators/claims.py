@@ -6,6 +6,10 @@ catalog's current section is carried forward by a scan in segments.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,10 @@ from glosswerk.operators.settle import settled
 CATALOG_NOTE = "> Auto-generated by `{}`. Do not edit manually."
 CATALOG_CONTRACT = "**Contract:** If prose cites a value that disagrees with a row below, the prose is wrong — not the notebook.\n"
 CATALOG_CONTENTS = "## Contents\n"
+#: Stale values from which on automata are used, and what one automaton takes of them.
+MANY = 200
+BLOCK_VALUES, BLOCK_CHARS = 100_000, 4_000_000
+VALUE_PARTS = 4
 #: Lines of a catalog that one task carries a section through.
 SEGMENT = 4096
 
@@ -188,12 +196,78 @@ def stats(references: DataFrame, issues: DataFrame) -> DataFrame:
     return seen.join(counted, F.lit(True))
 
 
-def stale(files: DataFrame, values: list[tuple[str, str | None, str | None]]) -> DataFrame:
+def _message(value: str) -> str:
+    return f'"{value}" may be stale (pre-fix)'
+
+
+def stale(files: DataFrame, values: list[tuple[str, str | None, str | None]] | DataFrame) -> DataFrame:
     """Lines that contain a stale value anywhere, also inside a longer number.
 
-    ``values``: (value, message or None, correction or None).  The rules are a
-    parameter list, so each line is tested in place: no join.
+    ``values``: (value, message or None, correction or None), as a list or a DataFrame with
+    these columns.  A short list is tested in place, line by line: no join.  From ``MANY``
+    values on, and for DataFrames, the lines are read by automata that find all values at
+    once.
     """
-    rules = F.array(*(F.struct(F.lit(v).alias("value"), F.lit(m or f'"{v}" may be stale (pre-fix)').alias("message"), F.lit(c).cast("string").alias("correction")) for v, m, c in values))
+    if isinstance(values, DataFrame):
+        return _stale_by_automata(files, values)
+    if len(values) >= MANY:
+        return _stale_by_automata(files, files.sparkSession.createDataFrame(values, "value string, message string, correction string"))
+    rules = F.array(*(F.struct(F.lit(v).alias("value"), F.lit(m or _message(v)).alias("message"), F.lit(c).cast("string").alias("correction")) for v, m, c in values))
     hits = lines(files).select("file", "line", F.inline(F.filter(rules, lambda r: F.contains("text", r["value"]))))
+    return _stale_issues(hits)
+
+
+def _stale_issues(hits: DataFrame) -> DataFrame:
     return hits.select(F.lit("warn").alias("severity"), F.lit("potentially_stale").alias("type"), "file", "line", "value", "message", "correction")
+
+
+def _stale_by_automata(files: DataFrame, values: DataFrame) -> DataFrame:
+    """The values go, in blocks of ``BLOCK_VALUES`` and about ``BLOCK_CHARS``, to every task,
+    which builds an Aho-Corasick automaton of a block and reads its lines once; what a
+    value says is joined to its hits afterwards."""
+    spark = files.sparkSession
+    message = F.coalesce(X.some(F.col("message")), F.concat(F.lit('"'), "value", F.lit('" may be stale (pre-fix)')))
+    rules = settled(values.where("value IS NOT NULL").select("value", message.alias("message"), "correction"))
+    distinct = settled(rules.select("value").distinct().repartition(VALUE_PARTS, "value").mapInArrow(_blocks_of_values, "vs array<string>").withColumn("block", F.monotonically_increasing_id()))
+    read = lines(files).where("text IS NOT NULL")
+    found = []
+    for block in (r.block for r in distinct.select("block").collect()):
+        sent = spark.sparkContext.broadcast(distinct.where(F.col("block") == block).first().vs)
+        found.append(read.mapInArrow(_finder(sent), "file string, line int, value string"))
+    hits = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "file string, line int, value string")
+    return _stale_issues(hits.join(rules, "value"))
+
+
+def _blocks_of_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        for value in batch.column("value").to_pylist():
+            if held and (len(held) >= BLOCK_VALUES or size + len(value) > BLOCK_CHARS):
+                yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(pa.string()))], names=["vs"])
+                held, size = [], 0
+            held.append(value)
+            size += len(value)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([held], pa.list_(pa.string()))], names=["vs"])
+
+
+def _finder(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton, everywhere = ahocorasick.Automaton(), [v for v in sent.value if not v]
+        for v in sent.value:
+            if v:
+                automaton.add_word(v, v)
+        automaton.make_automaton()
+        some = len(automaton) > 0
+        for batch in batches:
+            rows, values = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                met = [*{v for _, v in automaton.iter(text)}, *everywhere] if some else everywhere
+                rows += [k] * len(met)
+                values += met
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("file").take(at), batch.column("line").take(at), pa.array(values, pa.string())], names=["file", "line", "value"])
+
+    return run

@@ -94,6 +94,11 @@ def stale_scan(spark, sf_dir):
     return claims.stale(view(spark, sf_dir, "stale_prose"), STALE_VALUES)
 
 
+def stale_scan_many(spark, sf_dir):
+    """Five values for each part, found by automata."""
+    return claims.stale(view(spark, sf_dir, "stale_prose"), view(spark, sf_dir, "stale_rules"))
+
+
 def _refs(prose: str) -> str:
     return f"""SELECT raw, regexp_extract(raw, '{P.CLAIM_REFERENCE}', 1) AS notebook, regexp_extract(raw, '{P.CLAIM_REFERENCE}', 2) AS claim_id, file, line
       FROM (SELECT file, line, unnest({S.found("text", P.CLAIM_REFERENCE)}) AS raw FROM ({S.lines(prose)}) l) r"""
@@ -167,6 +172,8 @@ _QUERIES = {
     aggregate_markdown: with_views("notebooks_json", f"WITH {_MARKDOWN} SELECT unnest(range(1, len(ls) + 1)) AS place, unnest(ls) AS line FROM (SELECT string_split(markdown, chr(10)) AS ls FROM document) d"),
     catalog_round_trip: with_views("notebooks_json", f"""WITH {_MARKDOWN.replace("cells AS", "nbcells AS", 1).replace("FROM cells", "FROM nbcells", 1)},
         md AS (SELECT 'catalog.md' AS file, markdown AS content FROM document), {_catalog_sql("md")} SELECT * FROM claims"""),
+    stale_scan_many: with_views("stale_prose stale_rules", f"""SELECT 'warn' AS severity, 'potentially_stale' AS type, file, line, value, coalesce(message, '"' || value || '" may be stale (pre-fix)') AS message, correction
+        FROM ({S.lines("stale_prose")}) l JOIN stale_rules ON contains(text, value)"""),
     stale_scan: with_views("stale_prose", f"""WITH rules(value, message, correction) AS (VALUES {_STALE})
         SELECT 'warn' AS severity, 'potentially_stale' AS type, file, line, value, message, correction FROM ({S.lines("stale_prose")}) l JOIN rules ON contains(text, value)"""),
 }

@@ -85,6 +85,9 @@ def views(d: Dialect) -> dict[str, str]:
             FROM (SELECT n_nationkey, n_name, {body} AS body FROM (SELECT n_nationkey, n_name, {table} AS claims FROM {{nation}}) c) b""",
         "notebook_prose": f"""SELECT 'docs/n' || r_regionkey || '.md' AS file, {d.join_up("'See [NB' || " + number + " || CASE WHEN n_nationkey % 3 = 1 THEN '.5' ELSE '' END || ':K1] and [NB77:K2].'", NL, "n_nationkey")} AS content FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey GROUP BY r_regionkey""",
         "stale_prose": f"""SELECT 'docs/v' || user_id || '.md' AS file, {d.join_up("'Value ' || event_id || ' was 0.' || (800 + event_id % 40) || ' in ' || (1990 + event_id % 10)", NL, "event_id")} AS content FROM {{events}} GROUP BY user_id""",
+        "stale_rules": """SELECT value, CASE WHEN p_partkey % 2 = 0 THEN 'superseded' END AS message, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS VARCHAR(9)) END AS correction FROM (
+            SELECT p_partkey, p_size, '0.' || p_partkey AS value FROM {part} UNION ALL SELECT p_partkey, p_size, p_partkey || ' was' FROM {part} UNION ALL SELECT p_partkey, p_size, 'in ' || p_partkey FROM {part}
+            UNION ALL SELECT p_partkey, p_size, 'Value ' || p_partkey FROM {part} UNION ALL SELECT p_partkey, p_size, p_name FROM {part}) s""",
         "paper_html": f"""SELECT 's' || l_suppkey AS paper, '<html>References<ul>' || {d.join_up("item", "''", "l_orderkey, l_linenumber, l_partkey, item")} || '</ul>' AS html
             FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {item} AS item FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey) s GROUP BY l_suppkey""",
         "works": f"""SELECT '10.1000/p.' || p_partkey AS doi, {_TITLE} AS title, {d.list_of("p_brand || ', A.'")} AS authors, p_type AS journal, CAST({_YEAR} AS INT) AS year FROM {{part}} WHERE p_partkey % 10 <> 0""",

@@ -158,6 +158,20 @@ def test_stale(spark):
     assert {(r.line, r.value) for r in claims.stale(files, STALE_VALUES).collect()} == {(1, "994"), (2, "0.827"), (2, "994")}
 
 
+def test_many_stale_values_find_what_few_do(spark, monkeypatch):
+    """Automata and the test in place, over overlapping, repeated, empty and long values."""
+    r = random.Random(3)
+    files = spark.createDataFrame([(f"f{k}", "\n".join("".join(r.choice("ab1é漢") for _ in range(r.randrange(12))) for _ in range(30))) for k in range(4)] + [("n", None)], "file string, content string")
+    values = [("".join(r.choice("ab1é漢") for _ in range(n % 4 + 1)), r.choice([None, "m"]), r.choice([None, "c"])) for n in range(60)] + [("", "every line", None), ("a", "again", "x"), ("a", "again", "y")]
+    want = sorted(map(repr, claims.stale(files, values).collect()))
+    for block in (1 << 20, 5):
+        monkeypatch.setattr(claims, "MANY", 1)
+        monkeypatch.setattr(claims, "BLOCK_VALUES", block)
+        assert sorted(map(repr, claims.stale(files, values).collect())) == want
+    none = spark.createDataFrame([], "value string, message string, correction string")
+    assert claims.stale(files, none).count() == 0
+
+
 def test_reference_pages(spark):
     item = '<li id="bib.1">A (2001). A title that is long enough. Venue. <a href="https://doi.org/10.1000/{}">x</a></li>'
     title = '<li id="bib.2">B (2002). Another title that is long. Venue.</li>'
