@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosswerk.functions import patterns as P
@@ -22,13 +22,29 @@ MISMATCH_BELOW = 0.5
 NOT_FOUND_BELOW = 0.3
 LEAST_SCORE = 50
 HITS = 3
+ENTRY, FEED = "<entry>", "<feed"
 
 
 def papers(feeds: DataFrame) -> DataFrame:
     """id, title, authors, published, categories of every entry in (feed, xml) that has an
     id and a title."""
-    parts = F.split("xml", "<entry>", -1)
-    entry = feeds.select(F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("e"))
+    parts = F.split("xml", ENTRY, -1)
+    return _papers(feeds.select(F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("e")))
+
+
+def papers_in(spark: SparkSession, *paths: str) -> DataFrame:
+    """``papers`` of feed files (or folders of them) of any size.
+
+    Spark's text source takes the entry tag for the end of a line, so a file is split over
+    tasks at any byte, and an entry that crosses a split is read once, by the task in whose
+    split it begins.  What stands before a file's first entry is no entry: it holds the
+    feed's own tag.
+    """
+    pieces = spark.read.option("lineSep", ENTRY).text(list(paths)).withColumnRenamed("value", "e")
+    return _papers(pieces.where(~F.contains("e", F.lit(FEED))))
+
+
+def _papers(entry: DataFrame) -> DataFrame:
     found = entry.select(
         F.regexp_replace(F.regexp_extract("e", P.ENTRY_ID, 1), r"v\d+\z", "").alias("id"),
         X.strip(F.regexp_extract("e", P.ENTRY_TITLE, 1)).alias("title"),

@@ -186,6 +186,27 @@ def test_a_feed_of_over_a_million_entries_is_whole(spark):
     assert [(r.id, r.title) for r in registry.papers(feed).collect()] == [("last", "T")]
 
 
+def test_feed_files_are_split_at_any_byte(spark, tmp_path):
+    """Small splits, tags that cross them, long entries, files without entries."""
+    r = random.Random(2)
+    for f in range(3):
+        entries_ = [f"<entry>\n<id>http://arxiv.org/abs/{f}.{k}v1</id><title>T\n{'x' * r.randrange(300)} é &amp; {k}</title><author><name>A</name></author></entry>\n" for k in range(40)]
+        (tmp_path / f"f{f}.xml").write_text(f"<?xml version='1.0'?>\n<feed><id>http://arxiv.org/abs/feed</id><title>Feed</title>{''.join(entries_)}</feed>")
+    (tmp_path / "none.xml").write_text("<feed><id>http://arxiv.org/abs/none</id><title>None</title></feed>")
+    (tmp_path / "bare.xml").write_text("<entry><id>http://arxiv.org/abs/bare</id><title>B</title>")
+    rows = [(p.name, p.read_text()) for p in tmp_path.glob("*.xml")]
+    want = sorted(map(repr, registry.papers(spark.createDataFrame(rows, "feed string, xml string")).collect()))
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "97", "1000"):
+            spark.conf.set(key, size)
+            got = registry.papers_in(spark, str(tmp_path))
+            assert sorted(map(repr, got.collect())) == want and len(want) == 121
+        assert got.rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_search_has_no_floor_and_titles_can_be_missed(spark, tmp_path, capsys):
     """The best three by brute force, also where no or few works are similar."""
     titles = ["common alpha beta", "common gamma delta epsilon zeta", "common alpha", "theta iota kappa", "common eta", None, "Zygomorphic petals: flower development under many different conditions everywhere", "common alpha beta gamma"]
