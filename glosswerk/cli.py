@@ -17,15 +17,11 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswerk.functions import text as X
-from glosswerk.operators import bibliography, citations, claims, consistency, registry, stored
+from glosswerk.operators import bibliography, citations, claims, consistency, registry, report, stored
 from glosswerk.operators.settle import new_folder
 from glosswerk.plans.claim_queries import STALE_VALUES
 from glosswerk.sources import corpus, web
 
-_ICONS = {"warn": "⚠", "error": "✗", "info": "ℹ"}
-
-
 def _rows(df: DataFrame) -> Iterable[dict]:
     return (r.asDict(recursive=True) for r in df.toLocalIterator())
 
@@ -53,18 +49,9 @@ def _json(**parts: dict | DataFrame) -> None:
     print("\n}")
 
 
-def _stats(stats: dict) -> None:
-    for name, value in stats.items():
-        print(f"  {name}: {f'{value:.1%}' if name == 'issue_rate' else value}")
-
-
-def _issues(issues: DataFrame) -> None:
-    for i in _rows(issues):
-        place = f"{i.get('file') or i.get('paper')}{':' + str(i['line']) if i.get('line') else ''}"
-        print(f"  {_ICONS.get(i.get('severity'), '✗')} {place}  {i.get('message') or i.get('issue')}")
-        for name in ("claimed", "actual", "best_match", "doi", "similarity"):
-            if i.get(name) is not None:
-                print(f"    {name.replace('_', ' ')}: {i[name]}")
+def _print(lines: DataFrame) -> None:
+    for r in lines.orderBy("part", "a", "b").select("line").toLocalIterator():
+        print(r.line)
 
 
 def _failed(issues: DataFrame) -> int:
@@ -76,15 +63,11 @@ def audit(spark, a) -> int:
     files = corpus.corpus(spark, a.dir).select("file", "content")
     found = citations.audit(files, bib)
     found = (citations.match_titles(found, files, bib) if a.titles else found).cache()
-    stats, issues = _one(citations.stats(found)), citations.issues(found).orderBy("file", "citation")
+    stats, issues = citations.stats(found), citations.issues(found)
     if a.json:
-        _json(stats=stats, issues=issues, citations=found.orderBy("file", "pos"))
+        _json(stats=_one(stats), issues=issues.orderBy("file", "citation"), citations=found.orderBy("file", "pos"))
         return 0
-    _stats(stats)
-    _issues(issues)
-    if a.verbose:
-        for r in _rows(citations.verbose(found).orderBy("file", "raw")):
-            print(f"  {r['status']} {r['raw']} ({r['file']})")
+    _print(report.audit(stats, issues, citations.verbose(found) if a.verbose else None))
     return _failed(issues)
 
 
@@ -121,19 +104,13 @@ def notebook_audit(spark, a) -> int:
         issues = blockless if issues is None else issues.unionByName(blockless, allowMissingColumns=True)
     if issues is None:
         issues = spark.createDataFrame([], "severity string, type string, file string, message string")
-    stats, none = _one(claims.stats(refs, issues)), spark.createDataFrame([], "file string")
+    stats = claims.stats(refs, issues)
     if a.json:
-        _json(stats=stats, issues=issues, notebooks=none if statuses is None else statuses)
+        none = spark.createDataFrame([], "file string")
+        _json(stats=_one(stats), issues=issues, notebooks=none if statuses is None else statuses)
         return 0
-    _stats(stats)
-    for n in _rows(none if statuses is None else statuses):
-        detail = "no Key Claims block"
-        if n["has_block"]:
-            detail = f"{n['claim_count']} claims" + (f", verified {n['verified_date']}" if n["verified_date"] else "")
-        print(f"  {'✓' if n['has_block'] else '✗'} {n['file']}  ({detail})")
-    _issues(issues)
-    if a.cross_repo:
-        _issues(claims.stale(corpus.corpus(spark, a.cross_repo, "cross_repo").select("file", "content"), STALE_VALUES))
+    stale = claims.stale(corpus.corpus(spark, a.cross_repo, "cross_repo").select("file", "content"), STALE_VALUES) if a.cross_repo else None
+    _print(report.claims(stats, statuses, issues, stale))
     return _failed(issues)
 
 
@@ -147,7 +124,7 @@ def aggregate(spark, a) -> int:
     if a.output:
         with open(a.output, "w", encoding="utf-8") as f:
             f.writelines(text)
-        _stats(_one(claims.block_stats(blocks)))
+        _print(report.stats(claims.block_stats(blocks)))
         print(f"  Written to: {a.output}")
     else:
         for part in text:
@@ -181,33 +158,24 @@ def arxiv(spark, a) -> int:
         hits = registry.hit_records(web.searches(answers, titles, a.registry)).cache()
     issues = registry.issues(registry.check_dois(items, works), registry.check_titles(items, hits)).cache()
     per = registry.paper_stats(listed, refs, issues).cache()
-    stats, ordered = _one(registry.stats(per)), issues.orderBy("paper")
+    stats = registry.stats(per)
+    counts = _one(stats)
     if a.json:
-        _json(stats=stats, papers=per.orderBy("id"), issues=ordered)
+        _json(stats=counts, papers=per.orderBy("id"), issues=issues.orderBy("paper"))
         return 0
-    shown = listed.select("id", "published", F.left("title", F.lit(70)).alias("title"), X.first_three(F.col("authors"), ", ").alias("authors")).join(per, "id")
-    for p in _rows(shown.orderBy(F.col("published").desc_nulls_last(), "id")):
-        print(f"── {p['id']}: {p['title']}\n   {p['authors']}")
-        skipped = f" ({p['skipped_arxiv']} arXiv DOIs skipped)" if p["skipped_arxiv"] else ""
-        print(f"   ({p['skipped']})" if p["skipped"] else f"   {p['refs']} references | Verified: {p['verified']} | Issues: {p['issues']}{skipped}")
-    _stats(stats)
-    _issues(ordered)
-    return int(stats["issues_found"] > 0)
+    _print(report.papers(listed, per, stats, issues))
+    return int(counts["issues_found"] > 0)
 
 
 def verify(spark, a) -> int:
     dois = spark.createDataFrame([(a.doi,)], "doi string")
-    found = _one(registry.verify(dois, spark.read.parquet(f"{a.snapshot}/works")) if a.snapshot else registry.records(web.lookups(_answers(spark, a), dois, a.registry)))
+    found = registry.verify(dois, spark.read.parquet(f"{a.snapshot}/works")) if a.snapshot else registry.records(web.lookups(_answers(spark, a), dois, a.registry))
+    found = found.cache()
     if a.json:
-        print(_dump(found))
+        print(_dump(_one(found)))
         return 0
-    if not found["verified"]:
-        print(f"  ✗ Not verified: {found['error']}")
-        return 1
-    print("  ✓ Verified")
-    for name in ("title", "authors", "journal", "year"):
-        print(f"  {name.capitalize() + ':':9}{'; '.join(found[name]) if name == 'authors' else found[name]}")
-    return 0
+    _print(report.verified(found))
+    return int(not _one(found)["verified"])
 
 
 def diff(spark, a) -> int:
@@ -262,11 +230,9 @@ def search(spark, a) -> int:
     if a.json:
         print(_dump(list(_rows(found))))
         return 0
-    none = True
-    for r in _rows(found.withColumn("names", X.first_three(F.col("authors"), "; "))):
-        none = False
-        print(f"  {r['doi']}\n  {r['title']}\n  {r['names']}\n  {r['year']}\n")
-    if none:
+    if found.take(1):
+        _print(report.hits(found))
+    else:
         print("  No results found.")
     return 0
 

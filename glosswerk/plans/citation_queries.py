@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
-from glosswerk.operators import bibliography, citations, fuzzy
+from glosswerk.operators import bibliography, citations, fuzzy, report
+from glosswerk.operators.settle import settled
 from glosswerk.plans import sql as S
 from glosswerk.plans.synth import view, with_views
 
@@ -67,6 +68,12 @@ def audit_verbose_status(spark, sf_dir):
     return citations.verbose(_audited(spark, sf_dir))
 
 
+def audit_report(spark, sf_dir):
+    """The printed report of the audit with all citations."""
+    audited = settled(_audited(spark, sf_dir))
+    return report.audit(citations.stats(audited), citations.issues(audited), citations.verbose(audited))
+
+
 def status_labels(spark, sf_dir):
     return citations.labels(_audited(spark, sf_dir), _bib(spark, sf_dir), view(spark, sf_dir, "registry_works"))
 
@@ -170,6 +177,12 @@ _QUERIES = {
     audit_stats: _audit("""SELECT count(*) AS total, count(*) FILTER (in_bibtex) AS in_bibtex, count(*) FILTER (NOT in_bibtex) AS orphans, count(*) FILTER (has_doi) AS with_doi,
         count(*) FILTER (ambiguous) AS ambiguous, count(*) FILTER (ambiguous OR NOT in_bibtex) AS issue_count FROM audited"""),
     audit_verbose_status: _audit("SELECT file, raw, CASE WHEN NOT in_bibtex THEN '?' WHEN has_doi THEN '✓' ELSE '~' END AS status FROM audited"),
+    audit_report: _audit(f"""
+        SELECT 0 AS part, '' AS a, printf('%02d', k) AS b, '  ' || name || ': ' || value AS line FROM (SELECT unnest(['total', 'in_bibtex', 'orphans', 'with_doi', 'ambiguous', 'issue_count']) AS name, unnest(range(6)) AS k,
+          unnest([count(*), count(*) FILTER (in_bibtex), count(*) FILTER (NOT in_bibtex), count(*) FILTER (has_doi), count(*) FILTER (ambiguous), count(*) FILTER (ambiguous OR NOT in_bibtex)]) AS value FROM audited) s
+        UNION ALL SELECT 1, file, raw, '  ' || CASE WHEN ambiguous THEN '⚠ [ambiguous] ' ELSE 'ℹ [orphan] ' END || raw || chr(10) || '    ' || file || chr(10) || '    "' || raw || '"' || CASE WHEN ambiguous THEN ' matches ' || matches || ' BibTeX entries — disambiguate with DOI or journal' ELSE ' has no BibTeX entry' END
+        FROM audited WHERE ambiguous OR NOT in_bibtex
+        UNION ALL SELECT 2, file, raw, '  ' || CASE WHEN NOT in_bibtex THEN '?' WHEN has_doi THEN '✓' ELSE '~' END || ' ' || raw || '  (' || file || ')' FROM audited"""),
     status_labels: with_views("prose_files bib_entries registry_works", f"""{_AUDIT},
         known AS (SELECT a.file, a.raw, a.lookup_key, a.in_bibtex, a.ambiguous, a.year, e.authors AS mine, w.authors AS theirs, w.year AS actual, w.doi IS NOT NULL AS found, {S.words("coalesce(e.title, '')")} AS x, {S.words("coalesce(w.title, '')")} AS y,
             list_filter(list_transform(regexp_split_to_array(a.raw, '{P.CO_AUTHORS}'), lambda p: lower(nullif(regexp_extract(p, '^{P.SPACE}*({P.NAME})', 1), ''))), lambda n: n IS NOT NULL) AS named

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from glosswerk.functions import patterns as P
-from glosswerk.operators import claims
+from glosswerk.operators import claims, report
 from glosswerk.plans import sql as S
 from glosswerk.plans.synth import view, with_views
 
@@ -77,6 +77,13 @@ def claim_stats(spark, sf_dir):
     return claims.stats(claims.refs(_prose(spark, sf_dir)), issues)
 
 
+def claims_report(spark, sf_dir):
+    """The printed report of the claims audit, stale values included."""
+    issues = _missing(spark, sf_dir).unionByName(_blockless(spark, sf_dir), allowMissingColumns=True)
+    counts = claims.stats(claims.refs(_prose(spark, sf_dir)), issues)
+    return report.claims(counts, claims.status(_notebooks(spark, sf_dir)), issues, stale_scan(spark, sf_dir))
+
+
 def aggregate_stats(spark, sf_dir):
     return claims.block_stats(claims.blocks(_notebooks(spark, sf_dir)))
 
@@ -167,6 +174,14 @@ _QUERIES = {
         found AS (SELECT severity FROM missing UNION ALL SELECT severity FROM blockless)
         SELECT (SELECT count(*) FROM refs) AS total_refs, (SELECT count(DISTINCT notebook) FROM refs) AS unique_notebooks, (SELECT count(DISTINCT (notebook, claim_id)) FROM refs) AS unique_claims,
           count(*) AS issue_count, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warn') AS warnings FROM found"""),
+    claims_report: with_views("claim_prose aggregate_md notebooks_json notebook_prose stale_prose", f"""{_MISSING}, {_BLOCKLESS.replace("cells AS", "nbcells AS", 1).replace("FROM cells", "FROM nbcells", 1)},
+        rules(value, message, correction) AS (VALUES {_STALE}),
+        every AS (SELECT severity, type, ref, file, line, message FROM missing UNION ALL SELECT severity, type, NULL, file, NULL, message FROM blockless)
+        SELECT 0 AS part, '' AS a, printf('%02d', k) AS b, '  ' || name || ': ' || value AS line FROM (SELECT unnest(['total_refs', 'unique_notebooks', 'unique_claims', 'issue_count', 'errors', 'warnings']) AS name, unnest(range(6)) AS k,
+          unnest([(SELECT count(*) FROM refs), (SELECT count(DISTINCT notebook) FROM refs), (SELECT count(DISTINCT (notebook, claim_id)) FROM refs), count(*), count(*) FILTER (severity = 'error'), count(*) FILTER (severity = 'warn')]) AS value FROM every) s
+        UNION ALL SELECT 1, file, '', '  ' || CASE WHEN has_block THEN '✓ ' ELSE '✗ ' END || file || '  (' || CASE WHEN has_block THEN claim_count || ' claims' || coalesce(', verified ' || verified_date, '') ELSE 'no Key Claims block' END || ')' FROM status
+        UNION ALL SELECT 2, concat_ws(':', file, line), ref, '  ' || CASE severity WHEN 'error' THEN '✗' ELSE '⚠' END || ' [' || type || '] ' || coalesce(ref, '') || chr(10) || '    ' || concat_ws(':', file, line) || chr(10) || '    ' || message FROM every
+        UNION ALL SELECT 3, file || ':' || line, value, '  ⚠ ' || file || ':' || line || ' — ' || message || coalesce(chr(10) || '    → should be: ' || correction, '') FROM ({S.lines("stale_prose")}) l JOIN rules ON contains(text, value)"""),
     aggregate_stats: with_views("notebooks_json", f"""WITH {_BLOCKS} SELECT count(*) AS notebooks_scanned, count(block) AS notebooks_with_claims,
         count(*) FILTER (block IS NULL) AS notebooks_without, coalesce(sum(claim_count), 0)::BIGINT AS total_claims FROM counted"""),
     aggregate_markdown: with_views("notebooks_json", f"WITH {_MARKDOWN} SELECT unnest(range(1, len(ls) + 1)) AS place, unnest(ls) AS line FROM (SELECT string_split(markdown, chr(10)) AS ls FROM document) d"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
 from glosswerk.operators import registry as R
+from glosswerk.operators import report
+from glosswerk.operators.settle import settled
 from glosswerk.plans import sql as S
 from glosswerk.plans.synth import table, view, with_views
 
@@ -100,6 +102,31 @@ def registry_search(spark, sf_dir):
     return found.withColumns({"authors": X.first_three(F.col("authors"), "; "), "score": F.round("score", 6), "similarity": F.round("similarity", 9)})
 
 
+def verify_report(spark, sf_dir):
+    """What the command prints of every DOI cited anywhere."""
+    dois = _items(spark, sf_dir).where("doi IS NOT NULL").select("doi").distinct()
+    return report.verified(R.verify(dois, view(spark, sf_dir, "works"), view(spark, sf_dir, "works2")))
+
+
+def search_report(spark, sf_dir):
+    """What the command prints of the hits of every title asked for."""
+    return report.hits(R.search(view(spark, sf_dir, "asked_titles"), view(spark, sf_dir, "works")))
+
+
+def arxiv_report(spark, sf_dir):
+    """The printed report on all papers of the feeds."""
+    listed, per = settled(R.papers(view(spark, sf_dir, "feed_xml"))), settled(arxiv_paper_stats(spark, sf_dir))
+    return report.papers(listed, per, R.stats(per), reference_issues(spark, sf_dir))
+
+
+def exit_codes(spark, sf_dir):
+    """Of the commands on the derived inputs."""
+    from glosswerk.plans import citation_queries, claim_queries
+
+    claims_ = claim_queries.missing_claim(spark, sf_dir).select("severity")
+    return report.exit_codes(citation_queries.audit_issues(spark, sf_dir), claims_, arxiv_stats(spark, sf_dir), verify_dois(spark, sf_dir))
+
+
 def registry_records(spark, sf_dir):
     return R.records(view(spark, sf_dir, "registry_json")).withColumn("authors", F.array_join("authors", "; "))
 
@@ -171,6 +198,17 @@ def _hits(least: str) -> str:
         SELECT query, rank, doi, title, round(s * 100, 6) AS score FROM ranked WHERE rank <= {R.HITS}"""
 
 
+_VERIFIED = f"""WITH {_REFS}, v AS (SELECT d.doi, coalesce(a.doi, b.doi) IS NOT NULL AS verified, CASE WHEN a.doi IS NOT NULL THEN 1 WHEN b.doi IS NOT NULL THEN 2 END AS snapshot,
+        CASE WHEN a.doi IS NOT NULL THEN a.title ELSE b.title END AS title, array_to_string(CASE WHEN a.doi IS NOT NULL THEN a.authors ELSE b.authors END, '|') AS authors,
+        CASE WHEN a.doi IS NOT NULL THEN a.journal ELSE b.journal END AS journal, CASE WHEN a.doi IS NOT NULL THEN a.year ELSE b.year END AS year, CASE WHEN coalesce(a.doi, b.doi) IS NULL THEN 'not in the snapshot' END AS error
+        FROM (SELECT DISTINCT doi FROM refs WHERE doi IS NOT NULL) d LEFT JOIN works a ON a.doi = d.doi LEFT JOIN works2 b ON b.doi = d.doi)"""
+_SEARCH = f"""WITH ask AS (SELECT DISTINCT title AS query, {S.words("title")} AS x FROM asked_titles), have AS (SELECT *, {S.words("title")} AS y FROM works),
+        df AS (SELECT w, ln(1 + (SELECT count(*) FROM works) / count(*)) AS weight FROM (SELECT unnest(y) AS w FROM have) u GROUP BY w),
+        scored AS (SELECT query, x, doi, title, authors, journal, year, y, {S.similarity("x", "y")} AS s FROM ask, have WHERE len(list_intersect(x, y)) > 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doi)::INT AS rank FROM scored),
+        weighed AS (SELECT *, unnest(x) AS w FROM ranked WHERE rank <= {R.HITS})
+        SELECT query, rank, doi, any_value(title) AS title, array_to_string(any_value(authors)[:3], '; ') || CASE WHEN len(any_value(authors)) > 3 THEN ' et al.' ELSE '' END AS authors, any_value(journal) AS journal, any_value(year) AS year,
+        round(100 * sum(CASE WHEN list_contains(y, w) THEN weight ELSE 0 END) / sum(weight), 6) AS score, round(any_value(s), 9) AS similarity FROM weighed JOIN df USING (w) GROUP BY query, rank, doi"""
 _ALL = "paper_html works search_hits feed_xml"
 
 _QUERIES = {
@@ -187,19 +225,22 @@ _QUERIES = {
     arxiv_paper_stats: with_views(_ALL, f"{_PAPERS} SELECT * FROM paper_stats"),
     arxiv_stats: with_views(_ALL, f"""{_PAPERS} SELECT count(*) AS papers_audited, coalesce(sum(refs), 0)::BIGINT AS total_refs, coalesce(sum(verified), 0)::BIGINT AS refs_checked,
         coalesce(sum(issues), 0)::BIGINT AS issues_found, round(coalesce(sum(issues)::DOUBLE / nullif(sum(verified), 0), 0), 9) AS issue_rate FROM paper_stats"""),
-    verify_dois: with_views("paper_html works works2", f"""WITH {_REFS} SELECT d.doi, coalesce(a.doi, b.doi) IS NOT NULL AS verified, CASE WHEN a.doi IS NOT NULL THEN 1 WHEN b.doi IS NOT NULL THEN 2 END AS snapshot,
-        CASE WHEN a.doi IS NOT NULL THEN a.title ELSE b.title END AS title, array_to_string(CASE WHEN a.doi IS NOT NULL THEN a.authors ELSE b.authors END, '|') AS authors,
-        CASE WHEN a.doi IS NOT NULL THEN a.journal ELSE b.journal END AS journal, CASE WHEN a.doi IS NOT NULL THEN a.year ELSE b.year END AS year, CASE WHEN coalesce(a.doi, b.doi) IS NULL THEN 'not in the snapshot' END AS error
-        FROM (SELECT DISTINCT doi FROM refs WHERE doi IS NOT NULL) d LEFT JOIN works a ON a.doi = d.doi LEFT JOIN works2 b ON b.doi = d.doi"""),
+    verify_dois: with_views("paper_html works works2", f"{_VERIFIED} SELECT * FROM v"),
     title_search_top3: with_views("works works2", _hits("s > 0")),
     title_search_close: with_views("works works2", _hits("s >= 0.5")),
-    registry_search: with_views("asked_titles works", f"""WITH ask AS (SELECT DISTINCT title AS query, {S.words("title")} AS x FROM asked_titles), have AS (SELECT *, {S.words("title")} AS y FROM works),
-        df AS (SELECT w, ln(1 + (SELECT count(*) FROM works) / count(*)) AS weight FROM (SELECT unnest(y) AS w FROM have) u GROUP BY w),
-        scored AS (SELECT query, x, doi, title, authors, journal, year, y, {S.similarity("x", "y")} AS s FROM ask, have WHERE len(list_intersect(x, y)) > 0),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, doi)::INT AS rank FROM scored),
-        weighed AS (SELECT *, unnest(x) AS w FROM ranked WHERE rank <= {R.HITS})
-        SELECT query, rank, doi, any_value(title) AS title, array_to_string(any_value(authors)[:3], '; ') || CASE WHEN len(any_value(authors)) > 3 THEN ' et al.' ELSE '' END AS authors, any_value(journal) AS journal, any_value(year) AS year,
-        round(100 * sum(CASE WHEN list_contains(y, w) THEN weight ELSE 0 END) / sum(weight), 6) AS score, round(any_value(s), 9) AS similarity FROM weighed JOIN df USING (w) GROUP BY query, rank, doi"""),
+    registry_search: with_views("asked_titles works", _SEARCH),
+    verify_report: with_views("paper_html works works2", _VERIFIED + """ SELECT 0 AS part, doi AS a, '' AS b, CASE WHEN verified THEN '  ✓ Verified' || chr(10) || '  Title:   ' || title || chr(10) || '  Authors: ' || replace(authors, '|', '; ') || chr(10) || '  Journal: ' || journal || chr(10) || '  Year:    ' || year
+        ELSE '  ✗ Not verified: not in the snapshot' END AS line FROM v"""),
+    search_report: with_views("asked_titles works", f"""WITH h AS ({_SEARCH}) SELECT 0 AS part, query AS a, printf('%03d', rank) AS b, '  ' || doi || chr(10) || '  ' || title || chr(10) || '  ' || authors || chr(10) || '  ' || year AS line FROM h"""),
+    arxiv_report: with_views(_ALL, f"""{_PAPERS}, totals AS (SELECT count(*) AS p, coalesce(sum(refs), 0)::BIGINT AS r, coalesce(sum(verified), 0)::BIGINT AS v, coalesce(sum(issues), 0)::BIGINT AS i FROM paper_stats)
+        SELECT 0 AS part, coalesce(translate(published, '0123456789', '9876543210'), '~') AS a, p.id AS b, '── ' || p.id || ': ' || left(title, 70) || chr(10) || '   ' || array_to_string(names[:3], ', ') || CASE WHEN len(names) > 3 THEN ' et al.' ELSE '' END || chr(10) || '   ' ||
+          CASE WHEN skipped IS NOT NULL THEN '(' || skipped || ')' ELSE refs || ' references | Verified: ' || verified || ' | Issues: ' || issues || CASE WHEN skipped_arxiv > 0 THEN ' (' || skipped_arxiv || ' arXiv DOIs skipped)' ELSE '' END END AS line FROM papers p JOIN paper_stats s ON s.id = p.id
+        UNION ALL SELECT 1, '', printf('%02d', k), '  ' || name || ': ' || value FROM (SELECT unnest(['papers_audited', 'total_refs', 'refs_checked', 'issues_found', 'issue_rate']) AS name, unnest(range(5)) AS k,
+          unnest([p::VARCHAR, r::VARCHAR, v::VARCHAR, i::VARCHAR, printf('%.1f', 100 * coalesce(i::DOUBLE / nullif(v, 0), 0)) || '%']) AS value FROM totals) t
+        UNION ALL SELECT 2, paper, ref, '  ✗ [' || issue || '] ' || paper || chr(10) || '    ' || ref || coalesce(chr(10) || '    claimed: ' || claimed, '') || coalesce(chr(10) || '    actual: ' || actual, '') ||
+          coalesce(chr(10) || '    best match: ' || best_match, '') || coalesce(chr(10) || '    DOI: ' || doi, '') || coalesce(chr(10) || '    similarity: ' || similarity, '') FROM issues"""),
+    exit_codes: with_views("paper_html works works2 search_hits feed_xml", f"""{_PAPERS}, v AS ({_VERIFIED.split("v AS (", 1)[1]}
+        SELECT 'audit' AS command, 0 AS code UNION ALL SELECT 'notebook-audit', 1 UNION ALL SELECT 'arxiv', (sum(issues) > 0)::INT FROM paper_stats UNION ALL SELECT 'verify ' || doi, (NOT verified)::INT FROM v"""),
     registry_records: with_views("registry_json", f"""WITH b AS (SELECT *, CASE WHEN status IS DISTINCT FROM 200 THEN 'HTTP ' || coalesce(status::VARCHAR, 'none') WHEN NOT json_valid(body) OR json_extract(body, '$.message') IS NULL THEN 'parse error' END AS error FROM registry_json),
         w AS (SELECT doi, error, CASE WHEN error IS NULL THEN json_extract(body, '$.message') END AS work FROM b)
         SELECT doi, error IS NULL AS verified, {_WORK_SQL}, CASE WHEN error IS NULL THEN coalesce(json_extract_string(work, '$."container-title"[0]'), '') END AS journal, error FROM w"""),
