@@ -4,9 +4,11 @@ The tokenizers library does the merges.  Its byte alphabet (one printable
 character for each byte) is reversed into a table of each id's bytes, which
 serves decoding, byte offsets and character offsets.
 
-Null and empty texts encode to no ids; a text of any length is cut only before a
-space between two visible characters, where the pattern always starts a new
-match, so pieces can be encoded one by one in bounded memory.
+Null and empty texts encode to no ids; a long text is cut only before a space
+between two visible characters, where the pattern always starts a new match, so
+its pieces can be encoded one by one.  A text without such a place is encoded in one
+piece, in memory that grows with it.  Rows that repeat a doc_id are coded each; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Rules, also for odd input: a line's key is the line without ``[\\x20\\x09-\\x0D]
 at both ends and with A-Z in lower case; only keys of ``min_chars`` code points or
 more count.  A key in at least ``min_docs`` documents loses all its lines except
 those in the largest ``doc_id`` holding it.  Rows that repeat a ``doc_id`` are one
-document; a null ``doc_id`` holds no line and loses none.  A null or empty text
+document, but within one call: a ``doc_id`` added to the same runs in two calls counts
+as two documents.  A null ``doc_id`` holds no line and loses none.  A null or empty text
 is one empty line; a null text stays null.  An empty table gives an empty result.
 """
 

@@ -4,7 +4,8 @@ All measures are Spark expressions over one row; nothing is shuffled and no Pyth
 runs.  Words are ``[^\\x20\\x09-\\x0D]+``, lines the pieces between ``\\n``.
 
 Odd input: a null or empty text has no words and fails the base; ratios over zero
-words or lines count as 0.  Repeated rows are judged alike, and an empty table
+words or lines count as 0.  A text of any length is measured whole, in the memory of
+its words.  Repeated rows are judged alike, and an empty table
 gives an empty result.
 """
 
