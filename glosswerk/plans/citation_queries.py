@@ -138,7 +138,7 @@ audited AS (
   FROM firsts f LEFT JOIN lookup l ON f.surname = l.surname AND f.year = l.year)"""
 
 
-def _audit(select: str) -> str:
+def audit_sql(select: str) -> str:
     return with_views("prose_files bib_entries", f"{_AUDIT} {select}")
 
 
@@ -167,17 +167,17 @@ _QUERIES = {
     citation_keys: with_views("prose_files", f"{_CITES} SELECT file, pos, surname, year, surname || '_' || year AS lookup_key FROM keyed"),
     citation_dedup: with_views("prose_files", f"{_CITES} SELECT * FROM firsts"),
     bib_lookup: with_views("bib_entries", f"WITH {_LOOKUP} SELECT * FROM lookup"),
-    audit_citations: _audit("SELECT * FROM audited"),
+    audit_citations: audit_sql("SELECT * FROM audited"),
     audit_orphans: with_views("prose_files bib_entries", f"{_CITES}, {_LOOKUP} SELECT file, surname, year, raw FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM lookup l WHERE l.surname = f.surname AND l.year = f.year)"),
     audit_in_bib: with_views("prose_files bib_entries", f"{_CITES}, {_LOOKUP} SELECT file, surname, year, raw FROM firsts f WHERE EXISTS (SELECT 1 FROM lookup l WHERE l.surname = f.surname AND l.year = f.year)"),
-    audit_ambiguous: _audit("SELECT file, raw, lookup_key, matches, ids FROM audited WHERE ambiguous"),
-    audit_issues: _audit("""SELECT CASE WHEN ambiguous THEN 'warn' ELSE 'info' END AS severity, CASE WHEN ambiguous THEN 'ambiguous' ELSE 'orphan' END AS type, raw AS citation, file,
+    audit_ambiguous: audit_sql("SELECT file, raw, lookup_key, matches, ids FROM audited WHERE ambiguous"),
+    audit_issues: audit_sql("""SELECT CASE WHEN ambiguous THEN 'warn' ELSE 'info' END AS severity, CASE WHEN ambiguous THEN 'ambiguous' ELSE 'orphan' END AS type, raw AS citation, file,
         CASE WHEN ambiguous THEN '"' || raw || '" matches ' || matches || ' BibTeX entries — disambiguate with DOI or journal' ELSE '"' || raw || '" has no BibTeX entry' END AS message,
         CASE WHEN ambiguous THEN ids END AS bib_entries FROM audited WHERE ambiguous OR NOT in_bibtex"""),
-    audit_stats: _audit("""SELECT count(*) AS total, count(*) FILTER (in_bibtex) AS in_bibtex, count(*) FILTER (NOT in_bibtex) AS orphans, count(*) FILTER (has_doi) AS with_doi,
+    audit_stats: audit_sql("""SELECT count(*) AS total, count(*) FILTER (in_bibtex) AS in_bibtex, count(*) FILTER (NOT in_bibtex) AS orphans, count(*) FILTER (has_doi) AS with_doi,
         count(*) FILTER (ambiguous) AS ambiguous, count(*) FILTER (ambiguous OR NOT in_bibtex) AS issue_count FROM audited"""),
-    audit_verbose_status: _audit("SELECT file, raw, CASE WHEN NOT in_bibtex THEN '?' WHEN has_doi THEN '✓' ELSE '~' END AS status FROM audited"),
-    audit_report: _audit(f"""
+    audit_verbose_status: audit_sql("SELECT file, raw, CASE WHEN NOT in_bibtex THEN '?' WHEN has_doi THEN '✓' ELSE '~' END AS status FROM audited"),
+    audit_report: audit_sql(f"""
         SELECT 0 AS part, '' AS a, printf('%02d', k) AS b, '  ' || name || ': ' || value AS line FROM (SELECT unnest(['total', 'in_bibtex', 'orphans', 'with_doi', 'ambiguous', 'issue_count']) AS name, unnest(range(6)) AS k,
           unnest([count(*), count(*) FILTER (in_bibtex), count(*) FILTER (NOT in_bibtex), count(*) FILTER (has_doi), count(*) FILTER (ambiguous), count(*) FILTER (ambiguous OR NOT in_bibtex)]) AS value FROM audited) s
         UNION ALL SELECT 1, file, raw, '  ' || CASE WHEN ambiguous THEN '⚠ [ambiguous] ' ELSE 'ℹ [orphan] ' END || raw || chr(10) || '    ' || file || chr(10) || '    "' || raw || '"' || CASE WHEN ambiguous THEN ' matches ' || matches || ' BibTeX entries — disambiguate with DOI or journal' ELSE ' has no BibTeX entry' END

@@ -140,14 +140,14 @@ ORACLES = {f.__name__: sql for f, sql in _QUERIES.items()}
 
 def _borrowed() -> dict[str, str]:
     """Oracles that rest on the other modules' SQL."""
-    from glosswerk.plans.citation_queries import _audit
+    from glosswerk.plans.citation_queries import audit_sql
     from glosswerk.plans.claim_queries import _catalog_sql, _refs
 
     values = S.found(f"regexp_replace(text, '{P.CLAIM_REFERENCE}', '', 'g')", S.NUMBERS)
     drift = f"""WITH refs AS ({_refs("drift_prose")}), {_catalog_sql("aggregate_md")},
         v AS (SELECT r.file, r.line, notebook, claim_id, unnest({values}) AS value FROM refs r JOIN ({S.lines("drift_prose")}) l ON l.file = r.file AND l.line = r.line)
         SELECT v.* FROM v JOIN claims c ON c.nb = v.notebook AND c.claim_id = v.claim_id WHERE NOT list_contains({S.found("c.text", S.NUMBERS)}, value)"""
-    return {"value_drift": with_views("drift_prose aggregate_md", drift), "et_al_authors": _audit("""SELECT a.file, a.raw, a.lookup_key, a.id, array_to_string(e.authors, '|') AS authors
+    return {"value_drift": with_views("drift_prose aggregate_md", drift), "et_al_authors": audit_sql("""SELECT a.file, a.raw, a.lookup_key, a.id, array_to_string(e.authors, '|') AS authors
         FROM (SELECT file, raw, lookup_key, unnest(CASE WHEN ids IS NULL THEN [NULL] ELSE string_split(ids, ',') END) AS id FROM audited WHERE contains(raw, 'et al.')) a LEFT JOIN bib_entries e ON e.id = a.id""")}
 
 
