@@ -9,6 +9,7 @@ from glosswerk.functions import text as X
 from glosswerk.operators import registry as R
 from glosswerk.operators import report
 from glosswerk.operators.settle import settled
+from glosswerk.plans import citation_queries, claim_queries
 from glosswerk.plans import sql as S
 from glosswerk.plans.synth import table, view, with_views
 
@@ -121,8 +122,6 @@ def arxiv_report(spark, sf_dir):
 
 def exit_codes(spark, sf_dir):
     """Of the commands on the derived inputs."""
-    from glosswerk.plans import citation_queries, claim_queries
-
     claims_ = claim_queries.missing_claim(spark, sf_dir).select("severity")
     return report.exit_codes(citation_queries.audit_issues(spark, sf_dir), claims_, arxiv_stats(spark, sf_dir), verify_dois(spark, sf_dir))
 
@@ -202,6 +201,8 @@ _VERIFIED = f"""WITH {_REFS}, v AS (SELECT d.doi, coalesce(a.doi, b.doi) IS NOT
         CASE WHEN a.doi IS NOT NULL THEN a.title ELSE b.title END AS title, array_to_string(CASE WHEN a.doi IS NOT NULL THEN a.authors ELSE b.authors END, '|') AS authors,
         CASE WHEN a.doi IS NOT NULL THEN a.journal ELSE b.journal END AS journal, CASE WHEN a.doi IS NOT NULL THEN a.year ELSE b.year END AS year, CASE WHEN coalesce(a.doi, b.doi) IS NULL THEN 'not in the snapshot' END AS error
         FROM (SELECT DISTINCT doi FROM refs WHERE doi IS NOT NULL) d LEFT JOIN works a ON a.doi = d.doi LEFT JOIN works2 b ON b.doi = d.doi)"""
+#: The claims audit's issues beside the names used here; the citation audit never has an error.
+_MISSED = claim_queries._MISSING.removeprefix("WITH ").replace("refs AS", "claim_refs AS", 1).replace("FROM refs r", "FROM claim_refs r")
 _SEARCH = f"""WITH ask AS (SELECT DISTINCT title AS query, {S.words("title")} AS x FROM asked_titles), have AS (SELECT *, {S.words("title")} AS y FROM works),
         df AS (SELECT w, ln(1 + (SELECT count(*) FROM works) / count(*)) AS weight FROM (SELECT unnest(y) AS w FROM have) u GROUP BY w),
         scored AS (SELECT query, x, doi, title, authors, journal, year, y, {S.similarity("x", "y")} AS s FROM ask, have WHERE len(list_intersect(x, y)) > 0),
@@ -239,8 +240,8 @@ _QUERIES = {
           unnest([p::VARCHAR, r::VARCHAR, v::VARCHAR, i::VARCHAR, printf('%.1f', 100 * coalesce(i::DOUBLE / nullif(v, 0), 0)) || '%']) AS value FROM totals) t
         UNION ALL SELECT 2, paper, ref, '  ✗ [' || issue || '] ' || paper || chr(10) || '    ' || ref || coalesce(chr(10) || '    claimed: ' || claimed, '') || coalesce(chr(10) || '    actual: ' || actual, '') ||
           coalesce(chr(10) || '    best match: ' || best_match, '') || coalesce(chr(10) || '    DOI: ' || doi, '') || coalesce(chr(10) || '    similarity: ' || similarity, '') FROM issues"""),
-    exit_codes: with_views("paper_html works works2 search_hits feed_xml", f"""{_PAPERS}, v AS ({_VERIFIED.split("v AS (", 1)[1]}
-        SELECT 'audit' AS command, 0 AS code UNION ALL SELECT 'notebook-audit', 1 UNION ALL SELECT 'arxiv', (sum(issues) > 0)::INT FROM paper_stats UNION ALL SELECT 'verify ' || doi, (NOT verified)::INT FROM v"""),
+    exit_codes: with_views("paper_html works works2 search_hits feed_xml claim_prose aggregate_md", f"""{_PAPERS}, v AS ({_VERIFIED.split("v AS (", 1)[1]}, {_MISSED}
+        SELECT 'audit' AS command, 0 AS code UNION ALL SELECT 'notebook-audit', (count(*) > 0)::INT FROM missing UNION ALL SELECT 'arxiv', (sum(issues) > 0)::INT FROM paper_stats UNION ALL SELECT 'verify ' || doi, (NOT verified)::INT FROM v"""),
     registry_records: with_views("registry_json", f"""WITH b AS (SELECT *, CASE WHEN status IS DISTINCT FROM 200 THEN 'HTTP ' || coalesce(status::VARCHAR, 'none') WHEN NOT json_valid(body) OR json_extract(body, '$.message') IS NULL THEN 'parse error' END AS error FROM registry_json),
         w AS (SELECT doi, error, CASE WHEN error IS NULL THEN json_extract(body, '$.message') END AS work FROM b)
         SELECT doi, error IS NULL AS verified, {_WORK_SQL}, CASE WHEN error IS NULL THEN coalesce(json_extract_string(work, '$."container-title"[0]'), '') END AS journal, error FROM w"""),
