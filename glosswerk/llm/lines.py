@@ -8,6 +8,11 @@ level has ``fanout`` runs they are compacted into one run of the next level, so
 batches leave O(log n) runs and each entry is rewritten O(log n) times.  A manifest
 beside the runs names the levels; ``LineRuns.open`` takes them up in a later job.
 
+Files are few: Hadoop's local file system starts some processes for each one it makes,
+and each of them shares all memory of its executor until it runs its own program.  So
+entries are rebalanced before they are written, and runs have a bucket for
+``BUCKET_ENTRIES``.
+
 Rules, also for odd input: a line's key is the line without ``[\\x20\\x09-\\x0D]``
 at both ends and with A-Z in lower case; only keys of ``min_chars`` code points or
 more count.  A key in at least ``min_docs`` documents loses all its lines except
@@ -20,6 +25,7 @@ is one empty line; a null text stays null.  An empty table gives an empty result
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +40,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FANOUT = 2
+#: Entries for which the runs of one call have a bucket; never more buckets than shuffle partitions.
+BUCKET_ENTRIES = 200_000
 _WS = WS.encode()
 
 
@@ -98,6 +106,8 @@ class LineRuns:
         return joined.where(~settled).select(*batch.columns)
 
     def add(self, batch: DataFrame) -> None:
+        if self.buckets != shuffle_partitions(self.scratch.spark):  # else its grouping has dealt it so
+            batch = batch.repartition(self.buckets, "key")
         self._write(self.unsettled(batch), 0)
         old: list[str] = []
         for level, names in enumerate(self.levels):
@@ -152,13 +162,14 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars
     """
     docs, back = aside(docs.drop("n_lines", "n_dropped"), doc_id, text)
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    _entries(docs, doc_id, text, min_chars, batches).write.partitionBy("batch").parquet(f"{scratch.path}/entries")
+    _entries(docs, doc_id, text, min_chars, batches).hint("rebalance", "doc_id").write.partitionBy("batch").parquet(f"{scratch.path}/entries")
     entries = scratch.read("entries", "key binary, doc_id long, batch int")
-    runs = runs or LineRuns(scratch, min_docs, fanout)
+    total = entries.count()
+    runs = runs or LineRuns(scratch, min_docs, fanout, min(shuffle_partitions(scratch.spark), max(1, math.ceil(total / BUCKET_ENTRIES))))
     for k in range(batches):
         runs.add(entries.where(F.col("batch") == k).groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last")))
     common = scratch.write(runs.table().where(F.col("docs") >= runs.min_docs), "common")
-    doomed = join_hot(entries, common, "key", "docs", entries.count()).where(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set("key").alias("__keys"))
+    doomed = join_hot(entries, common, "key", "docs", total).where(F.col("doc_id") < F.col("last")).groupBy("doc_id").agg(F.collect_set("key").alias("__keys"))
     doomed = doomed.withColumnRenamed("doc_id", "__id")
     joined = docs.join(doomed, docs[doc_id].cast("long") == doomed["__id"], "left").drop("__id")
     schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
@@ -66,6 +67,32 @@ def test_runs_are_taken_up_by_a_later_session(spark):
     assert out == {k: f"{line}\nown line of document {k} alone" if k == 11 else f"own line of document {k} alone" for k in range(6, 12)}
 
 
+def test_few_lines_make_few_files(spark):
+    """However many shuffle partitions and input tasks there are, and where a session takes up
+    runs that were dealt out otherwise."""
+    other = spark.newSession()
+    other.conf.set("spark.sql.shuffle.partitions", 40)
+    line = "A line that many documents share."
+    rows = [(k, "\n".join([line, *(f"own line {j} of document {k} alone" for j in range(20))])) for k in range(90)]
+    first, second = (other.createDataFrame(x, "doc_id long, text string").repartition(16) for x in (rows[:60], rows[60:]))
+    made = lambda path: sorted(str(p.relative_to(path)) for p in Path(path).rglob("*.parquet"))
+    scratch = lines.Scratch(other, "few")
+    got = {r.doc_id: r.n_dropped for r in lines.dedup(first, scratch=scratch).collect()}
+    assert got == {k: int(k < 59) for k in range(60)}
+    files = made(scratch.path)
+    assert sum(f.startswith("entries/") for f in files) <= lines.BATCHES
+    assert len([f for f in files if f.startswith("run")]) == 1
+    third, kept = spark.newSession(), lines.Scratch(other, "kept")  # other: 40 shuffle partitions, third: 4
+    runs = lines.LineRuns(kept, buckets=3)
+    lines.dedup(first, runs=runs).collect()
+    for session, docs in ((other, second), (third, third.createDataFrame(rows[60:], "doc_id long, text string"))):
+        again = lines.LineRuns.open(session, kept.path)
+        again.add(lines._entries(docs, "doc_id", "text", 20, 1).groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last")))
+        for name in again._names():
+            assert len([f for f in made(kept.path) if f.startswith(f"{name}/")]) <= 3
+        assert {r.docs >= 60 for r in again.table().where(F.col("last") == 89).where(F.col("docs") > 2).collect()} == {True}
+
+
 def brute_substrings(rows, min_words=20, min_chars=20):
     """(kept text, n_removed, n_lines_removed) of each row, by dictionaries of first places."""
     key = lambda x: b" ".join(x.encode().lower().split()).decode()
