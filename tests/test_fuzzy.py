@@ -54,3 +54,26 @@ def test_title_match_of_an_audit(spark):
     got = {r.lookup_key: r.title_match for r in citations.match_titles(audited, files, bib).collect()}
     assert got == {"smith_2010": "s1", "lee_2011": None, "roe_1999": None}
     assert citations.match_titles(audited, files, bib).columns == audited.columns
+
+
+def test_texts_of_few_words_do_not_meet_all_others(spark):
+    """All grams of these texts are common ones; joins still make few rows beside 6 million pairs."""
+    r = random.Random(1)
+    words = ["large", "small", "hot", "cold", "green", "shiny", "round", "plain"]
+    texts = [[(" ".join(r.choice(words) for _ in range(3)) + f" for brand {r.randrange(25)} number{r.randrange(50)}",) for _ in range(2500)] for _ in range(2)]
+    a, b = (spark.createDataFrame(t, "text string") for t in texts)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    got = {tuple(x) for x in fuzzy.pairs(a, b).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    rows = 0
+    for e in range(before, store.executionsCount()):
+        run = store.executionsList().apply(e)
+        nodes, values = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+        for n in (nodes.apply(k) for k in range(nodes.size())):
+            made = [m for m in (n.metrics().apply(k) for k in range(n.metrics().size())) if m.name() == "number of output rows"]
+            if "Join" in n.name() and made and values.contains(made[0].accumulatorId()):
+                rows += int(values.apply(made[0].accumulatorId()).replace(",", ""))
+    assert 0 < rows < 200_000
+    some = [(x, y) for (x,) in texts[0][:4] for (y,) in texts[1]]
+    assert {(x, y, d) for x, y in some if (d := distance(x, y)) <= max(len(x), len(y)) // 10} == {p for p in got if p[0] in {x for (x,) in texts[0][:4]}}
