@@ -270,3 +270,13 @@ def test_commands(spark, tree, capsys):
     spark.createDataFrame([("a/n.md", (tree / "a/n.md").read_text())], "file string, content string").selectExpr("file", "sha2(content, 256) AS digest").write.parquet(f"{tree}/seen")
     assert cli.main(["claims", str(tree), "--unverified", "--json"], spark) == 0 and len(json.loads(capsys.readouterr().out)["claims"]) >= 2
     assert cli.main(["claims", str(tree), "--unverified", f"--verified={tree}/seen"], spark) == 0 and "gain" not in capsys.readouterr().out
+
+
+def test_a_file_s_citations_are_deduplicated_in_its_row(spark):
+    """Nothing is shuffled by file for it; the same as grouping all citations."""
+    files = spark.createDataFrame([("f", "Smith (2010), Lee et al. (2011); Smith & Roe (2010). Lee (2011) Smith (2011) However, Smith (2010)"), ("g", "none"), ("h", None), ("i", "Lee (2011)")], "file string, content string")
+    found = citations.cited(files)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, citations.dedup(citations.extract(files)).collect()))
+    assert {(r.raw, r.mentions) for r in found.where("file = 'f'").collect()} == {("Smith (2010)", 2), ("Lee et al. (2011)", 2), ("Smith (2011)", 1), ("However, Smith (2010)", 1)}
+    bib = spark.createDataFrame([("s", ["Smith, J."], "T", 2010, None, 1)], "id string, authors array<string>, title string, year int, doi string, pos long")
+    assert "hashpartitioning(file" not in citations.audit(files, bib)._jdf.queryExecution().executedPlan().toString()
