@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glosswerk.functions import patterns as P
 from glosswerk.functions import text as X
 from glosswerk.operators import bibliography, citations, fuzzy, report
-from glosswerk.operators.settle import settled
+from glosswerk.operators.settle import kept
 from glosswerk.plans import sql as S
 from glosswerk.plans.synth import view, with_views
 
@@ -70,7 +70,7 @@ def audit_verbose_status(spark, sf_dir):
 
 def audit_report(spark, sf_dir):
     """The printed report of the audit with all citations."""
-    audited = settled(_audited(spark, sf_dir))
+    audited = kept(_audited(spark, sf_dir).drop("ids", "title_match").withColumn("ids", F.lit(None).cast("array<string>")), "audited")
     return report.audit(citations.stats(audited), citations.issues(audited), citations.verbose(audited))
 
 

@@ -280,3 +280,14 @@ def test_a_file_s_citations_are_deduplicated_in_its_row(spark):
     assert {(r.raw, r.mentions) for r in found.where("file = 'f'").collect()} == {("Smith (2010)", 2), ("Lee et al. (2011)", 2), ("Smith (2011)", 1), ("However, Smith (2010)", 1)}
     bib = spark.createDataFrame([("s", ["Smith, J."], "T", 2010, None, 1)], "id string, authors array<string>, title string, year int, doi string, pos long")
     assert "hashpartitioning(file" not in citations.audit(files, bib)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_report_of_an_audit_keeps_no_lists_of_entries(spark, monkeypatch):
+    from glosswerk.plans import citation_queries
+
+    held = []
+    for name in ("kept", "settled"):
+        if hasattr(citation_queries, name):
+            monkeypatch.setattr(citation_queries, name, lambda df, *a: held.append(df) or df)
+    citation_queries.audit_report(spark, "/root/testdata/sf0.001")
+    assert len(held) == 1 and "collect_list" not in held[0]._jdf.queryExecution().optimizedPlan().toString()
