@@ -291,3 +291,15 @@ def test_the_report_of_an_audit_keeps_no_lists_of_entries(spark, monkeypatch):
             monkeypatch.setattr(citation_queries, name, lambda df, *a: held.append(df) or df)
     citation_queries.audit_report(spark, "/root/testdata/sf0.001")
     assert len(held) == 1 and "collect_list" not in held[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_et_al_shuffles_citations_before_they_meet_their_entries(spark):
+    from glosswerk.operators import consistency
+
+    bib = spark.createDataFrame([("a", ["Lee, J.", "Roe, R."], 2011, 1, None), ("b", ["Lee, K."], 2011, 2, None)], "id string, authors array<string>, year int, pos long, doi string")
+    files = spark.createDataFrame([("f", "Lee et al. (2011), Lee (2011), Poe et al. (2012)"), ("g", "Lee et al. (2011)")], "file string, content string")
+    found = consistency.et_al(citations.keyed(citations.cited(files)), bib)
+    assert sorted((r.file, r.raw, r.id or "", r.authors or []) for r in found.collect()) == [("f", "Lee et al. (2011)", "a", ["Lee, J.", "Roe, R."]), ("f", "Lee et al. (2011)", "b", ["Lee, K."]), ("f", "Poe et al. (2012)", "", []), ("g", "Lee et al. (2011)", "a", ["Lee, J.", "Roe, R."]), ("g", "Lee et al. (2011)", "b", ["Lee, K."])]
+    plan = consistency.et_al(citations.audit(files, bib), bib)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.lstrip(" :+-") for line in plan.splitlines()]
+    assert lines.index(next(x for x in lines if x.startswith("Generate explode(entries"))) < lines.index(next(x for x in lines if x.startswith("Join")))
