@@ -322,3 +322,25 @@ def test_cosine_topk_in_blocks_with_ties(spark, monkeypatch):
         got = consistency.cosine_topk(df.where("id % 4 = 0"), df)
         assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == want
     assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString() and "collect_list" not in inspect.getsource(consistency.cosine_topk)
+
+
+def test_references_are_summed_up_in_a_paper_s_row(spark):
+    """The same as by items, windows and groups, and the pages are read once for a report."""
+    from glosswerk.operators import registry
+    from glosswerk.plans import reference_queries
+
+    li = lambda n, tail: f'<li id="bib{n}"><b>A.</b> (20{10 + n % 80}). A title of many words {n}. Journal. {tail}</li>'
+    doi = lambda n: f'<a href="https://doi.org/10.1/{n}">x</a>'
+    long = "".join(li(n, doi(n) if n % 2 else "") for n in range(60)) + li(60, '<a href="https://doi.org/10.48550/a.1">x</a>') + '<li id="bib61">short</li>'
+    pages = spark.createDataFrame([("p", f"References {li(0, doi(9))} References<ul>{long}</ul>"), ("q", "no list"), ("r", "References none"), ("s", None), ("t", f"References{li(1, '')}")], "paper string, html string")
+    works = spark.createDataFrame([("10.1/1", "A title of many words 1"), ("10.1/3", "Quite other things")], "doi string, title string")
+    hits = spark.createDataFrame([("A title of many words 2", 1, "Unlike it", 80.0)], "query string, rank int, title string, score double")
+    items, listed = registry.items(pages), spark.createDataFrame([(p,) for p in "pqrstu"], "id string")
+    old = registry.issues(registry.check_dois(items, works), registry.check_titles(items, hits))
+    found = registry.summaries(pages)
+    new = registry.summary_issues(found, works, hits)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(new) == rows(old) and new.count() == 15
+    assert rows(registry.summary_stats(listed, found, new)) == rows(registry.paper_stats(listed, registry.references(pages), old))
+    plan = reference_queries.arxiv_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan  # the pages' view is gone from the last plan
