@@ -344,3 +344,10 @@ def test_references_are_summed_up_in_a_paper_s_row(spark):
     assert rows(registry.summary_stats(listed, found, new)) == rows(registry.paper_stats(listed, registry.references(pages), old))
     plan = reference_queries.arxiv_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_suppkey" not in plan  # the pages' view is gone from the last plan
+
+
+def test_severities_of_keys_are_those_of_all_issues(spark):
+    files = spark.createDataFrame([("f", "Smith (2010) Lee (2011) Roe (2012)")] * 3, "file string, content string")
+    bib = spark.createDataFrame([("a", ["Smith, J."], 2010, None, 1), ("b", ["Smith, K."], 2010, None, 2), ("c", ["Lee, J."], 2011, None, 3)], "id string, authors array<string>, year int, doi string, pos long")
+    assert {r.severity for r in citations.severities(files, bib).collect()} == {"warn", "info"} == {r.severity for r in citations.issues(citations.audit(files, bib)).collect()}
+    assert citations.severities(files.where("false"), bib).count() == 0
